@@ -47,27 +47,33 @@ class _Node:
 
 
 class CFTree:
-    """A height-balanced tree of cluster features with an absorption threshold.
+    """A height-balanced tree of cluster features of unit vectors.
 
-    ``insert`` returns the number of the leaf entry that took the vector (or CF) in.
-    With ``budget`` the tree is rebuilt under a larger threshold whenever it has more
-    entries; entry numbers then change.
+    ``insert`` returns the number of the leaf entry that took the vector (or CF) in. An
+    entry absorbs what lies within ``threshold`` of its mean. With ``budget`` it absorbs
+    instead while the squared norm of its mean, which is 1 minus its mean squared radius,
+    stays above a floor; whenever the tree has more entries than the budget the floor is
+    lowered and the entries are inserted again, which changes their numbers. Distances
+    tell nothing at that scale: in many dimensions a mean of unlike vectors is as close
+    to any vector as to its own members.
     """
 
     def __init__(self, dim: int, threshold: float, branching: int = 24, budget: int | None = None) -> None:
         self.dim, self.threshold, self.branching, self.budget = dim, threshold, branching, budget
+        self.floor = 0.8
         self._start()
 
     def _start(self) -> None:
         self.root = _Node(True, self.dim, self.branching)
         self.sums: list[np.ndarray] = []
         self.counts: list[float] = []
-        self.radius: list[float] = []
+        # Per entry: means at counts 1, 2, 4, ... and how far what came until the next lay from them.
+        self.trail: list[list[tuple[np.ndarray, float]]] = []
 
     def __len__(self) -> int:
         return len(self.counts)
 
-    def insert(self, total: np.ndarray, n: float = 1.0, radius: float = 0.0) -> int:
+    def insert(self, total: np.ndarray, n: float = 1.0) -> int:
         x = total / n
         path, node = [], self.root
         while not node.leaf:
@@ -77,25 +83,25 @@ class CFTree:
         entry = None
         if node.size:
             i = node.nearest(x)
-            mean = node.means[i]
-            gap = x - mean
-            if gap @ gap <= self.threshold * self.threshold:
+            if self.budget is None:
+                gap = x - node.means[i]
+                takes = gap @ gap <= self.threshold * self.threshold
+            else:
+                both = (node.sums[i] + total) / (node.counts[i] + n)
+                takes = both @ both >= self.floor
+            if takes:
                 entry = node.children[i]
-                before = mean.copy()
                 node.grow(i, total, n)
-                after = node.means[i]
-                drift, reach = after - before, x - after
-                self.sums[entry] = node.sums[i]
+                self.sums[entry] = node.sums[i].copy()
                 self.counts[entry] += n
-                self.radius[entry] = max(self.radius[entry] + float(np.sqrt(drift @ drift)), radius + float(np.sqrt(reach @ reach)))
+                if self.budget is None:
+                    self._remember(entry, x, node.means[i])
         if entry is None:
             entry = len(self.counts)
             self.sums.append(total.copy())
             self.counts.append(n)
-            self.radius.append(radius)
+            self.trail.append([(x, 0.0)])
             node.add(entry, total, n)
-        else:
-            self.sums[entry] = node.sums[i].copy()
         for parent, j in path:
             parent.grow(j, total, n)
         if node.size > self.branching:
@@ -104,6 +110,19 @@ class CFTree:
             self._rebuild()
         return entry
 
+    def _remember(self, entry: int, x: np.ndarray, mean: np.ndarray) -> None:
+        trail, n = self.trail[entry], int(self.counts[entry])
+        at, reach = trail[-1]
+        gap = x - at
+        trail[-1] = (at, max(reach, float(np.sqrt(gap @ gap))))
+        if n & (n - 1) == 0:
+            trail.append((mean.copy(), 0.0))
+
+    def _radius(self, entry: int) -> float:
+        """A bound for the distance of any member from the entry's mean."""
+        mean = self.sums[entry] / self.counts[entry]
+        return max(reach + float(np.sqrt(((at - mean) ** 2).sum())) for at, reach in self.trail[entry])
+
     def _split(self, node: _Node, path: list) -> None:
         while node.size > self.branching:
             means = node.means[: node.size]
@@ -132,23 +151,18 @@ class CFTree:
             node = parent
 
     def _rebuild(self) -> None:
-        """Raise the threshold until the entries fit half the budget, and insert them again."""
-        while len(self.counts) > self.budget / 2:
-            entries = list(zip(self.sums, self.counts, self.radius))
-            means = np.array([s / n for s, n, _ in entries[:512]])
-            squared = (means**2).sum(1)
-            apart = squared[:, None] + squared[None, :] - 2 * means @ means.T
-            np.fill_diagonal(apart, np.inf)
-            self.threshold = max(self.threshold * 1.15, float(np.sqrt(max(np.median(apart.min(1)), 0.0))))
-            budget, self.budget = self.budget, None
+        """Lower the floor until the entries fit well within the budget, and insert them again."""
+        while len(self.counts) > self.budget * 0.8:
+            entries = list(zip(self.sums, self.counts))
+            self.floor *= 0.93
             self._start()
-            for total, n, radius in entries:
-                self.insert(total, n, radius)
-            self.budget = budget
+            for total, n in entries:
+                self.insert(total, n)
 
     def features(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(n, sums, radius bounds) of the leaf entries."""
-        return np.array(self.counts), np.array(self.sums).reshape(-1, self.dim), np.array(self.radius)
+        radius = [self._radius(i) for i in range(len(self))] if self.budget is None else [0.0] * len(self)
+        return np.array(self.counts), np.array(self.sums).reshape(-1, self.dim), np.array(radius)
 
 
 def ward(n: np.ndarray, means: np.ndarray, k: int) -> np.ndarray:
@@ -206,8 +220,8 @@ def agglomerate(n: np.ndarray, means: np.ndarray, cosine: float) -> np.ndarray:
     """
     m = len(n)
     roots = np.arange(m)
-    for start in range(0, m, 1024):
-        close = means[start : start + 1024] @ means[start:].T >= cosine
+    for start in range(0, m, 256):
+        close = means[start : start + 256] @ means[start:].T >= cosine
         for i in np.flatnonzero(close.sum(1) > 1):
             row = np.flatnonzero(close[i]) + start
             names = np.unique(roots[row])

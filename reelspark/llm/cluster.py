@@ -32,6 +32,8 @@ from reelspark.session import materialize
 
 #: Members compared at once in the exact check, and coarse CFs that are agglomerated at most.
 BLOCK, MOST_COARSE = 2_048, 4_096
+#: Leaves of a cell compared at once with the others.
+STRIP = 256
 
 
 @dataclass(frozen=True)
@@ -40,8 +42,8 @@ class ClusterConfig:
 
     dim: int
     cosine: float = 0.9
-    cell_leaves: int = 1_000
-    probes: int = 6
+    cell_leaves: int = 800
+    probes: int = 5
 
     @property
     def reach(self) -> float:
@@ -143,7 +145,9 @@ def routing_centroids(leaves: DataFrame, n_leaves: int, cfg: ClusterConfig, fan_
     if k == 1:
         return np.zeros((1, cfg.dim))
     budget = 4 * k
-    level = leaves.select("n", "total").mapInArrow(_coarse(cfg, budget), "n double, total array<double>")
+    # Leaves weigh alike: a crowd of equal vectors must not take all cells for itself.
+    alike = leaves.select(F.lit(1.0).alias("n"), F.transform("total", lambda x: x / F.col("n")).alias("total"))
+    level = alike.mapInArrow(_coarse(cfg, budget), "n double, total array<double>")
     parts = leaves.rdd.getNumPartitions()  # of a checkpoint: nothing runs for this
     while parts > 1:
         parts = -(-parts // fan_in)
@@ -152,9 +156,8 @@ def routing_centroids(leaves: DataFrame, n_leaves: int, cfg: ClusterConfig, fan_
     rows = level.collect()  # at most ``budget`` coarse CFs
     n, total = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
     means = total / n[:, None]
-    # Leaves weigh alike: a crowd of equal vectors must not take all cells for itself.
-    label = ward(np.ones(len(n)), means, k)
-    return np.array([means[label == i].mean(0) for i in range(label.max() + 1)])
+    label = ward(n, means, k)
+    return np.array([total[label == i].sum(0) / n[label == i].sum() for i in range(label.max() + 1)])
 
 
 def _route(cfg: ClusterConfig, centroids):
@@ -188,12 +191,12 @@ def _link(cfg: ClusterConfig):
         for _, rows in _groups(batches, 1):
             leaf = _column(rows, "leaf").to_numpy()
             n, radius = _column(rows, "n").to_numpy(), _column(rows, "radius").to_numpy()
-            means = _matrix(_column(rows, "mean"), cfg.dim)
+            means = _matrix(_column(rows, "mean"), cfg.dim).astype(np.float32)
             label = leaf[agglomerate(n, means, cfg.cosine - 1e-6)]
-            squared = (means**2).sum(1)
+            squared, radius = (means**2).sum(1), radius.astype(np.float32)
             near_a, near_b = [], []
-            for s in range(0, len(leaf), 1024):
-                e = s + 1024
+            for s in range(0, len(leaf), STRIP):
+                e = s + STRIP
                 # Members can be similar only if the leaves' balls come that close.
                 gap = squared[s:e, None] + squared[None, s:] - 2 * means[s:e] @ means[s:].T
                 limit = cfg.reach + radius[s:e, None] + radius[None, s:] + 1e-3
