@@ -1,0 +1,142 @@
+"""Writers: gated manifests, resumable vector shards, result artifacts, submissions, logs."""
+
+from __future__ import annotations
+
+import json
+import os
+import time
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from reelspark import schemas
+from reelspark.functions.text import artifact_id
+from reelspark.functions.vector import l2_normalize
+from reelspark.operators.submission import to_documents, violations
+from reelspark.sources.tables import latest_by_key
+
+
+def write_manifest(df: DataFrame, schema, path: str, issues: DataFrame | None = None) -> None:
+    """A Parquet manifest (zstd) under an explicit schema; any issue of severity HIGH forbids it."""
+    if issues is not None and not issues.where("severity = 'HIGH'").isEmpty():
+        raise schemas.ContractError("the manifest has issues of severity HIGH")
+    schemas.require(df, schema, "manifest").write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def write_vectors(keyframes: DataFrame, encoder: Callable[[DataFrame], DataFrame], path: str, config_hash: str, partitions: int | None = None) -> int:
+    """Encode the keyframes that ``path`` lacks and append them; the number of new vectors.
+
+    ``encoder`` takes keyframes and gives (keyframe_uid, embedding). Rows carry the hash of
+    the encoder's configuration: a store of another configuration is an error. The commit
+    of the append makes an interrupted run resume where it stopped.
+    """
+    spark = keyframes.sparkSession
+    todo = keyframes
+    if _exists(spark, path):
+        there = spark.read.parquet(path)
+        if not there.where(F.col("config_hash") != config_hash).isEmpty():
+            raise schemas.ContractError("the store holds vectors of another configuration")
+        todo = keyframes.join(there.select("keyframe_uid"), "keyframe_uid", "left_anti")
+    schemas.require_unique(todo, "keyframes", "keyframe_uid")
+    before = spark.read.parquet(path).count() if _exists(spark, path) else 0
+    encoded = encoder(todo).withColumn("config_hash", F.lit(config_hash))
+    ranged = encoded.repartitionByRange(partitions, "keyframe_uid") if partitions else encoded.repartitionByRange("keyframe_uid")
+    ranged.write.mode("append").option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path).count() - before
+
+
+def write_index(vectors: DataFrame, path: str) -> None:
+    """The flat index: all vectors at length 1, by key. Non-finite or zero vectors are an error."""
+    unit = vectors.select("keyframe_uid", l2_normalize(F.col("embedding")).cast("array<float>").alias("embedding"))
+    unit.repartitionByRange("keyframe_uid").sortWithinPartitions("keyframe_uid").write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def result_documents(queries: DataFrame, results: DataFrame, task: str) -> DataFrame:
+    """Rows (artifact, task, json): per query one document with its text and ranked candidates."""
+    fields = [c for c in results.columns if c != "query_id"]
+    lists = results.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", *[c for c in fields if c != "rank"]))).alias("candidates"))
+    rows = queries.join(lists, "query_id", "left")
+    body = F.struct(F.lit(task).alias("task"), "query_id", F.col("text").alias("query"), F.coalesce("candidates", F.array()).alias("candidates"))
+    return rows.select(artifact_id(F.col("text")).alias("artifact"), F.lit(task).alias("task"), F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def write_documents(documents: DataFrame, path: str) -> None:
+    """Documents as JSON lines, partitioned by task."""
+    documents.select("task", F.col("json").alias("value")).write.mode("overwrite").partitionBy("task").text(path)
+
+
+def write_submission(spark: SparkSession, submission: DataFrame, videos: DataFrame, path: str, append: bool = False, overwrite: bool = False) -> None:
+    """One submission file {schema_version, queries}; it must be valid and have each query once.
+
+    Without ``append`` or ``overwrite`` an existing file is an error; ``append`` adds new
+    queries to it. A submission has at most 100 results a query, so it is put together
+    on the driver.
+    """
+    if not violations(submission, videos).isEmpty():
+        raise schemas.ContractError("the submission breaks the rules; see violations()")
+    new = [r[0] for r in to_documents(submission).orderBy("query_id").select("json").collect()]
+    old: list[str] = []
+    if os.path.exists(path):
+        if not append and not overwrite:
+            raise FileExistsError(path)
+        if append:
+            with open(path, encoding="utf-8") as file:
+                old = [json.dumps(q, ensure_ascii=False) for q in json.load(file)["queries"]]
+    ids = [json.loads(q)["query_id"] for q in old + new]
+    if len(set(ids)) != len(ids):
+        raise schemas.ContractError("a query is already in the submission")
+    with open(f"{path}.tmp", "w", encoding="utf-8") as file:
+        file.write('{"schema_version":"1.0","queries":[' + ",".join(old + new) + "]}")
+    os.replace(f"{path}.tmp", path)
+
+
+def write_report(metrics: DataFrame, path: str) -> None:
+    """Evaluation metrics as JSON lines."""
+    metrics.write.mode("overwrite").json(path)
+
+
+def append_experiment(record: DataFrame, path: str) -> None:
+    """Append experiment records; a repeated id, or a metric outside 0..1, is an error."""
+    rows = schemas.require(record, schemas.EXPERIMENT, "experiment")
+    bad = F.exists(F.map_values("metrics"), lambda m: m.isNull() | F.isnan(m) | (m < 0) | (m > 1))
+    if not rows.where(bad).isEmpty():
+        raise schemas.ContractError("metrics must lie in 0..1")
+    schemas.require_unique(rows, "experiments", "experiment_id")
+    spark = record.sparkSession
+    if _exists(spark, path) and not rows.join(spark.read.schema(schemas.EXPERIMENT).json(path), "experiment_id", "left_semi").isEmpty():
+        raise schemas.ContractError("this experiment is logged already")
+    rows.write.mode("append").json(path)
+
+
+def upsert_archives(manifest: DataFrame, updates: DataFrame) -> DataFrame:
+    """The manifest with updated rows in place of old ones with the same (filename, download_url)."""
+    both = manifest.withColumn("__turn", F.lit(0)).unionByName(updates.withColumn("__turn", F.lit(1)))
+    return latest_by_key(both, ["filename", "download_url"], "__turn").drop("__turn")
+
+
+def write_tables(tables: dict[str, DataFrame], path: str) -> None:
+    """Audit tables as CSV files with headers, one folder each."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").option("header", True).csv(os.path.join(path, name))
+
+
+def markdown(title: str, tables: dict[str, DataFrame], rows: int = 50) -> str:
+    """A report of the first rows of small aggregated tables."""
+    out = [f"# {title}"]
+    for name, df in tables.items():
+        out += ["", f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+        out += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in df.limit(rows).collect()]
+    return "\n".join(out) + "\n"
+
+
+def profiled(action: Callable[[], object]) -> dict:
+    """Wall seconds of an action, and its result."""
+    began = time.perf_counter()
+    result = action()
+    return {"seconds": time.perf_counter() - began, "result": result}
