@@ -67,6 +67,17 @@ def parallelism(df: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table as read, over at least as many tasks as there are cores.
+
+    For steps that spend much time on each row. A large table comes in enough parts and is
+    left alone; only one of a few files, or of one, is dealt out. Not for derived frames:
+    counting the partitions of a plan with exchanges would run them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 _shipped: set[str] = set()
 
 
