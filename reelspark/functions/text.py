@@ -49,9 +49,13 @@ def metadata_document(fields: Column) -> Column:
     return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(": "), F.trim(e["value"]))), " ")
 
 
-def retrieval_text(text: Column, context: Column) -> Column:
-    """What an ordered event is searched by: its own text, then the context it stands in."""
-    return F.when(text == context, text).otherwise(F.format_string("%s. Context: %s", text, context))
+# Fixed value: how an event and its context are put to an encoder; events count from 1.
+RETRIEVAL_FORM = "Focus event %d: %s\nSequence context: %s"
+
+
+def retrieval_text(index: Column, text: Column, context: Column) -> Column:
+    """What an ordered event (index from 0) is searched by: its own text and the list it stands in."""
+    return F.format_string(RETRIEVAL_FORM, index + 1, text, context)
 
 
 def parse_fraction(text: Column) -> Column:

@@ -58,4 +58,4 @@ def decompose_events(queries: DataFrame, query_id: str = "query_id", text: str =
     """Rows (query_id, event_index, text, context, retrieval_text), indices from 0."""
     context = _tidy(F.col(text))
     rows = queries.select(F.col(query_id).alias("query_id"), context.alias("context"), F.posexplode(event_parts(F.col(text))).alias("event_index", "text"))
-    return rows.select("query_id", "event_index", "text", "context", retrieval_text(F.col("text"), F.col("context")).alias("retrieval_text"))
+    return rows.select("query_id", "event_index", "text", "context", retrieval_text(F.col("event_index"), F.col("text"), F.col("context")).alias("retrieval_text"))

@@ -124,6 +124,11 @@ def test_event_lists(spark):
     ]
 
 
+def test_retrieval_text_names_event_and_context(spark):
+    df = decompose_events(spark.createDataFrame([("q", "a -> b")], "query_id string, text string"))
+    assert [r["retrieval_text"] for r in df.orderBy("event_index").collect()] == ["Focus event 1: a\nSequence context: a -> b", "Focus event 2: b\nSequence context: a -> b"]
+
+
 def test_answer_forms(spark):
     forms = {" Five people! ": "5", "Năm": "5", "5 people": "5", "Có.": "yes", "KHÔNG": "no", "màu Xanh Dương": "blue", "It is blue.": "blue", "năm người chơi": "5", "Nguyen Van A": "nguyen van a", "Ｆｉｖｅ": "5", "00": "0", " ,. ": None}
     df = spark.createDataFrame([(k,) for k in forms], "raw string")
