@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from reelspark.llm import mixing, packing
 from reelspark.llm.spam import spam_pages, spam_shares
 from reelspark.llm.tokens import with_token_counts
-from reelspark.session import materialize, table
+from reelspark.session import materialize, spread, table
 
 
 def _capacities(spark: SparkSession, sf_dir: str) -> list[tuple[int, int]]:
@@ -17,7 +17,7 @@ def _capacities(spark: SparkSession, sf_dir: str) -> list[tuple[int, int]]:
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = with_token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), out="doc_tokens")
+    sizes = with_token_counts(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), out="doc_tokens")
     return packing.pack(sizes, _capacities(spark, sf_dir))
 
 
@@ -52,7 +52,7 @@ def p8_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(with_token_counts(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
+    return materialize(with_token_counts(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))))
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,12 +68,12 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword-stuffed, link-list and product-tag pages."""
-    return spam_pages(table(spark, sf_dir, "documents"))
+    return spam_pages(spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")))
 
 
 def p10_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages, spam pages and junk characters per language told from the text."""
-    shares = spam_shares(table(spark, sf_dir, "documents"))
+    shares = spam_shares(spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")))
     return shares.groupBy("lang").agg(
         F.count(F.lit(1)).alias("n_pages"),
         F.count(F.when(F.col("junk_share") > 0.5, 1)).alias("n_spam"),

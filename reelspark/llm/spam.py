@@ -45,9 +45,11 @@ _SIGNS = {
 }
 
 # How links are written, plainly or disguised.
-_DOT = r"(?:\[\.\]|\(\.\)|\{\.\}|\[dot\]|\(dot\)|\s+dot\s+)"
-_TAIL = r"(?:\s*(?:/|\bslash\b|\bp/|\bpage\b)\s*\w*\s*\d+)?"
-_HEAD = r"(?:(?:>>|[-=]>|\bgo to\b|\bhxxps?:|\bvisit\b)\s*)*"
+_DOT = r"(?:\[\.\]|\(\.\)|\{\.\}|\[dot\]|\(dot\)|\s{1,3}dot\s{1,3})"
+# Every repetition is bounded, or cannot be entered at many places: texts may be of any length.
+_TAIL = r"(?:\s{0,3}(?:/|\bslash\b|\bp/|\bpage\b)\s{0,3}\w{0,20}\s{0,3}\d{1,12})?"
+_HEAD = r"(?:(?:>>|[-=]>|\bgo to\b|\bhxxps?:|\bvisit\b)\s{0,3}){0,3}"
+_LABEL = r"[\w-]{1,63}"
 #: (what a page must hold, pattern): patterns run only where they can match.
 LINKS = tuple(
     (hints, re.compile(pattern, re.IGNORECASE))
@@ -56,10 +58,10 @@ LINKS = tuple(
         (("](",), r"\[[^\]\n]{0,120}\]\(\S+"),
         (("->", "=>"), r"[^\n.!?<>]{1,80}\s[-=]>\s*\S+"),
         (("://", "www."), rf"{_HEAD}(?:(?:https?|hxxps?|ftp)://\S+|www\.\S+)"),
-        (("[.]", "(.)", "{.}", "dot"), rf"{_HEAD}[\w-]+(?:{_DOT}[\w-]+)+{_TAIL}"),
+        (("[.]", "(.)", "{.}", "dot"), rf"{_HEAD}(?<![\w-]){_LABEL}(?:{_DOT}{_LABEL}){{1,6}}{_TAIL}"),
         (
             (".com", ".org", ".net", ".info", ".biz", ".example", ".test", ".invalid", ".vn", ".fr", ".tv", ".io"),
-            rf"{_HEAD}[\w-]+(?:\.[\w-]+)*\.(?:com|org|net|info|biz|example|test|invalid|vn|fr|tv|io)\b(?:/\S*)?{_TAIL}",
+            rf"{_HEAD}(?<![\w-]){_LABEL}(?:\.{_LABEL}){{0,6}}\.(?:com|org|net|info|biz|example|test|invalid|vn|fr|tv|io)\b(?:/\S*)?{_TAIL}",
         ),
     )
 )
@@ -77,7 +79,7 @@ ORDINARY = re.compile(
 FEW, SHORT = 4, 14
 #: A sentence: so many words at least, begun with a capital, mostly distinct, closed by a full stop.
 SENTENCE_WORDS, SENTENCE_DISTINCT = 9, 0.75
-_SENTENCE = re.compile(r"[^\n.!?;|»•]+[.!?]")
+_BREAK = re.compile(r"[\n.!?;|»•]")
 #: Words on either side in which a function word is looked for, and window of the list measures.
 NEAR, WINDOW = 5, 48
 #: Shares of distinct words for which junk is measured; calibration picks one per language.
@@ -104,15 +106,12 @@ def _distinct(codes: np.ndarray, window: int) -> np.ndarray:
     for i, c in enumerate(codes.tolist()):
         previous[i] = last[c]
         last[c] = i
-    starts = np.minimum(np.maximum(np.arange(n) - window // 2, 0), n - window)
-    out = np.empty(n)
-    # Windows start at every eighth position: neighbours differ little.
+    # One window for every eighth position serves its neighbours, which differ little.
     step = window // 6
-    for s in range(0, n - window + step, step):
-        s = min(s, n - window)
-        share = np.count_nonzero(previous[s : s + window] < s) / window
-        out[(starts >= s - step // 2) & (starts <= s + step)] = share
-    return out
+    begin = np.minimum(np.arange(0, n - window + step, step), n - window)
+    share = np.array([np.count_nonzero(previous[s : s + window] < s) for s in begin]) / window
+    centred = np.clip(np.arange(n) - window // 2, 0, n - window)
+    return share[np.minimum((centred + step // 2) // step, len(begin) - 1)]
 
 
 def page_features(text: str | None) -> tuple:
@@ -137,11 +136,14 @@ def page_features(text: str | None) -> tuple:
         if ORDINARY.search(line) and not form[at : at + len(line)].any():
             plain[at : at + len(line)] = True
         at += len(line) + 1
-    for m in _SENTENCE.finditer(text):
-        inside = WORD.findall(m.group())
-        if len(inside) >= SENTENCE_WORDS and m.group().lstrip()[:1].isupper() and not form[m.start() : m.end()].any():
-            if len({w.casefold() for w in inside}) >= SENTENCE_DISTINCT * len(inside):
-                plain[m.start() : m.end()] = True
+    begin = 0
+    for m in _BREAK.finditer(text):
+        piece, span = text[begin : m.start()], slice(begin, m.end())
+        begin = m.end()
+        if m.group() in ".!?" and piece.lstrip()[:1].isupper() and not form[span].any():
+            inside = WORD.findall(piece)
+            if len(inside) >= SENTENCE_WORDS and len({w.casefold() for w in inside}) >= SENTENCE_DISTINCT * len(inside):
+                plain[span] = True
     separators = [m.start() for m in SEPARATOR.finditer(text) if not form[m.start()] and not plain[m.start()]]
     if len(separators) >= FEW:
         marks.extend(separators)
