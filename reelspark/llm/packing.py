@@ -4,9 +4,10 @@ Items are spread over partitions of bounded size and packed by best-fit decreasi
 dual feasible function maps sizes so that the mapped sizes of any feasible container
 sum to at most its capacity; the sum over all items is then a lower bound for the number
 of containers. A partition that needs no more containers than its bound is certified
-optimal and stays as it is. The others put the items of their unfilled containers into a
-common pool, which is dealt out anew and packed again, until none has a gap or a round
-saves nothing.
+optimal. As long as there are more containers than the bound over all items, partitions
+with gaps put the items of their unfilled containers, and the others those of their
+widely unfilled ones, into a common pool, which is dealt out anew and packed again, until
+the bound is met or a round saves nothing. A round never costs containers.
 """
 
 from __future__ import annotations
@@ -18,6 +19,10 @@ from pyspark.sql import functions as F
 
 from reelspark.session import materialize
 
+#: Containers with more room than this part of their capacity exchange their items in any case.
+WIDE = 0.02
+#: Containers that a partition fills at least, where there are so many.
+LEAST_FILLED = 20
 #: Largest number of (distinct) capacities; each item is packed once for each.
 MAX_CAPACITIES = 1_000
 _PACKED = "capacity_id int, capacity bigint, doc_id bigint, part_no int, part_tokens bigint, grp bigint, bin int, bins int, bound int, room bigint, row bigint"
@@ -87,6 +92,17 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
+def _bins(packed: DataFrame) -> dict[int, int]:
+    """Containers per capacity."""
+    bins = packed.select("capacity_id", "grp", "bin").distinct().groupBy("capacity_id").count()
+    return {r[0]: r[1] for r in bins.collect()}  # one row per capacity
+
+
+def _settled(packed: DataFrame, label: str) -> DataFrame:
+    number = F.concat_ws("-", F.lit(label), "grp", "bin")
+    return packed.select("capacity_id", "capacity", "doc_id", "part_no", "part_tokens", number.alias("number"), (F.col("bins") == F.col("bound")).alias("certified"))
+
+
 def parts(sizes: DataFrame, capacities: list[tuple[int, int]]) -> DataFrame:
     """Rows (capacity_id, capacity, doc_id, part_no, part_tokens) to be packed.
 
@@ -125,27 +141,43 @@ def pack(sizes: DataFrame, capacities: list[tuple[int, int]], group_items: int =
     whole = pieces.where("part_tokens = capacity")
     done = [whole.select("capacity_id", "capacity", "doc_id", "part_no", "part_tokens", F.concat(F.lit("f"), "row").alias("number"), F.lit(True).alias("certified"))]
     todo = pieces.where("part_tokens < capacity")
+    least = bounds(todo, capacities)
+    frozen = dict.fromkeys(least, 0)  # containers that are settled, per capacity
+    before: tuple[DataFrame, dict[int, int], str] | None = None  # the pool as it was packed last
     for turn in range(rounds + 1):
-        n = {r[0]: r[1] for r in todo.groupBy("capacity_id").count().collect()}  # one row per capacity
+        # One row per capacity. A partition gets no more items than asked for, unless they
+        # would fill only a few containers, of which the last always has a gap.
+        found = todo.groupBy("capacity_id", "capacity").agg(F.count(F.lit(1)), F.sum("part_tokens")).collect()
+        n = {k: max(1, min(-(-items // group_items), tokens // (c * LEAST_FILLED))) for k, c, items, tokens in found}
         if not n:
             break
-        deal = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, -(-v // group_items))])
+        deal = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, v)])
         # A fresh hash each turn deals the pooled items out differently; row numbers are unique,
         # so repeated rows and null ids spread like any other.
         grp = F.pmod(F.xxhash64("row", F.lit(turn)), F.try_element_at(deal, F.col("capacity_id")))
         packed = materialize(todo.withColumn("grp", grp.cast("bigint")).groupBy("capacity_id", "grp").applyInPandas(_pack, _PACKED))
-        groups = packed.groupBy("capacity_id", "grp").agg(F.first("bins").alias("bins"), F.first("bound").alias("bound"))
-        needed = {r[0]: (r[1], r[2]) for r in groups.where("bins > bound").groupBy("capacity_id").agg(F.count(F.lit(1)), F.sum("bins")).collect()}
-        # Another turn helps only where several partitions have gaps to exchange.
-        again = [k for k, (gaps, _) in needed.items() if gaps > 1] if turn < rounds else []
-        open_bin = F.col("capacity_id").isin(again) & (F.col("bins") > F.col("bound")) & (F.col("room") > 0) if again else F.lit(False)
-        number = F.concat_ws("-", F.lit(f"r{turn}"), "grp", "bin")
-        done.append(
-            packed.where(~open_bin).select("capacity_id", "capacity", "doc_id", "part_no", "part_tokens", number.alias("number"), (F.col("bins") == F.col("bound")).alias("certified"))
-        )
-        if not again:
+        count = _bins(packed)
+        if before is not None:
+            worse = [k for k in count if count[k] > before[1][k]]
+            if worse:  # that pool stays as it was
+                done.append(_settled(before[0].where(F.col("capacity_id").isin(worse)), before[2]))
+                packed = packed.where(~F.col("capacity_id").isin(worse))
+                frozen |= {k: frozen[k] + before[1][k] for k in worse}
+                count = {k: v for k, v in count.items() if k not in worse}
+        # Another turn helps where there are more containers than any packing needs, and did
+        # help where there was one.
+        again = [k for k in count if frozen[k] + count[k] > least[k] and (before is None or count[k] < before[1][k])]
+        if turn == rounds or not again:
+            done.append(_settled(packed, f"r{turn}"))
             break
-        todo = packed.where(open_bin).select("capacity_id", "capacity", "doc_id", "part_no", "part_tokens", "row")
+        gap, wide = F.col("bins") > F.col("bound"), F.col("room") > F.col("capacity") * WIDE
+        open_bin = F.col("capacity_id").isin(again) & (F.col("room") > 0) & (gap | wide)
+        done.append(_settled(packed.where(~open_bin), f"r{turn}"))
+        pool = packed.where(open_bin)
+        held = _bins(pool)
+        frozen |= {k: frozen[k] + count[k] - held.get(k, 0) for k in count}
+        before = (pool, held, f"r{turn}")
+        todo = pool.select("capacity_id", "capacity", "doc_id", "part_no", "part_tokens", "row")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
