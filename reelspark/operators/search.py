@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from reelspark.session import parallelism
+
 #: Queries scored against a batch of vectors in one product.
 QUERY_BLOCK = 512
 
@@ -60,7 +62,11 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "co
     # Blocks of vectors form within partitions, before anything is exchanged.
     numbered = vectors.select("item_id", "vector", F.floor(F.monotonically_increasing_id() / block).alias("vb"))
     by_block = numbered.groupBy("vb").agg(F.collect_list(F.struct("item_id", "vector")).alias("v"))
-    pairs = by_block.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint")))).join(by_query, "qb")
+    # Pairs of blocks spread over ``lanes`` tasks for every block of queries, also if there is only one.
+    lanes = parallelism(vectors)
+    count = lambda n: F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+    left = by_block.withColumn("lane", F.pmod("vb", F.lit(lanes))).withColumn("qb", F.explode(count(n_blocks)))
+    pairs = left.join(by_query.withColumn("lane", F.explode(count(lanes))), ["qb", "lane"])
     flat = pairs.select(F.col("v.item_id"), F.col("v.vector").alias("vectors"), F.col("q.query_id"), F.col("q.vector").alias("queries"))
     scored = flat.mapInArrow(_score(k, metric == "cosine"), "query_id bigint, item_id bigint, score double")
     place = F.row_number().over(W.Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))

@@ -10,6 +10,7 @@ from pyspark.sql import window as W
 
 from reelspark.functions.keys import is_finite
 from reelspark.operators.positions import global_positions
+from reelspark.operators.skew import small_side
 
 
 def previous_value(df: DataFrame, group: str, index: str, value: str, width: int = 4_096) -> DataFrame:
@@ -48,7 +49,7 @@ def numeric_profile(df: DataFrame, columns: Sequence[str], group: Sequence[str]
     marks = {"p10": 0.10, "p50": 0.50, "p90": 0.90, "p95": 0.95}
     renamed = totals.select(*[F.col(k).alias(f"t_{k}") for k in keys], *[c for c in totals.columns if c not in keys])
     same = [F.col(k).eqNullSafe(F.col(f"t_{k}")) for k in keys]
-    placed = running.join(renamed, same)
+    placed = running.join(small_side(renamed), same)
 
     def at(rank: Column) -> Column:
         return F.when((F.col("position") > rank) & (F.col("position") - F.col("n") <= rank), F.col("value"))

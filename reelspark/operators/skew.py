@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelspark.session import materialize
+
 #: Keys that may be treated as hot. Any other key holds at most 1 / (HOT_KEYS + 1) of the rows.
 HOT_KEYS = 64
 
 
+#: Rows that a side may have to be sent to all tasks.
+BROADCAST_ROWS = 100_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A summary for the small side of a join: sent to all tasks if it is small, else joined by key.
+
+    The summary is written and counted first, so its size is known, not estimated.
+    """
+    known = materialize(df)
+    return F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
+
+
 def hottest(counts: DataFrame, key: str, n: str, least: int = 100_000) -> list:
     """At most HOT_KEYS keys with more than ``least`` rows, from a table of counts per key."""
     top = counts.where(F.col(key).isNotNull() & (F.col(n) > least)).orderBy(F.desc(n), key).limit(HOT_KEYS)

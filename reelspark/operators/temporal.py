@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from reelspark.operators.greedy import keep_apart
+from reelspark.operators.positions import global_positions
 
 
 def order_key(score: str = "score", rank: str = "rank", uid: str = "keyframe_uid") -> Column:
@@ -15,10 +16,14 @@ def order_key(score: str = "score", rank: str = "rank", uid: str = "keyframe_uid
 
 
 def rerank(df: DataFrame, *order: Column, by: str = "query_id", limit: int | None = None) -> DataFrame:
-    """``rank`` anew from 1 in each query; with ``limit`` only the first rows (pruned before the exchange)."""
-    place = F.row_number().over(W.Window.partitionBy(by).orderBy(*order))
-    out = df.withColumn("rank", place)
-    return out if limit is None else out.where(F.col("rank") <= limit)
+    """``rank`` anew from 1 in each query.
+
+    With ``limit`` only the first rows, pruned before the exchange; without, positions of a
+    global sort, so that a query may have any number of rows.
+    """
+    if limit is None:
+        return global_positions(df, [by], list(order)).withColumn("rank", F.col("position").cast("int")).drop("position")
+    return df.withColumn("rank", F.row_number().over(W.Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= limit)
 
 
 def temporal_nms(candidates: DataFrame, window_sec: float, limit: int | None = None, by: str = "query_id") -> DataFrame:

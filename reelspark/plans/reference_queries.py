@@ -285,8 +285,8 @@ def keyframe_gaps(spark, d):
 
 def numeric_profiles(spark, d):
     """Counts, means and exact quantiles of the videos' numbers."""
-    rows = numeric_profile(table(spark, d, "videos"), ["fps", "frame_count", "duration_sec", "file_size_bytes", "bitrate"])
-    return rows.select("column_name", "n_values", *[F.round(c, 4).alias(c) for c in ("min_value", "mean_value", "max_value", "p10", "p50", "p90", "p95")])
+    rows = numeric_profile(table(spark, d, "videos"), ["fps", "frame_count", "duration_sec", "bitrate"])
+    return rows.select("column_name", "n_values", *[F.round(c, 7).alias(c) for c in ("min_value", "mean_value", "max_value", "p10", "p50", "p90", "p95")])
 
 
 def value_distribution(spark, d):

@@ -319,9 +319,9 @@ FROM kfs LEFT JOIN o ON o.video_id = kfs.video_id AND o.keyframe_index = kfs.key
 SELECT video_id, count(*) AS n, round(min(d / fps), 6) AS min_gap, round(max(d / fps), 6) AS max_gap FROM g JOIN f USING (video_id) WHERE d IS NOT NULL GROUP BY 1""",
     "numeric_profiles": """WITH u AS (
   SELECT 'fps' AS column_name, fps AS v FROM videos UNION ALL SELECT 'frame_count', frame_count::DOUBLE FROM videos UNION ALL SELECT 'duration_sec', duration_sec FROM videos
-  UNION ALL SELECT 'file_size_bytes', file_size_bytes::DOUBLE FROM videos UNION ALL SELECT 'bitrate', bitrate::DOUBLE FROM videos)
-SELECT column_name, count(*) AS n_values, round(min(v), 4) AS min_value, round(avg(v), 4) AS mean_value, round(max(v), 4) AS max_value, round(quantile_cont(v, 0.1), 4) AS p10,
-       round(quantile_cont(v, 0.5), 4) AS p50, round(quantile_cont(v, 0.9), 4) AS p90, round(quantile_cont(v, 0.95), 4) AS p95 FROM u WHERE isfinite(v) GROUP BY 1""",
+  UNION ALL SELECT 'bitrate', bitrate::DOUBLE FROM videos)
+SELECT column_name, count(*) AS n_values, round(min(v), 7) AS min_value, round(avg(v), 7) AS mean_value, round(max(v), 7) AS max_value, round(quantile_cont(v, 0.1), 7) AS p10,
+       round(quantile_cont(v, 0.5), 7) AS p50, round(quantile_cont(v, 0.9), 7) AS p90, round(quantile_cont(v, 0.95), 7) AS p95 FROM u WHERE isfinite(v) GROUP BY 1""",
     "value_distribution": """WITH u AS (
   SELECT unnest([{'c': 'video_codec', 'v': video_codec}, {'c': 'audio_codec', 'v': audio_codec}, {'c': 'container', 'v': container}, {'c': 'group_id', 'v': group_id},
                  {'c': 'audio_sample_rate', 'v': audio_sample_rate::VARCHAR}]) AS e FROM videos)
