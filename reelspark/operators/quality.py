@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from reelspark.functions.keys import is_finite
 from reelspark.operators.positions import global_positions
+from reelspark.operators.skew import small_side
 from reelspark.session import materialize
 
 KEYS = ["table_name", "column_name", "load_id"]
@@ -71,7 +72,8 @@ def medians(states: DataFrame, counts: DataFrame) -> DataFrame:
     running = global_positions(valid, KEYS, [F.col("value").asc()], weight="n")
     low = F.floor((F.col("n_valid") + 1) / 2)
     high = F.floor((F.col("n_valid") + 2) / 2)
-    sizes = counts.select(*[F.col(k).alias(f"k_{k}") for k in KEYS], "n_valid")
+    # One row per column and load, against one per distinct value.
+    sizes = small_side(counts.select(*[F.col(k).alias(f"k_{k}") for k in KEYS], "n_valid"))
     on = [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in KEYS]
     hit = running.join(sizes, on).select(
         *KEYS,
