@@ -35,12 +35,13 @@ def source_ranks(scores: DataFrame, weights: DataFrame) -> DataFrame:
     once = materialize(once)
     unranked = F.col("rank").isNull() & F.col("score").isNotNull()
     lists = once.groupBy("query_id", "source").agg(
-        F.covar_samp("rank", "score").alias("c"), F.count(F.when(unranked, 1)).alias("n_unranked")
+        F.covar_samp("rank", "score").alias("c"), F.count(F.when(unranked, 1)).alias("n_unranked"), F.count(F.lit(1)).alias("n")
     )
     # Only lists that hold an unranked item need their scores put in order.
-    towards = lists.where("n_unranked > 0").select("query_id", "source", F.when(F.col("c") > 0, 1.0).otherwise(-1.0).alias("sign"))
-    scored = once.where("score is not null").join(towards, ["query_id", "source"])
-    scored = scored.withColumn("oriented", F.col("score") * F.col("sign")).drop("sign", "score")
+    name = F.to_json(F.struct("query_id", "source")).alias("list")
+    towards = materialize(lists.where("n_unranked > 0").select(name, F.when(F.col("c") > 0, 1.0).otherwise(-1.0).alias("sign"), "n"))
+    scored = salted_join(once.where("score is not null").select("*", name), towards.drop("n"), ["list"], "list", hottest(towards, "list", "n"))
+    scored = scored.withColumn("oriented", F.col("score") * F.col("sign")).drop("sign", "score", "list")
     placed = global_positions(scored, ["query_id", "source"], [F.col("oriented").asc(), F.col("item_id").asc()])
     filled = placed.where("rank is null").select("query_id", "source", "item_id", F.col("position").cast("double").alias("place"), "weight")
     given = once.where("rank is not null").select("query_id", "source", "item_id", F.col("rank").alias("place"), "weight")
