@@ -40,7 +40,9 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], hot_on: str,
         return left.join(right, keys)
     is_hot = F.col(hot_on).isin(hot)
     # A hash of the row, not a random number: a task that runs again must salt alike.
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int")
+    # Maps cannot be hashed; the other columns tell rows apart.
+    plain = [f.name for f in left.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in plain]), F.lit(salts)).cast("int")
     spread = left.withColumn("__salt", F.when(is_hot, salt).otherwise(F.lit(0)))
     every = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     repeated = right.withColumn("__salt", F.explode(every))

@@ -52,4 +52,7 @@ def test_salted_join_equals_a_join(spark):
     right = spark.createDataFrame([("hot", 1), ("k2", 2), ("k9", 3)], "k string, v int")
     hot = hottest(left.groupBy("k").count(), "k", "count", least=100)
     assert hot == ["hot"]
-    assert rows(salted_join(left, right, ["k"], "k", hot).select("k", "i", "v")) == rows(left.join(right, "k").select("k", "i", "v"))
+    expected = rows(left.join(right, "k").select("k", "i", "v"))
+    assert rows(salted_join(left, right, ["k"], "k", hot).select("k", "i", "v")) == expected
+    mapped = left.withColumn("m", F.create_map("k", "i"))
+    assert rows(salted_join(mapped, right, ["k"], "k", hot).select("k", "i", "v")) == expected
