@@ -3,15 +3,20 @@
 Every character of a page is judged. Links (also disguised ones), hashtags, key:value
 tags, product codes and prices are junk by form. The remaining words are junk where they
 form a list, that is where function words are missing, and the list repeats itself (few
-distinct words in a window), repeats whole lines, or is held together by separators.
+distinct words in a window), or is held together by separators. Over the whole page three
+shares are taken, of any words outside sentences and ordinary lines: of the most frequent
+word, of phrases that recur, and of lines that recur; above its threshold each marks the
+words it is made of as junk, with function words or without.
 A page is spam if more than half of its characters are junk. The share of distinct words
-below which a list repeats itself is calibrated per language on the corpus.
+below which a list repeats itself, and the three thresholds of the page, are calibrated
+per language on the corpus.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,6 +89,13 @@ _BREAK = re.compile(r"[\n.!?;|»•]")
 NEAR, WINDOW = 5, 48
 #: Shares of distinct words for which junk is measured; calibration picks one per language.
 GRID = tuple(round(0.30 + 0.02 * i, 2) for i in range(28))
+#: A phrase is so many words in a row; it or a line recurs if it occurs so often on the page.
+PHRASE, RECURS = 5, 3
+#: Page-wide measures and the part of the way from a language's usual share to 1 above which
+#: they mark junk. Thresholds are never below these parts.
+PAGE = {"top": 0.25, "phrase": 0.5, "line": 0.4}
+#: Pages of fewer words have no page-wide measures; the usual share is their median over the others.
+PAGE_WORDS = 24
 
 
 def _window_sums(flags: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,13 +126,62 @@ def _distinct(codes: np.ndarray, window: int) -> np.ndarray:
     return share[np.minimum((centred + step // 2) // step, len(begin) - 1)]
 
 
+def _recurring_phrases(codes: np.ndarray) -> np.ndarray:
+    """Which positions lie in a run of PHRASE values that occurs RECURS times or more."""
+    covered = np.zeros(len(codes), bool)
+    n = len(codes) - PHRASE + 1
+    if n < RECURS or np.bincount(codes).max() < RECURS:
+        return covered
+    values = codes.tolist()
+    runs = list(zip(*(values[i:] for i in range(PHRASE))))
+    times = Counter(runs)
+    if max(times.values()) < RECURS:
+        return covered
+    hot = np.flatnonzero(np.fromiter((times[r] >= RECURS for r in runs), bool, n))
+    for i in range(PHRASE):
+        covered[hot + i] = True
+    return covered
+
+
+def _recurring_lines(codes: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Which positions lie in a line whose values are those of RECURS lines or more."""
+    if line[-1] - line[0] + 1 < RECURS:
+        return np.zeros(len(codes), bool)
+    begin = np.flatnonzero(np.diff(line, prepend=-1))
+    keys = [codes[a:b].tobytes() for a, b in zip(begin, [*begin[1:], len(codes)])]
+    times = Counter(keys)
+    return np.repeat(np.array([times[k] >= RECURS for k in keys], bool), np.diff([*begin, len(codes)]))
+
+
+def _page_marks(codes: np.ndarray, line: np.ndarray, content: np.ndarray, is_list: np.ndarray, plain: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """By measure of PAGE: the words it counts and those it marks. All arrays are by word of the page.
+
+    ``content`` are words that may be keywords. Plain words are never counted, but for the
+    length of the page. The most frequent word marks the list words near it.
+    """
+    top = np.zeros(len(codes), bool)
+    able = content & ~plain
+    if able.any():
+        top = able & (codes == np.bincount(codes[able]).argmax())
+    near, _ = _window_sums(top, NEAR)
+    phrase = np.zeros(len(codes), bool)
+    phrase[~plain] = _recurring_phrases(codes[~plain])
+    lines = _recurring_lines(codes, line) & ~plain
+    return {"top": (top, top | (is_list & (near > 0))), "phrase": (phrase, phrase), "line": (lines, lines)}
+
+
 def page_features(text: str | None) -> tuple:
-    """(language, n_chars, form_chars, list_words, distinct_share, junk per GRID) of one page."""
+    """(language, n_chars, form_chars, list_words, distinct_share, junk per GRID, share per PAGE, junk by measures of PAGE) of one page.
+
+    The last has, for each set of measures (bit i for the i-th of PAGE, from 1), the junk per
+    GRID if these mark words too; it is None where no measure can reach its threshold. Both
+    are None for pages of fewer than PAGE_WORDS words.
+    """
     text = unicodedata.normalize("NFC", text or "")
     # Characters count unless they are white space or invisible.
     counts = np.fromiter((not c.isspace() and c.isprintable() for c in text), bool, len(text))
     if not counts.any():
-        return None, 0, 0, 0, None, [0] * len(GRID)
+        return None, 0, 0, 0, None, [0] * len(GRID), None, None
     form = np.zeros(len(text), bool)
     marks: list[int] = []
     lower = text.lower()
@@ -157,12 +218,14 @@ def page_features(text: str | None) -> tuple:
     # Punctuation between words belongs to neither side.
     n_chars = form_chars + sum(b - a for a, b in words)
     listed, distinct = 0, None
+    shares, more = None, None
     if words:
         starts = np.array([a for a, _ in words])
         lengths = np.array([b - a for a, b in words])
         near, _ = _window_sums(function, NEAR)
         is_list = (near <= 0) & ~plain[starts]
         listed = int(is_list.sum())
+        of_list = None
         if listed >= SHORT or (listed and len(marks) >= FEW):
             ids: dict[str, int] = {}
             codes = np.array([ids.setdefault(names[i], len(ids)) for i in np.flatnonzero(is_list)])
@@ -176,17 +239,38 @@ def page_features(text: str | None) -> tuple:
             low = np.maximum(np.arange(listed) - 6, 0)
             high = np.minimum(np.arange(listed) + 6, listed - 1)
             dense = (marked[high] - marked[low]) >= np.maximum((high - low) / 6, 1)
-            junk = [form_chars + int(list_lengths[dense | (share < g)].sum()) for g in GRID]
-    return guess, n_chars, form_chars, listed, distinct, junk
+            of_list = dense | (share < np.array(GRID)[:, None])
+            junk = [form_chars + int(list_lengths[row].sum()) for row in of_list]
+        if len(words) >= PAGE_WORDS:
+            numbers: dict[str, int] = {}
+            every = np.array([numbers.setdefault(w, len(numbers)) for w in names])
+            breaks = np.array([m.start() for m in re.finditer("\n", text)], np.int64)
+            content = np.fromiter((len(w) > 1 and not w.isdigit() for w in names), bool, len(names)) & ~function
+            found = _page_marks(every, np.searchsorted(breaks, starts), content, is_list, plain[starts])
+            # The top word's share is one of words, the others' of characters.
+            shares = [float(c.mean() if name == "top" else lengths[c].sum() / n_chars) for name, (c, _) in found.items()]
+            able = [marked if s > part else None for (_, marked), s, part in zip(found.values(), shares, PAGE.values())]
+            if any(m is not None for m in able):
+                more, alone = [], np.zeros((len(GRID), len(words)), bool)
+                if of_list is not None:
+                    alone[:, is_list] = of_list
+                for bits in range(1, 1 << len(PAGE)):
+                    marked = alone.copy()
+                    for i, m in enumerate(able):
+                        if m is not None and bits >> i & 1:
+                            marked |= m
+                    more.append([form_chars + int(lengths[row].sum()) for row in marked])
+    return guess, n_chars, form_chars, listed, distinct, junk, shares, more
 
 
 _SCHEMA = pa.schema(
     [
         ("doc_id", pa.int64()), ("lang", pa.string()), ("n_chars", pa.int64()), ("form_chars", pa.int64()),
         ("list_words", pa.int64()), ("distinct_share", pa.float64()), ("junk", pa.list_(pa.int64())),
+        ("page_shares", pa.list_(pa.float64())), ("page_junk", pa.list_(pa.list_(pa.int64()))),
     ]
 )
-_DDL = "doc_id bigint, lang string, n_chars bigint, form_chars bigint, list_words bigint, distinct_share double, junk array<bigint>"
+_DDL = "doc_id bigint, lang string, n_chars bigint, form_chars bigint, list_words bigint, distinct_share double, junk array<bigint>, page_shares array<double>, page_junk array<array<bigint>>"
 #: A page counts for the calibration if its list has so many words and so small a share of junk by form.
 CALIBRATE_WORDS, CALIBRATE_FORM = 24, 0.1
 #: Lists below this part of the usual share of distinct words repeat themselves.
@@ -198,19 +282,20 @@ SPAM_SHARE = 0.5
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, lang, n_chars, form_chars, list_words, distinct_share, junk) of all documents.
+    """Rows (doc_id, lang, n_chars, form_chars, list_words, distinct_share, junk, page_shares, page_junk) of all documents.
 
     ``lang`` is told from the text; where the text does not tell, the delivered one
     counts (lower case, vi, en or fr), else it is null. ``junk`` has the junk characters
-    for each candidate threshold of GRID.
+    for each candidate threshold of GRID, ``page_junk`` for each set of page-wide measures
+    also; see page_features().
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc_id, text, lang in zip(*(c.to_pylist() for c in batch.columns)):
-                guess, n, form, listed, distinct, junk = page_features(text)
-                rows.append((doc_id, guess or (lang if lang in LANGUAGES else None), n, form, listed, distinct, junk))
+                guess, *rest = page_features(text)
+                rows.append((doc_id, guess or (lang if lang in LANGUAGES else None), *rest))
             columns = list(zip(*rows)) if rows else [()] * len(_SCHEMA)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
 
@@ -228,6 +313,13 @@ def calibrate(pages: DataFrame) -> DataFrame:
     return usual.select("lang", threshold_index(F.col("usual") * FACTOR).alias("threshold"))
 
 
+def calibrate_page(pages: DataFrame) -> DataFrame:
+    """Rows (lang, page_thresholds): the share of each measure of PAGE above which it marks junk, over all pages."""
+    long = pages.where(F.col("page_shares").isNotNull() & (F.col("form_chars") < CALIBRATE_FORM * F.col("n_chars")))
+    usual = [F.percentile_approx(F.col("page_shares")[i], 0.5, 10_000) for i in range(len(PAGE))]
+    return long.groupBy("lang").agg(F.array(*[u + part * (1 - u) for u, part in zip(usual, PAGE.values())]).alias("page_thresholds"))
+
+
 def threshold_index(value):
     """Position (from 1) in GRID of the largest threshold up to ``value``."""
     return F.greatest(F.lit(1), F.size(F.filter(F.array(*[F.lit(g) for g in GRID]), lambda g: g <= value + 1e-9)))
@@ -242,8 +334,13 @@ def spam_shares(docs: DataFrame) -> DataFrame:
     """
     pages = materialize(features(docs)).where("n_chars > 0")
     chosen = pages.join(F.broadcast(calibrate(pages)), "lang", "left")  # one row per language
+    chosen = chosen.join(F.broadcast(calibrate_page(pages)), "lang", "left")
     index = F.coalesce("threshold", threshold_index(F.lit(DEFAULT_DISTINCT)))
-    junk = F.element_at("junk", index)
+    limits = F.coalesce("page_thresholds", F.array(*[F.lit(part) for part in PAGE.values()]))
+    over = [F.when(F.col("page_shares")[i] > limits[i], 1 << i).otherwise(0) for i in range(len(PAGE))]
+    bits = sum(over[1:], over[0])
+    # Thresholds are no lower than PAGE's parts, so where a measure is over, page_junk is there.
+    junk = F.element_at(F.when(bits > 0, F.col("page_junk")[bits - 1]).otherwise(F.col("junk")), index)
     return chosen.select("doc_id", "lang", "n_chars", junk.alias("junk_chars"), (junk / F.col("n_chars")).alias("junk_share"))
 
 

@@ -144,3 +144,30 @@ def test_a_very_long_page_is_judged_whole():
     assert spam.page_features(prose * 400 + SPAM[1] * 3)[5][10] < 0.5 * spam.page_features(prose * 400 + SPAM[1] * 3)[1]
     n, junk = (f := spam.page_features(prose * 20 + SPAM[1] * 400))[1], f[5][10]
     assert junk > 0.5 * n
+
+
+KEYWORDS = [f"kw{a}{b}" for a in "abcdefgh" for b in "abcdefgh"][:60]
+REPEATED = {
+    31: " ".join(KEYWORDS * 500),
+    32: ", ".join(KEYWORDS * 500),
+    33: "how to watch football on tv " * 500,
+    34: "\n".join(f"where to see {w} and {v} on tv" for w, v in zip(KEYWORDS, reversed(KEYWORDS))) + "\n" + "watch it on tv\n" * 300,
+    35: "\n".join(" ".join(KEYWORDS[i : i + 12]) for i in range(0, 60, 12)) + "\n" + "\n".join([" ".join(KEYWORDS[i : i + 12]) for i in range(0, 60, 12)] * 20),
+}
+
+
+def test_repetition_is_seen_over_the_whole_page(spark):
+    texts = {**REPEATED, **HAM, 41: (HAM[21] + " ") * 400}
+    ordinary = {100 * k + i: t for i, t in HAM.items() for k in (1, 2, 3)}
+    df = spark.createDataFrame([(i, t, "en") for i, t in {**texts, **ordinary}.items()], "doc_id bigint, text string, lang string")
+    assert sorted(r[0] for r in spam.spam_pages(df).collect()) == sorted(REPEATED)
+
+
+def test_page_wide_measures():
+    top, phrase, line = spam.page_features("\n".join(f"football {a} {b} {c}" for a, b, c in zip(KEYWORDS[::3], KEYWORDS[1::3], KEYWORDS[2::3])))[6]
+    assert (top, phrase, line) == (0.25, 0.0, 0.0)
+    top, phrase, line = spam.page_features(REPEATED[33])[6]
+    assert phrase == 1.0 and line == 0.0
+    top, phrase, line = spam.page_features("see the tv\n" * 20 + " ".join(KEYWORDS))[6]
+    assert line == 160 / (160 + 240)
+    assert spam.page_features("see the tv " * 3)[6] is None
