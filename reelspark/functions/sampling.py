@@ -29,9 +29,22 @@ def dense_ids(window: Column) -> Column:
     return F.when(window.isNotNull(), F.sequence(window["first"], window["last"]))
 
 
+def dense_count(window: Column) -> Column:
+    """How many frames that are."""
+    return F.when(window.isNotNull(), (window["last"] - window["first"] + 1).cast("int"))
+
+
+def dense_blocks(window: Column, size: int = 4096) -> Column:
+    """The window cut into windows of at most ``size`` frames: a high frame rate makes no long list in a row."""
+    starts = F.sequence(window["first"], window["last"], F.lit(size).cast("bigint"))
+    block = lambda a: F.struct(a.alias("first"), F.least(window["last"], a + (size - 1)).alias("last"))
+    return F.when(window.isNotNull(), F.transform(starts, block))
+
+
 def even_ids(window: Column, n: int) -> Column:
     """``n`` evenly spaced frames, the closest to the centre moved onto it; all frames if there are no more."""
-    all_ids = F.sequence(window["first"], window["last"])
+    # Of the other frames the first few fill up: no more than these can be needed.
+    all_ids = F.sequence(window["first"], F.least(window["last"], window["first"] + (2 * n - 1)))
     span = (window["last"] - window["first"]).cast("double")
     if n == 1:
         few = F.array(window["center"])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from reelspark.functions.sampling import dense_ids, even_ids, frame_window, sparse_ids
+from reelspark.functions.sampling import dense_blocks, dense_ids, even_ids, frame_window, sparse_ids
 
 #: Takes rows (query_id, video_id, video_path, frame_id) and gives the scored ones
 #: (query_id, video_id, frame_id, source, score); frames it cannot decode are missing.
@@ -44,6 +44,16 @@ def rank_frames(scores: DataFrame, weights: dict[str, float] | None = None, k: f
 
 def _score(windows: DataFrame, ids, scorer: FrameScorer, weights) -> DataFrame:
     asked = windows.select("query_id", "video_id", "video_path", F.col("keyframe_uid").alias("window_id"), F.explode(ids).alias("frame_id"))
+    return _scored(asked, scorer, weights)
+
+
+def _score_all(windows: DataFrame, scorer: FrameScorer, weights) -> DataFrame:
+    """The same for every frame of ``w``."""
+    blocks = windows.select("query_id", "video_id", "video_path", F.col("keyframe_uid").alias("window_id"), F.explode(dense_blocks(F.col("w"))).alias("block"))
+    return _scored(blocks.select(*blocks.columns[:-1], F.explode(dense_ids(F.col("block"))).alias("frame_id")), scorer, weights)
+
+
+def _scored(asked: DataFrame, scorer: FrameScorer, weights) -> DataFrame:
     # Overlapping windows ask for a frame once.
     scored = scorer(asked.select("query_id", "video_id", "video_path", "frame_id").distinct())
     return rank_frames(asked.drop("video_path").join(scored, ["query_id", "video_id", "frame_id"]), weights)
@@ -70,7 +80,7 @@ def refine(candidates: DataFrame, videos: DataFrame, scorer: FrameScorer, cfg: R
     sparse = best(_score(good, sparse_ids(F.col("w"), F.col("fps"), cfg.sparse_fps), scorer, weights))
     around = good.join(sparse.select(*pair, F.col("b.frame_id").alias("sparse_frame_id"), (F.lit(0.0) - F.col("b.neg")).alias("sparse_score")), pair)
     near = around.withColumn("w", frame_window(F.col("sparse_frame_id"), F.col("fps"), cfg.dense_window_sec, F.col("frame_count")))
-    dense = best(_score(near, dense_ids(F.col("w")), scorer, weights))
+    dense = best(_score_all(near, scorer, weights))
     refined = near.join(dense.select(*pair, F.col("b.frame_id").alias("refined_frame_id"), (F.lit(0.0) - F.col("b.neg")).alias("local_score")), pair)
     found = refined.select(*pair, "sparse_frame_id", "sparse_score", "refined_frame_id", "local_score")
     out = rows.join(found, pair, "left")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from reelspark.functions import vector as V
 from reelspark.functions.answers import normalize_answer
-from reelspark.functions.sampling import dense_ids, even_ids, frame_window, sparse_ids
+from reelspark.functions.sampling import dense_count, even_ids, frame_window, sparse_ids
 from reelspark.functions.text import artifact_id, infer_group_id, infer_index, infer_video_id, keyframe_uid, metadata_document, parse_fraction, tokens
 from reelspark.operators import alignment, audit, bm25, evaluation, fusion, mapping, refine, search, submission, temporal
 from reelspark.operators.decompose import decompose_events
@@ -355,8 +355,8 @@ def frame_windows(spark, d):
     """Sparse, dense and even frames around the middle of every video."""
     rows = _videos(spark, d).where("frame_count is not null and fps is not null").withColumn("center", F.expr("frame_count div 2"))
     w = frame_window(F.col("center"), F.col("fps"), 1.0, F.col("frame_count"))
-    out = rows.where("fps <= 240").withColumn("w", w)
-    return out.select("video_id", sparse_ids(F.col("w"), F.col("fps"), 4.0).alias("sparse"), F.size(dense_ids(F.col("w"))).alias("n_dense"), even_ids(F.col("w"), 8).alias("even"))
+    out = rows.withColumn("w", w)
+    return out.select("video_id", sparse_ids(F.col("w"), F.col("fps"), 4.0).alias("sparse"), dense_count(F.col("w")).alias("n_dense"), even_ids(F.col("w"), 8).alias("even"))
 
 
 def fractions(spark, d):
@@ -396,14 +396,14 @@ def _scorer(asked: DataFrame) -> DataFrame:
 def refined_frames(spark, d):
     """The first candidates of every query with the best frame nearby, or why there is none."""
     lists = _first_source(spark, d).where("rank <= 5 and original_frame_id is not null")
-    rows = refine.refine(lists.select("query_id", "rank", "keyframe_uid", "video_id", "original_frame_id", "score"), _videos(spark, d).where("fps is null or fps <= 240"), _scorer)
+    rows = refine.refine(lists.select("query_id", "rank", "keyframe_uid", "video_id", "original_frame_id", "score"), _videos(spark, d), _scorer)
     return rows.select("query_id", "keyframe_uid", "sparse_frame_id", "refined_frame_id", F.round("local_score", 6).alias("local_score"), "refinement_status", "error")
 
 
 def refinement_overlay(spark, d):
     """Coarse lists with refined frames in place, the coarse order kept."""
     lists = _first_source(spark, d).where("rank <= 8 and original_frame_id is not null").select("query_id", "rank", "keyframe_uid", "video_id", "original_frame_id", "score")
-    done = refine.refine(lists, _videos(spark, d).where("fps is null or fps <= 240"), _scorer, refine.RefineConfig(candidates=5))
+    done = refine.refine(lists, _videos(spark, d), _scorer, refine.RefineConfig(candidates=5))
     over = refine.overlay(lists, done)
     return refine.refinement_counts(over, done)
 

@@ -212,3 +212,32 @@ def test_realign_falls_back_when_an_event_fails(spark):
     assert got == [(1, [11, 22], "refined"), (2, [30, 40], "coarse_fallback")]
 
 
+
+
+def test_no_frame_rate_is_too_high(spark, tmp_path):
+    from reelspark.plans import reference_queries
+
+    now = "timestamp'2026-01-01 00:00:00'"
+    video = "video_id string, group_id string, video_path string, fps double, frame_count bigint, duration_sec double, width int, height int, is_readable boolean"
+    rates = {"A": (25.0, 1000), "B": (9000.0, 100_000), "C": (float("nan"), 1000), "D": (9000000.0, 50_000)}
+    videos = [(v, "g", f"/{v}", fps, n, 1.0, 1, 1, True) for v, (fps, n) in rates.items()]
+    spark.createDataFrame(videos, video).selectExpr("*", f"{now} as ingested_at", "1L as load_id").write.parquet(f"{tmp_path}/videos.parquet")
+    lists = [("q1", "btc_clip", f"{v}:1", v, 500, 1.0, 0.9 - i / 10, i + 1, "p") for i, v in enumerate(rates)]
+    columns = "query_id string, source string, keyframe_uid string, video_id string, original_frame_id bigint, timestamp_sec double, score double, rank int, keyframe_path string"
+    spark.createDataFrame(lists, columns).selectExpr("*", f"{now} as retrieved_at").write.parquet(f"{tmp_path}/candidates.parquet")
+    n_dense = {r["video_id"]: (r["n_dense"], r["even"]) for r in reference_queries.frame_windows(spark, str(tmp_path)).collect()}
+    assert {v: n for v, (n, _) in n_dense.items()} == {"A": 51, "B": 18_001, "C": None, "D": 50_000}
+    assert n_dense["D"][1] == [0, 7143, 14285, 21428, 25000, 35714, 42856, 49999]
+    got = {r["keyframe_uid"]: r for r in reference_queries.refined_frames(spark, str(tmp_path)).collect()}
+    score = lambda f: f * 7919 % 1009
+    for v in "BD":
+        fps, n = rates[v]
+        first, last = max(0, 500 - round(3 * fps)), min(n - 1, 500 + round(3 * fps))
+        sparse = min({*range(first, last + 1, round(fps / 4)), first, 500, last}, key=lambda f: (-score(f), f))
+        dense = range(max(0, sparse - round(fps)), min(n - 1, sparse + round(fps)) + 1)
+        r = got[f"{v}:1"]
+        assert (r["refinement_status"], r["error"], r["sparse_frame_id"]) == ("refined", None, sparse)
+        assert r["refined_frame_id"] == min(dense, key=lambda f: (-score(f), f))
+    assert got["C:1"]["error"] == "frame or fps out of bounds"
+    counts = reference_queries.refinement_overlay(spark, str(tmp_path)).collect()[0]
+    assert (counts["n_refined"], counts["n_fallback"], counts["n_failed"]) == (3, 1, 1)
