@@ -1,349 +1,576 @@
 """Pages made of repeated keywords, link lists or product tags instead of sentences.
 
-Every character of a page is judged. Links (also disguised ones), hashtags, key:value
-tags, product codes and prices are junk by form. The remaining words are junk where they
-form a list, that is where function words are missing, and the list repeats itself (few
-distinct words in a window), or is held together by separators. Over the whole page three
-shares are taken, of any words outside sentences and ordinary lines: of the most frequent
-word, of phrases that recur, and of lines that recur; above its threshold each marks the
-words it is made of as junk, with function words or without.
-A page is spam if more than half of its characters are junk. The share of distinct words
-below which a list repeats itself, and the three thresholds of the page, are calibrated
-per language on the corpus.
+Texts become tokens, and tokens blocks of up to 32 words of a line; everything is computed
+over whole Arrow batches, never word by word in Python. Three scans of the pages follow each
+other; what passes between them is small and adds up (counts and histograms).
+
+1. Function words are learnt, for any language: words that occur in many documents' prose and
+   are much rarer in lists than in prose.
+2. The usual measures of each language are taken from histograms over all its pages, and
+   give its thresholds.
+3. Each block is judged. It is a list where function words are missing. A list is junk if the
+   share of its words in recurring words, bigrams or trigrams, the density of its separators
+   or of links among its words, or the run of words without any function word is above the
+   threshold, or if it holds the page's top word and that word's share is. With function words
+   or without, a block is junk if too few of its words are distinct, and a line if it recurs
+   and such lines make up too much of the page. Links, tags and codes are junk by form.
+
+A page is spam if more than half of its characters are junk.
 """
 
 from __future__ import annotations
 
-import re
 import unicodedata
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.session import materialize
-
-# Frequent function words per language. Articles and words that are part of
-# common noun phrases are left out: keyword lists hold them too.
-FUNCTION_WORDS = {
-    "vi": """và của được là ở có lúc tại khi từ sau trước rằng như vậy rồi những với để vào trong đang sẽ mà
-        thì này theo còn giữa họ chỉ cả lẫn ai nghĩ dù vẫn chúng tôi quý vị nhưng nếu vì sao đã đến trên dưới gần""",
-    "en": """in and is was to for with that at by on from will be are were has have had this which between after
-        although near into it its their they he she we you i me us our his her what why how when who but or not if
-        than then as would could should there these those before during while says said been nobody""",
-    "fr": """et que qui est dans pour avec sur ont sont vers selon où avant pendant derrière sous autour plus mais ou
-        ne ce cette ces il elle ils elles on nous vous je se son sa ses leur par si comme quand après depuis entre
-        était sera été avait fait montre explique pourquoi jusqu""",
-}
-_FUNCTION = {lang: frozenset(words.split()) for lang, words in FUNCTION_WORDS.items()}
-_ANY_FUNCTION = frozenset().union(*_FUNCTION.values())
-LANGUAGES = ("vi", "en", "fr")
-
-# Signs by which a page's language is told where function words are few.
-_SIGNS = {
-    "vi": re.compile(r"[ăđơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ]"),
-    "en": re.compile(r"\b(?:the|an)\b"),
-    "fr": re.compile(r"\b(?:le|la|les|un|une|des|du|de)\b|\b[ldcnqs]['’]"),
-}
-
-# How links are written, plainly or disguised.
-_DOT = r"(?:\[\.\]|\(\.\)|\{\.\}|\[dot\]|\(dot\)|\s{1,3}dot\s{1,3})"
-# Every repetition is bounded, or cannot be entered at many places: texts may be of any length.
-_TAIL = r"(?:\s{0,3}(?:/|\bslash\b|\bp/|\bpage\b)\s{0,3}\w{0,20}\s{0,3}\d{1,12})?"
-_HEAD = r"(?:(?:>>|[-=]>|\bgo to\b|\bhxxps?:|\bvisit\b)\s{0,3}){0,3}"
-_LABEL = r"[\w-]{1,63}"
-#: (what a page must hold, pattern): patterns run only where they can match.
-LINKS = tuple(
-    (hints, re.compile(pattern, re.IGNORECASE))
-    for hints, pattern in (
-        (("<a",), r"<a\s[^>]{0,400}>[^<]{0,200}(?:</a>)?"),
-        (("](",), r"\[[^\]\n]{0,120}\]\(\S+"),
-        (("->", "=>"), r"[^\n.!?<>]{1,80}\s[-=]>\s*\S+"),
-        (("://", "www."), rf"{_HEAD}(?:(?:https?|hxxps?|ftp)://\S+|www\.\S+)"),
-        (("[.]", "(.)", "{.}", "dot"), rf"{_HEAD}(?<![\w-]){_LABEL}(?:{_DOT}{_LABEL}){{1,6}}{_TAIL}"),
-        (
-            (".com", ".org", ".net", ".info", ".biz", ".example", ".test", ".invalid", ".vn", ".fr", ".tv", ".io"),
-            rf"{_HEAD}(?<![\w-]){_LABEL}(?:\.{_LABEL}){{0,6}}\.(?:com|org|net|info|biz|example|test|invalid|vn|fr|tv|io)\b(?:/\S*)?{_TAIL}",
-        ),
-    )
+# How links are written, plainly or disguised, and the endings of bare hosts
+# (common ones, and those reserved for examples).
+_DOT = r"(?:\[\.\]|\(\.\)|\{\.\}|\[dot\]|\(dot\)|[ \t]+dot[ \t]+)"
+_LABEL = r"[a-z0-9][a-z0-9-]*"
+_LEAD = r"(?:(?:>>|[-=]>|\bgo to\b|\bvisit\b|\bhxxps?:)[ \t]*)*"
+_PATH = r"(?:[ \t]*(?:/|\bslash\b|\bp/|\bpage\b)[ \t]*[a-z0-9_-]*[ \t]*[0-9]*)*"
+_ENDING = "com|org|net|info|biz|edu|gov|tv|io|co|me|app|dev|vn|fr|uk|de|eu|us|example|test|invalid"
+_LINKS = (
+    r"<a\s[^>]*>[^<]*(?:</a>)?",
+    r"\[[^\]\n]*\]\(\S+",
+    r"[^\n.!?<>]*[ \t][-=]>[ \t]*(?:https?:|www\.)\S+",
+    rf"{_LEAD}(?:(?:https?|hxxps?|ftp)://\S+|www\.\S+)",
+    rf"{_LEAD}\b{_LABEL}(?:{_DOT}{_LABEL})+{_PATH}",
+    rf"{_LEAD}\b{_LABEL}(?:\.{_LABEL})*\.(?:{_ENDING})\b(?:/\S*)?{_PATH}",
+    r"#[\p{L}_][\p{L}\p{M}\p{N}_]*",
 )
-TAG = re.compile(r"#[^\W\d]\w*|(?<![\w/])[a-z_]{2,15}:[^\s:,/]+")
-CODE = re.compile(r"\b[A-Z]{2,6}-?\d{3,}\b|[$€£₫]\s?\d+(?:[.,]\d+)?|\b\d+(?:[.,]\d+)?\s?(?:[$€£₫]|USD|EUR|VND)")
-SEPARATOR = re.compile(r"[|»«·•›‹~_¦/]|\(\d+\)|(?<=\s)[-–—](?=\s)")
-WORD = re.compile(r"[^\W_]+", re.UNICODE)
-# Lines of ordinary programme content: timetables, scores, credits, numbered or measured lines.
-ORDINARY = re.compile(
-    r"^\s*(?:\d{1,2}[:h]\d{2}\b|\d+[.)/:]|\S{1,8}\s+\d+\s*[:.)])|\d\s*[–-]\s*\d|^\s*[^\W\d_][^:\n|]{1,24}:\s|\d\s?°|^\s*km\s+\d",
-    re.IGNORECASE,
+_CODES = (
+    r"\b[a-z_]+:[^\s:,/]+",
+    r"\b[A-Z]{2,}-?[0-9]{3,}\b",
+    r"[$€£₫] ?[0-9]+(?:[.,][0-9]+)?",
+    r"\b[0-9]+(?:[.,][0-9]+)? ?(?:[$€£₫]|USD\b|EUR\b|VND\b)",
 )
-
-#: Separators, and words of lists, that make no list yet.
-FEW, SHORT = 4, 14
-#: A sentence: so many words at least, begun with a capital, mostly distinct, closed by a full stop.
-SENTENCE_WORDS, SENTENCE_DISTINCT = 9, 0.75
-_BREAK = re.compile(r"[\n.!?;|»•]")
-#: Words on either side in which a function word is looked for, and window of the list measures.
-NEAR, WINDOW = 5, 48
-#: Shares of distinct words for which junk is measured; calibration picks one per language.
-GRID = tuple(round(0.30 + 0.02 * i, 2) for i in range(28))
-#: A phrase is so many words in a row; it or a line recurs if it occurs so often on the page.
-PHRASE, RECURS = 5, 3
-#: Page-wide measures and the part of the way from a language's usual share to 1 above which
-#: they mark junk. Thresholds are never below these parts.
-PAGE = {"top": 0.25, "phrase": 0.5, "line": 0.4}
-#: Pages of fewer words have no page-wide measures; the usual share is their median over the others.
-PAGE_WORDS = 24
-
-
-def _window_sums(flags: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each position the sum of flags within the radius, and how many positions that are."""
-    n = len(flags)
-    total = np.concatenate([[0], np.cumsum(flags)])
-    at = np.arange(n)
-    low, high = np.maximum(at - radius, 0), np.minimum(at + radius + 1, n)
-    return total[high] - total[low], high - low
-
-
-def _distinct(codes: np.ndarray, window: int) -> np.ndarray:
-    """For each position the share of distinct values in a window around it."""
-    n = len(codes)
-    if n <= window:
-        return np.full(n, len(np.unique(codes)) / max(n, 1))
-    # A value counts in a window unless its last occurrence lies in it too.
-    last = np.full(int(codes.max()) + 1, -1)
-    previous = np.empty(n, np.int64)
-    for i, c in enumerate(codes.tolist()):
-        previous[i] = last[c]
-        last[c] = i
-    # One window for every eighth position serves its neighbours, which differ little.
-    step = window // 6
-    begin = np.minimum(np.arange(0, n - window + step, step), n - window)
-    share = np.array([np.count_nonzero(previous[s : s + window] < s) for s in begin]) / window
-    centred = np.clip(np.arange(n) - window // 2, 0, n - window)
-    return share[np.minimum((centred + step // 2) // step, len(begin) - 1)]
-
-
-def _recurring_phrases(codes: np.ndarray) -> np.ndarray:
-    """Which positions lie in a run of PHRASE values that occurs RECURS times or more."""
-    covered = np.zeros(len(codes), bool)
-    n = len(codes) - PHRASE + 1
-    if n < RECURS or np.bincount(codes).max() < RECURS:
-        return covered
-    values = codes.tolist()
-    runs = list(zip(*(values[i:] for i in range(PHRASE))))
-    times = Counter(runs)
-    if max(times.values()) < RECURS:
+#: What is junk by its form: links, hashtags, key:value tags, product codes, prices. This syntax has no backtracking.
+FORM = "(?i:" + "|".join(_LINKS) + ")|" + "|".join(_CODES)
+
+# Private characters that stand for a form, the end of a sentence and the end of a line.
+_OPEN, _CLOSE, _FORM, _STOP, _LINE = "", "", "", "", ""
+_HARD, _SOFT = "|", ","
+
+#: Words of a block at most, and of a sentence that is a block of its own at least.
+BLOCK, SENTENCE = 32, 8
+#: Phrases recur if they occur RECURS times within so many words; single words within fewer.
+RECURS, PHRASE_WINDOW, WORD_WINDOW = 3, 256, 128
+#: Words of a prose block at least, and its share of distinct words at least; less than LOOSE make a list.
+PROSE, DISTINCT, LOOSE = 9, 0.75, 0.5
+#: A function word is in the prose of this share of documents at least, and so much more frequent there than in lists.
+COMMON, CONTRAST = 0.1, 3.0
+#: A language is learnt if it is delivered with this share of the documents at least, so there are at most 1,000.
+LANGUAGE_SHARE = 0.001
+#: Function words (distinct) that tell the language of a page.
+TELLING = 3
+#: Blocks, lines of lists and pages of fewer words say nothing about the usual measures.
+USUAL_BLOCK, USUAL_LIST, USUAL_PAGE = 16, 3, 24
+#: Words of a list in which single words are looked for, and words without function words that are a list by that alone.
+LIST_WORDS, LIST_RUN = 12, 60
+#: Records (timetables, scores, credits) are lines of so many words at most that hold a number.
+RECORD_WORDS = 12
+#: Above this share of junk characters a page is spam.
+SPAM_SHARE = 0.5
+#: Bytes of text that are handled at once, unless one text is larger.
+SLICE_BYTES = 4 * 2**20
+#: Bins of the histograms of the measures, which all lie between 0 and 1.
+BINS = 200
+
+#: Thresholds by measure as (part of the usual value, part of the way from there to 1).
+LIMITS = {
+    "function": (0.4, 0.0),
+    "distinct": (0.5, 0.0),
+    "word": (1.0, 0.5),
+    "bigram": (1.0, 0.6),
+    "trigram": (1.0, 0.5),
+    "separator": (1.0, 0.15),
+    "line": (1.0, 0.5),
+    "top": (1.0, 0.25),
+}
+#: The usual value is this quantile over the pages; where not given the lower quartile, as many lists may be spam.
+QUANTILE = {"function": 0.5, "distinct": 0.5}
+#: Used where a language has nothing to calibrate on.
+USUAL = {"function": 0.3, "distinct": 0.9}
+#: The pooled language, for pages whose language nothing tells, and the usual code for "not determined".
+POOLED, UNDETERMINED = "*", "und"
+
+
+@dataclass
+class Tokens:
+    """The words of a slice of texts, in order, and the blocks they form."""
+
+    n: int
+    names: pa.Array
+    code: np.ndarray
+    doc: np.ndarray
+    line: np.ndarray
+    block: np.ndarray
+    length: np.ndarray
+    number: np.ndarray
+    first: np.ndarray
+    forms: np.ndarray  # per block, as the next two
+    hard: np.ndarray
+    soft: np.ndarray
+    line_forms: np.ndarray
+    line_separators: np.ndarray
+    form_chars: np.ndarray  # per document, as the next one
+    separators: np.ndarray
+
+    @property
+    def blocks(self) -> int:
+        return len(self.first)
+
+    def per_block(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.block, weights=weights, minlength=self.blocks)
+
+    def per_doc(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.doc, weights=weights, minlength=self.n)
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where any of the columns differs from the row before; the first row does."""
+    out = np.ones(len(columns[0]), bool)
+    if len(out):
+        out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
+
+
+def _flags(values: pa.Array) -> np.ndarray:
+    return values.to_numpy(zero_copy_only=False)
+
+
+def tokenise(texts: pa.Array) -> Tokens:
+    """Words, forms and separators of texts; null is as empty. Punctuation counts only within forms."""
+    n = len(texts)
+    # Arrow's own normalization does not compose characters.
+    text = pa.array([unicodedata.normalize("NFC", t or "") for t in texts.to_pylist()], pa.string())
+    text = pc.replace_substring_regex(text, f"[{_OPEN}-{_LINE}]", " ")
+    text = pc.replace_substring_regex(text, FORM, f"{_OPEN}\\0{_CLOSE}")
+    # Split at the marks, every second piece of a text is a form.
+    pieces = pc.split_pattern_regex(text, f"[{_OPEN}{_CLOSE}]")
+    size = np.diff(pieces.offsets.to_numpy())
+    odd = (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)) % 2 == 1
+    forms = pc.utf8_length(pc.replace_substring_regex(pc.filter(pieces.flatten(), pa.array(odd)), r"\s+", "")).to_numpy()
+    form_chars = np.bincount(np.repeat(np.arange(n), size)[odd], weights=forms, minlength=n).astype(np.int64)
+    text = pc.replace_substring_regex(text, f"{_OPEN}[^{_CLOSE}]*{_CLOSE}", f" {_FORM} ")
+    text = pc.replace_substring(text, "\n", f" {_LINE} ")
+    text = pc.replace_substring_regex(text, r"[.!?…]+[\"”»’)\]]*(?:[ \t]|$)", f" {_STOP} ")
+    text = pc.replace_substring_regex(text, r"[|»«·•›‹~_¦/]|[ \t][-–—][ \t]", f" {_HARD} ")
+    text = pc.replace_substring_regex(text, "[,;]", f" {_SOFT} ")
+    text = pc.replace_substring_regex(text, f"[^\\p{{L}}\\p{{M}}\\p{{N}}{_HARD}{_SOFT}{_FORM}-{_LINE}]+", " ")
+    listed = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.utf8_lower(text)))
+    coded = listed.flatten().dictionary_encode()
+    names, code = coded.dictionary, coded.indices.to_numpy()
+    doc = np.repeat(np.arange(n), np.diff(listed.offsets.to_numpy()))
+    real = _flags(pc.not_equal(names, ""))[code]
+    code, doc = code[real], doc[real]
+    form, stop, end, hard, soft = (_flags(pc.equal(names, mark))[code] for mark in (_FORM, _STOP, _LINE, _HARD, _SOFT))
+    word = ~(form | stop | end | hard | soft)
+    fresh = _starts(doc) if len(doc) else np.zeros(0, bool)
+    line = np.cumsum(end | fresh)
+    lines = int(line[-1]) + 1 if len(line) else 1
+    sentence = np.cumsum(end | stop | fresh)[word]
+    out_code, out_doc, out_line = code[word], doc[word], line[word]
+    m = len(out_code)
+    # Short pieces between stops belong together, others are sentences of their own.
+    begin = np.flatnonzero(_starts(sentence)) if m else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, m))
+    long = size >= SENTENCE
+    apart = _starts(out_line[begin]) if m else np.zeros(0, bool)
+    apart[1:] |= long[1:] | long[:-1]
+    part = np.repeat(np.cumsum(apart), size)
+    begin = np.flatnonzero(_starts(part)) if m else np.zeros(0, np.int64)
+    at = np.arange(m) - np.repeat(begin, np.diff(np.append(begin, m)))
+    heads = at % BLOCK == 0
+    block = np.cumsum(heads) - 1
+    blocks = int(heads.sum())
+    before = np.cumsum(word) - 1
+
+    def near(mask: np.ndarray) -> np.ndarray:
+        """Marks per block: they belong to the word before them in their line, else to the next."""
+        if not m:
+            return np.zeros(0)
+        left, right = np.clip(before[mask], 0, m - 1), np.clip(before[mask] + 1, 0, m - 1)
+        to_left = (before[mask] >= 0) & (out_line[left] == line[mask])
+        to_right = ~to_left & (out_line[right] == line[mask])
+        return np.bincount(np.concatenate([block[left[to_left]], block[right[to_right]]]), minlength=blocks)
+
+    return Tokens(
+        n, names, out_code, out_doc, out_line, block, pc.utf8_length(names).to_numpy()[out_code], _flags(pc.match_substring_regex(names, r"^\p{N}+$"))[out_code],
+        np.flatnonzero(heads), near(form), near(hard), near(soft), np.bincount(line[form], minlength=lines), np.bincount(line[hard | soft], minlength=lines),
+        form_chars, np.bincount(doc[hard | soft], minlength=n),
+    )
+
+
+def _mix(*columns: np.ndarray) -> np.ndarray:
+    """A 64-bit key of rows of numbers; unlike rows share one with odds of about 1 in 2^64."""
+    key = np.zeros(len(columns[0]), np.uint64)
+    for column in columns:
+        key = (key ^ column.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+        key *= np.uint64(0xBF58476D1CE4E5B9)
+        key ^= key >> np.uint64(32)
+    return key
+
+
+def _recurring(keys: np.ndarray, at: np.ndarray, window: int, times: int) -> np.ndarray:
+    """Which keys are one of ``times`` equal ones within ``window`` positions."""
+    order = np.lexsort((at, keys))
+    key, place = keys[order], at[order]
+    hot = np.zeros(len(key), bool)
+    k = times - 1
+    if len(key) > k:
+        found = np.flatnonzero((key[k:] == key[:-k]) & (place[k:] - place[:-k] <= window))
+        for i in range(times):
+            hot[found + i] = True
+    out = np.zeros(len(key), bool)
+    out[order] = hot
+    return out
+
+
+def recurring_phrases(t: Tokens, words: int, window: int, times: int = RECURS) -> np.ndarray:
+    """By word: whether it lies in a phrase of ``words`` words of one line that recurs. Numbers are skipped."""
+    plain = np.flatnonzero(~t.number)
+    covered = np.zeros(len(t.code), bool)
+    n = len(plain) - words + 1
+    if n < times:
         return covered
-    hot = np.flatnonzero(np.fromiter((times[r] >= RECURS for r in runs), bool, n))
-    for i in range(PHRASE):
-        covered[hot + i] = True
+    code, line, doc = t.code[plain], t.line[plain], t.doc[plain]
+    at = np.flatnonzero(line[:n] == line[words - 1 :])
+    keys = _mix(doc[at], *[code[at + i] for i in range(words)])
+    hot = at[_recurring(keys, plain[at], window, times)]
+    for i in range(words):
+        covered[plain[hot + i]] = True
     return covered
 
 
-def _recurring_lines(codes: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """Which positions lie in a line whose values are those of RECURS lines or more."""
-    if line[-1] - line[0] + 1 < RECURS:
-        return np.zeros(len(codes), bool)
-    begin = np.flatnonzero(np.diff(line, prepend=-1))
-    keys = [codes[a:b].tobytes() for a, b in zip(begin, [*begin[1:], len(codes)])]
-    times = Counter(keys)
-    return np.repeat(np.array([times[k] >= RECURS for k in keys], bool), np.diff([*begin, len(codes)]))
-
-
-def _page_marks(codes: np.ndarray, line: np.ndarray, content: np.ndarray, is_list: np.ndarray, plain: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """By measure of PAGE: the words it counts and those it marks. All arrays are by word of the page.
-
-    ``content`` are words that may be keywords. Plain words are never counted, but for the
-    length of the page. The most frequent word marks the list words near it.
-    """
-    top = np.zeros(len(codes), bool)
-    able = content & ~plain
-    if able.any():
-        top = able & (codes == np.bincount(codes[able]).argmax())
-    near, _ = _window_sums(top, NEAR)
-    phrase = np.zeros(len(codes), bool)
-    phrase[~plain] = _recurring_phrases(codes[~plain])
-    lines = _recurring_lines(codes, line) & ~plain
-    return {"top": (top, top | (is_list & (near > 0))), "phrase": (phrase, phrase), "line": (lines, lines)}
-
-
-def page_features(text: str | None) -> tuple:
-    """(language, n_chars, form_chars, list_words, distinct_share, junk per GRID, share per PAGE, junk by measures of PAGE) of one page.
-
-    The last has, for each set of measures (bit i for the i-th of PAGE, from 1), the junk per
-    GRID if these mark words too; it is None where no measure can reach its threshold. Both
-    are None for pages of fewer than PAGE_WORDS words.
-    """
-    text = unicodedata.normalize("NFC", text or "")
-    # Characters count unless they are white space or invisible.
-    counts = np.fromiter((not c.isspace() and c.isprintable() for c in text), bool, len(text))
-    if not counts.any():
-        return None, 0, 0, 0, None, [0] * len(GRID), None, None
-    form = np.zeros(len(text), bool)
-    marks: list[int] = []
-    lower = text.lower()
-    patterns = [pattern for hints, pattern in LINKS if any(h in lower for h in hints)]
-    for pattern in (*patterns, TAG, CODE):
-        for m in pattern.finditer(text):
-            form[m.start() : m.end()] = True
-            marks.append(m.start())
-    # Words of ordinary lines and of sentences are no list.
-    plain = np.zeros(len(text) + 1, bool)
-    at = 0
-    for line in text.split("\n"):
-        if ORDINARY.search(line) and not form[at : at + len(line)].any():
-            plain[at : at + len(line)] = True
-        at += len(line) + 1
-    begin = 0
-    for m in _BREAK.finditer(text):
-        piece, span = text[begin : m.start()], slice(begin, m.end())
-        begin = m.end()
-        if m.group() in ".!?" and piece.lstrip()[:1].isupper() and not form[span].any():
-            inside = WORD.findall(piece)
-            if len(inside) >= SENTENCE_WORDS and len({w.casefold() for w in inside}) >= SENTENCE_DISTINCT * len(inside):
-                plain[span] = True
-    separators = [m.start() for m in SEPARATOR.finditer(text) if not form[m.start()] and not plain[m.start()]]
-    if len(separators) >= FEW:
-        marks.extend(separators)
-    words = [(m.start(), m.end()) for m in WORD.finditer(text) if not form[m.start()]]
-    names = [text[a:b].casefold() for a, b in words]
-    function = np.fromiter((w in _ANY_FUNCTION for w in names), bool, len(names))
-    score = {lang: sum(w in _FUNCTION[lang] for w in names) + len(_SIGNS[lang].findall(lower)) for lang in LANGUAGES}
-    guess = max(LANGUAGES, key=lambda lang: score[lang]) if any(score.values()) else None
-    form_chars = int((form & counts).sum())
-    junk = [form_chars] * len(GRID)
-    # Punctuation between words belongs to neither side.
-    n_chars = form_chars + sum(b - a for a, b in words)
-    listed, distinct = 0, None
-    shares, more = None, None
-    if words:
-        starts = np.array([a for a, _ in words])
-        lengths = np.array([b - a for a, b in words])
-        near, _ = _window_sums(function, NEAR)
-        is_list = (near <= 0) & ~plain[starts]
-        listed = int(is_list.sum())
-        of_list = None
-        if listed >= SHORT or (listed and len(marks) >= FEW):
-            ids: dict[str, int] = {}
-            codes = np.array([ids.setdefault(names[i], len(ids)) for i in np.flatnonzero(is_list)])
-            share = _distinct(codes, WINDOW)
-            distinct = float(share.mean())
-            if listed < SHORT:
-                share[:] = 1.0
-            list_starts, list_lengths = starts[is_list], lengths[is_list]
-            # Marks (codes, separators, links) per word around each list word.
-            marked = np.searchsorted(np.sort(np.array(marks, np.int64)), list_starts) if marks else np.zeros(listed, np.int64)
-            low = np.maximum(np.arange(listed) - 6, 0)
-            high = np.minimum(np.arange(listed) + 6, listed - 1)
-            dense = (marked[high] - marked[low]) >= np.maximum((high - low) / 6, 1)
-            of_list = dense | (share < np.array(GRID)[:, None])
-            junk = [form_chars + int(list_lengths[row].sum()) for row in of_list]
-        if len(words) >= PAGE_WORDS:
-            numbers: dict[str, int] = {}
-            every = np.array([numbers.setdefault(w, len(numbers)) for w in names])
-            breaks = np.array([m.start() for m in re.finditer("\n", text)], np.int64)
-            content = np.fromiter((len(w) > 1 and not w.isdigit() for w in names), bool, len(names)) & ~function
-            found = _page_marks(every, np.searchsorted(breaks, starts), content, is_list, plain[starts])
-            # The top word's share is one of words, the others' of characters.
-            shares = [float(c.mean() if name == "top" else lengths[c].sum() / n_chars) for name, (c, _) in found.items()]
-            able = [marked if s > part else None for (_, marked), s, part in zip(found.values(), shares, PAGE.values())]
-            if any(m is not None for m in able):
-                more, alone = [], np.zeros((len(GRID), len(words)), bool)
-                if of_list is not None:
-                    alone[:, is_list] = of_list
-                for bits in range(1, 1 << len(PAGE)):
-                    marked = alone.copy()
-                    for i, m in enumerate(able):
-                        if m is not None and bits >> i & 1:
-                            marked |= m
-                    more.append([form_chars + int(lengths[row].sum()) for row in marked])
-    return guess, n_chars, form_chars, listed, distinct, junk, shares, more
-
-
-_SCHEMA = pa.schema(
-    [
-        ("doc_id", pa.int64()), ("lang", pa.string()), ("n_chars", pa.int64()), ("form_chars", pa.int64()),
-        ("list_words", pa.int64()), ("distinct_share", pa.float64()), ("junk", pa.list_(pa.int64())),
-        ("page_shares", pa.list_(pa.float64())), ("page_junk", pa.list_(pa.list_(pa.int64()))),
-    ]
-)
-_DDL = "doc_id bigint, lang string, n_chars bigint, form_chars bigint, list_words bigint, distinct_share double, junk array<bigint>, page_shares array<double>, page_junk array<array<bigint>>"
-#: A page counts for the calibration if its list has so many words and so small a share of junk by form.
-CALIBRATE_WORDS, CALIBRATE_FORM = 24, 0.1
-#: Lists below this part of the usual share of distinct words repeat themselves.
-FACTOR = 0.79
-#: Used for a language without pages to calibrate on.
-DEFAULT_DISTINCT = 0.58
-#: Above this share of junk characters a page is spam.
-SPAM_SHARE = 0.5
-
+def recurring_lines(t: Tokens) -> np.ndarray:
+    """By word: whether its line occurs RECURS times on the page, numbers aside."""
+    plain = np.flatnonzero(~t.number)
+    covered = np.zeros(len(t.code), bool)
+    if not len(plain):
+        return covered
+    begin = np.flatnonzero(_starts(t.line[plain]))
+    size = np.diff(np.append(begin, len(plain)))
+    at = np.arange(len(plain)) - np.repeat(begin, size)
+    keys = _mix(t.doc[plain][begin], np.add.reduceat(_mix(t.code[plain], at), begin))
+    _, which, times = np.unique(keys, return_inverse=True, return_counts=True)
+    covered[plain] = np.repeat(times[which] >= RECURS, size)
+    return covered
 
-def features(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, lang, n_chars, form_chars, list_words, distinct_share, junk, page_shares, page_junk) of all documents.
 
-    ``lang`` is told from the text; where the text does not tell, the delivered one
-    counts (lower case, vi, en or fr), else it is null. ``junk`` has the junk characters
-    for each candidate threshold of GRID, ``page_junk`` for each set of page-wide measures
-    also; see page_features().
-    """
+def _distinct_shares(t: Tokens, plain_words: np.ndarray) -> np.ndarray:
+    width = len(t.names) + 1
+    pairs = np.unique((t.block.astype(np.int64) * width + t.code)[~t.number])
+    return np.bincount(pairs // width, minlength=t.blocks) / np.maximum(plain_words, 1)
+
+
+class Lexicon:
+    """Function words by language; the pooled language has those of all."""
+
+    def __init__(self, words: dict[str, list[str]]) -> None:
+        self.languages = sorted(words)
+        known = sorted({w for each in words.values() for w in each})
+        self.known = pa.array(known, pa.string())
+        self.table = np.zeros((len(known) + 1, len(self.languages) + 1), bool)
+        place = {w: i for i, w in enumerate(known)}
+        for j, language in enumerate(self.languages):
+            for w in words[language]:
+                self.table[place[w], j] = True
+        self.table[:-1, -1] = True
+
+    def flags(self, names: pa.Array) -> np.ndarray:
+        """By name and language, the pooled one last: whether it is a function word."""
+        found = pc.fill_null(pc.index_in(names, value_set=self.known), len(self.known))
+        return self.table[found.to_numpy()]
+
+
+@dataclass
+class Measures:
+    """What is measured by block and page; languages are positions in the lexicon, the pooled one last."""
+
+    language: np.ndarray
+    words: np.ndarray
+    prose: np.ndarray
+    block: dict[str, np.ndarray]
+    pairs: np.ndarray
+    page: dict[str, np.ndarray]
+    page_words: np.ndarray
+    in_line: np.ndarray
+    is_top: np.ndarray
+    chars: np.ndarray
+
+
+def measure(t: Tokens, given: list, lexicon: Lexicon) -> Measures:
+    """All measures of a slice; ``given`` has the delivered languages."""
+    flags = lexicon.flags(t.names)
+    width = len(t.names) + 1
+    once = np.unique(t.doc.astype(np.int64) * width + t.code)
+    doc, code = once // width, once % width
+    pooled = len(lexicon.languages)
+    best, guess = np.zeros(t.n, np.int64), np.full(t.n, pooled)
+    for j in range(pooled):
+        hits = np.bincount(doc[flags[code, j]], minlength=t.n)
+        guess = np.where(hits > best, j, guess)
+        best = np.maximum(best, hits)
+    places = {language: j for j, language in enumerate(lexicon.languages)}
+    told = np.array([places.get(g, pooled) for g in given], np.int64)
+    # Where few function words tell, the delivered language counts.
+    language = np.where((best >= TELLING) | ((told == pooled) & (best > 0)), guess, told)
+    function = flags[t.code, language[t.doc]] if len(t.code) else np.zeros(0, bool)
+    words = t.per_block(~t.number)
+    every = np.maximum(t.per_block(np.ones(len(t.code))), 1)
+    share = lambda mask: t.per_block(mask) / np.maximum(words, 1)
+    distinct = _distinct_shares(t, words)
+    block = {
+        "function": t.per_block(function & ~t.number) / np.maximum(words, 1),
+        "distinct": distinct,
+        "word": share(recurring_phrases(t, 1, WORD_WINDOW)),
+        "bigram": share(recurring_phrases(t, 2, PHRASE_WINDOW)),
+        "trigram": share(recurring_phrases(t, 3, PHRASE_WINDOW)),
+        "separator": (t.hard + t.soft) / every,
+        "form": t.forms / every,
+    }
+    in_line = recurring_lines(t)
+    chars = t.form_chars + t.per_doc(t.length)
+    # The top word of a page is its most frequent word that is neither function word nor number.
+    able = np.flatnonzero(~t.number & ~function)
+    key, times = np.unique(t.doc[able].astype(np.int64) * width + t.code[able], return_counts=True)
+    order = np.lexsort((key, -times, key // width))
+    lead = order[_starts((key // width)[order])] if len(key) else order
+    top_key = np.full(t.n, -1)
+    top_key[key[lead] // width] = key[lead]
+    top_times = np.zeros(t.n)
+    top_times[key[lead] // width] = times[lead]
+    page_words = t.per_doc(~t.number)
+    page = {"line": t.per_doc(t.length * in_line) / np.maximum(chars, 1), "top": top_times / np.maximum(page_words, 1)}
+    is_top = top_key[t.doc] == t.doc.astype(np.int64) * width + t.code
+    prose = (words >= PROSE) & (distinct >= DISTINCT)
+    return Measures(language, words, prose, block, share(recurring_phrases(t, 1, WORD_WINDOW, 2)), page, page_words, in_line, is_top, chars)
+
+
+def _records(t: Tokens, in_line: np.ndarray) -> np.ndarray:
+    """By line: whether it is a record, a short line with a number, hardly separated and without forms, that does not recur."""
+    lines = len(t.line_forms)
+    numbers, words = np.bincount(t.line[t.number], minlength=lines), np.bincount(t.line[~t.number], minlength=lines)
+    again = np.zeros(lines, bool)
+    again[t.line[in_line]] = True
+    return (numbers > 0) & (words <= RECORD_WORDS) & (t.line_forms == 0) & (t.line_separators < 3) & ~again
+
+
+def junk_chars(t: Tokens, m: Measures, limits: np.ndarray) -> np.ndarray:
+    """Junk characters per document; ``limits`` has a row per language and a column per measure of LIMITS."""
+    at = {name: i for i, name in enumerate(LIMITS)}
+    language = m.language[t.doc[t.first]] if t.blocks else np.zeros(0, np.int64)
+    over = lambda name: m.block[name] >= limits[language, at[name]]
+    poor = m.block["function"] < limits[language, at["function"]]
+    line = t.line[t.first] if t.blocks else np.zeros(0, np.int64)
+    lists = poor & ~_records(t, m.in_line)[line]
+    separators = t.hard + t.soft
+    _, which = np.unique(line, return_inverse=True)
+    run = np.bincount(which, weights=m.words * poor)[which] if t.blocks else np.zeros(0)
+    junk = lists & (over("trigram") | over("bigram"))
+    junk |= lists & over("word") & (m.words >= LIST_WORDS)
+    junk |= lists & over("separator") & (separators >= 3) & (m.block["word"] >= 0.7 * limits[language, at["word"]])
+    # Hard separators are no ordinary punctuation: with them, or without any, recurring twice is enough.
+    dense = (t.hard >= 4) & (t.hard >= limits[language, at["separator"]] * np.maximum(m.words, 1)) & (m.pairs >= 0.5)
+    bare = (t.soft <= 0.05 * m.words) & (m.words >= USUAL_BLOCK) & (m.pairs >= 0.7)
+    junk |= lists & (dense | bare)
+    junk |= lists & (run >= LIST_RUN)
+    junk |= poor & (m.block["form"] >= 1 / 8)
+    junk |= (m.block["distinct"] < limits[language, at["distinct"]]) & (m.words >= USUAL_BLOCK)
+    topped = (m.page["top"] > limits[m.language, at["top"]]) & (m.page_words >= USUAL_PAGE)
+    has_top = t.per_block(m.is_top) > 0
+    if t.blocks:
+        junk |= lists & has_top & topped[t.doc[t.first]]
+    lined = m.page["line"] > limits[m.language, at["line"]]
+    marked = junk[t.block] | (m.in_line & lined[t.doc]) if len(t.code) else np.zeros(0, bool)
+    return t.form_chars + t.per_doc(t.length * marked).astype(np.int64)
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose last column, the text, has at most SLICE_BYTES, or one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy()
+    begin, total = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > begin and total + size > SLICE_BYTES:
+            yield batch.slice(begin, i - begin)
+            begin, total = i, 0
+        total += size
+    if len(sizes) > begin:
+        yield batch.slice(begin)
+
+
+def _scan(docs: DataFrame, work: Callable[[pa.Array, list, Tokens], pa.RecordBatch], schema: str) -> DataFrame:
+    """``work`` on every slice of the documents, as (ids, delivered languages, tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, text, lang in zip(*(c.to_pylist() for c in batch.columns)):
-                guess, *rest = page_features(text)
-                rows.append((doc_id, guess or (lang if lang in LANGUAGES else None), *rest))
-            columns = list(zip(*rows)) if rows else [()] * len(_SCHEMA)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
-
-    return docs.select(F.col("doc_id").cast("bigint"), "text", F.lower(F.trim("lang"))).mapInArrow(run, _DDL)
+            for part in _slices(batch):
+                yield work(part.column(0), part.column(1).to_pylist(), tokenise(part.column(2)))
+
+    language = F.lower(F.trim(F.col("lang").cast("string")))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.when(~language.isin("", POOLED, UNDETERMINED), language).alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def _word_counts(ids: pa.Array, given: list, t: Tokens) -> pa.RecordBatch:
+    """(lang, word, docs, prose, listed) of a slice; the row without a word has the totals."""
+    languages = sorted({g for g in given if g is not None})
+    place = {g: i for i, g in enumerate(languages)}
+    told = np.array([place.get(g, -1) for g in given], np.int64)
+    words = t.per_block(~t.number)
+    distinct = _distinct_shares(t, words)
+    prose = (words >= PROSE) & (distinct >= DISTINCT)
+    loose = (words > 0) & ((words < PROSE) | (distinct < LOOSE))
+    usable = ~t.number & (told[t.doc] >= 0)
+    width = len(t.names) + 1
+    out = {"lang": [], "word": [], "docs": [], "prose": [], "listed": []}
+    key = told[t.doc] * width + t.code
+    in_prose, in_list = usable & prose[t.block], usable & loose[t.block]
+    once = np.unique(t.doc[in_prose].astype(np.int64) * width + t.code[in_prose])
+    seen, docs = np.unique(told[once // width] * width + once % width, return_counts=True)
+    size = len(languages) * width
+    of_prose, of_list = np.bincount(key[in_prose], minlength=size), np.bincount(key[in_list], minlength=size)
+    langs = np.concatenate([seen // width, np.arange(len(languages))])
+    totals = of_prose.reshape(-1, width).sum(1), of_list.reshape(-1, width).sum(1)
+    pages = np.bincount(told[told >= 0], minlength=len(languages))
+    word = pa.concat_arrays([t.names.take(pa.array(seen % width)), pa.nulls(len(languages), pa.string())])
+    out = [
+        pa.array(languages, pa.string()).take(pa.array(langs.astype(np.int64))), word, pa.array(np.concatenate([docs, pages]).astype(np.int64)),
+        pa.array(np.concatenate([of_prose[seen], totals[0]]).astype(np.int64)), pa.array(np.concatenate([of_list[seen], totals[1]]).astype(np.int64)),
+    ]
+    return pa.RecordBatch.from_arrays(out, names=["lang", "word", "docs", "prose", "listed"])
+
+
+def function_words(docs: DataFrame) -> dict[str, list[str]]:
+    """The function words of every delivered language.
+
+    A word must be in the prose of COMMON of its language's documents and CONTRAST times as
+    frequent there as in its lists. So there are at most 1 / COMMON times the distinct words
+    of an average document, and at most 1 / LANGUAGE_SHARE languages: few enough for the driver.
+    """
+    counts = _scan(docs, _word_counts, "lang string, word string, docs bigint, prose bigint, listed bigint")
+    counts = counts.groupBy("lang", "word").agg(*[F.sum(c).alias(c) for c in ("docs", "prose", "listed")])
+    pages = docs.count()
+    enough = F.col("docs") >= LANGUAGE_SHARE * pages
+    totals = counts.where(F.col("word").isNull() & enough & (F.col("prose") > 0)).select("lang", *[F.col(c).alias(f"all_{c}") for c in ("docs", "prose", "listed")])
+    totals = {r["lang"]: r for r in totals.collect()}
+    if not totals:
+        return {}
+    rows = counts.where(F.col("word").isNotNull() & F.col("lang").isin(list(totals)))
+    figure = lambda name: F.create_map(*[F.lit(x) for lang, r in totals.items() for x in (lang, float(r[name]))])[F.col("lang")]
+    # A word that no list holds counts there as a part of an occurrence.
+    rarely = (F.col("listed") + 0.1) / (figure("all_listed") + 100)
+    chosen = rows.where((F.col("docs") >= COMMON * figure("all_docs")) & (F.col("prose") / figure("all_prose") >= CONTRAST * rarely))
+    out: dict[str, list[str]] = {lang: [] for lang in totals}
+    for r in chosen.select("lang", "word").collect():
+        out[r["lang"]].append(r["word"])
+    return {lang: sorted(words) for lang, words in out.items() if words}
+
+
+def _histograms(lexicon: Lexicon) -> Callable[[pa.Array, list, Tokens], pa.RecordBatch]:
+    def work(ids: pa.Array, given: list, t: Tokens) -> pa.RecordBatch:
+        m = measure(t, given, lexicon)
+        of_block = t.doc[t.first]
+        says = m.words >= USUAL_BLOCK
+        worded = m.block["function"] > 0
+        lists = (m.words >= USUAL_LIST) & ~worded
+        chosen = {name: (m.page[name], m.page_words >= USUAL_PAGE) for name in m.page}
+        for name, mask in {"function": says & m.prose & worded, "distinct": says & worded, **dict.fromkeys(("word", "bigram", "trigram", "separator"), lists)}.items():
+            # A page counts once, with the mean over its blocks.
+            blocks = np.bincount(of_block[mask], minlength=t.n)
+            chosen[name] = (np.bincount(of_block[mask], weights=m.block[name][mask], minlength=t.n) / np.maximum(blocks, 1), blocks > 0)
+        keys, counts = [], []
+        for i, name in enumerate(LIMITS):
+            value, mask = chosen[name]
+            bins = np.clip((value[mask] * BINS).astype(np.int64), 0, BINS - 1)
+            key, n = np.unique((m.language[mask] * len(LIMITS) + i) * BINS + bins, return_counts=True)
+            keys.append(key)
+            counts.append(n)
+        key = np.concatenate(keys)
+        columns = [key // (len(LIMITS) * BINS), key // BINS % len(LIMITS), key % BINS, np.concatenate(counts)]
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["language", "measure", "bin", "n"])
+
+    return work
+
+
+def calibrate(docs: DataFrame, lexicon: Lexicon) -> np.ndarray:
+    """Thresholds by language (the pooled one last) and measure, from quantiles over all pages.
+
+    A histogram has BINS bins for each language and measure, whatever the number of pages.
+    """
+    rows = _scan(docs, _histograms(lexicon), "language bigint, measure bigint, bin bigint, n bigint").groupBy("language", "measure", "bin").agg(F.sum("n")).collect()
+    found = np.zeros((len(lexicon.languages) + 1, len(LIMITS), BINS))
+    for language, name, at, n in rows:
+        found[language, name, at] += n
+    found[-1] = found.sum(0)
+    limits = np.zeros(found.shape[:2])
+    for j, (name, (part, way)) in enumerate(LIMITS.items()):
+        for i in range(len(found)):
+            total = found[i, j].cumsum()
+            # The lower edge of the quantile's bin: a measure that is usually 0 counts as 0.
+            usual = np.searchsorted(total, total[-1] * QUANTILE.get(name, 0.25)) / BINS if total[-1] else USUAL.get(name, 0.0)
+            limits[i, j] = part * usual + way * (1 - usual)
+    return limits
 
 
-def calibrate(pages: DataFrame) -> DataFrame:
-    """Rows (lang, threshold): the index into ``junk`` (from 1) for each language, over all pages.
+def spam_shares(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, lang, n_chars, junk_chars, junk_share) of all documents with any character.
 
-    Most lists of a crawl are ordinary; their usual share of distinct words differs by
-    language (syllables, articles), so the threshold is a fixed part of its median.
+    ``docs`` has (doc_id, lang, text) and is read three times. ``lang`` is the language told
+    by the function words, else the delivered one, else null. Null, empty and blank texts
+    give no row. Every row counts, repeated texts and ids too; a null id is kept. White space
+    is not counted, punctuation only within forms. Texts are judged whole. Other columns are
+    ignored. An empty table gives no rows.
     """
-    lists = pages.where((F.col("list_words") >= CALIBRATE_WORDS) & (F.col("form_chars") < CALIBRATE_FORM * F.col("n_chars")))
-    usual = lists.groupBy("lang").agg(F.percentile_approx("distinct_share", 0.5, 10_000).alias("usual"))
-    return usual.select("lang", threshold_index(F.col("usual") * FACTOR).alias("threshold"))
+    context = docs.sparkSession.sparkContext
+    lexicon = Lexicon(function_words(docs))
+    sent = context.broadcast((lexicon, calibrate(docs, lexicon)))
 
+    def work(ids: pa.Array, given: list, t: Tokens) -> pa.RecordBatch:
+        lexicon, limits = sent.value
+        m = measure(t, given, lexicon)
+        junk = junk_chars(t, m, limits)
+        names = pa.array([*lexicon.languages, None], pa.string()).take(pa.array(m.language))
+        columns = [ids, names, pa.array(m.chars.astype(np.int64)), pa.array(junk.astype(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", "n_chars", "junk_chars"])
 
-def calibrate_page(pages: DataFrame) -> DataFrame:
-    """Rows (lang, page_thresholds): the share of each measure of PAGE above which it marks junk, over all pages."""
-    long = pages.where(F.col("page_shares").isNotNull() & (F.col("form_chars") < CALIBRATE_FORM * F.col("n_chars")))
-    usual = [F.percentile_approx(F.col("page_shares")[i], 0.5, 10_000) for i in range(len(PAGE))]
-    return long.groupBy("lang").agg(F.array(*[u + part * (1 - u) for u, part in zip(usual, PAGE.values())]).alias("page_thresholds"))
+    rows = _scan(docs, work, "doc_id bigint, lang string, n_chars bigint, junk_chars bigint").where("n_chars > 0")
+    return rows.withColumn("junk_share", F.col("junk_chars") / F.col("n_chars"))
 
 
-def threshold_index(value):
-    """Position (from 1) in GRID of the largest threshold up to ``value``."""
-    return F.greatest(F.lit(1), F.size(F.filter(F.array(*[F.lit(g) for g in GRID]), lambda g: g <= value + 1e-9)))
+def spam_pages(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id) of the spam pages; see spam_shares()."""
+    return spam_shares(docs).where(F.col("junk_share") > SPAM_SHARE).select("doc_id")
 
 
-def spam_shares(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, lang, n_chars, junk_chars, junk_share) of all documents with any character.
+def page_measures(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, n_words, n_lines, n_separators, form_chars, word_chars, top_word_n, bigram_words, trigram_words, line_words).
 
-    Null, empty and blank texts give no row. Every row counts, repeated texts and ids
-    too; a null id is kept. White space is not counted. Texts are judged whole.
-    Punctuation counts only within links, tags and codes.
+    The measures that need no calibration, of all documents: words without numbers, lines
+    with words, the occurrences of the most frequent word, and the words that lie in
+    recurring bigrams, trigrams and lines.
     """
-    pages = materialize(features(docs)).where("n_chars > 0")
-    chosen = pages.join(F.broadcast(calibrate(pages)), "lang", "left")  # one row per language
-    chosen = chosen.join(F.broadcast(calibrate_page(pages)), "lang", "left")
-    index = F.coalesce("threshold", threshold_index(F.lit(DEFAULT_DISTINCT)))
-    limits = F.coalesce("page_thresholds", F.array(*[F.lit(part) for part in PAGE.values()]))
-    over = [F.when(F.col("page_shares")[i] > limits[i], 1 << i).otherwise(0) for i in range(len(PAGE))]
-    bits = sum(over[1:], over[0])
-    # Thresholds are no lower than PAGE's parts, so where a measure is over, page_junk is there.
-    junk = F.element_at(F.when(bits > 0, F.col("page_junk")[bits - 1]).otherwise(F.col("junk")), index)
-    return chosen.select("doc_id", "lang", "n_chars", junk.alias("junk_chars"), (junk / F.col("n_chars")).alias("junk_share"))
 
-
-def spam_pages(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id) of the spam pages; see spam_shares()."""
-    return spam_shares(docs).where(F.col("junk_share") > SPAM_SHARE).select("doc_id")
+    def work(ids: pa.Array, given: list, t: Tokens) -> pa.RecordBatch:
+        width = len(t.names) + 1
+        key, times = np.unique((t.doc.astype(np.int64) * width + t.code)[~t.number], return_counts=True)
+        top = np.zeros(t.n, np.int64)
+        np.maximum.at(top, key // width, times)
+        first = np.flatnonzero(_starts(t.line)) if len(t.line) else np.zeros(0, np.int64)
+        counts = [
+            t.per_doc(~t.number), np.bincount(t.doc[first], minlength=t.n), t.separators, t.form_chars, t.per_doc(t.length), top,
+            t.per_doc(recurring_phrases(t, 2, PHRASE_WINDOW)), t.per_doc(recurring_phrases(t, 3, PHRASE_WINDOW)), t.per_doc(recurring_lines(t)),
+        ]
+        return pa.RecordBatch.from_arrays([ids, *[pa.array(c.astype(np.int64)) for c in counts]], names=["doc_id", *names])
+
+    names = ["n_words", "n_lines", "n_separators", "form_chars", "word_chars", "top_word_n", "bigram_words", "trigram_words", "line_words"]
+    return _scan(docs, work, "doc_id bigint, " + ", ".join(f"{c} bigint" for c in names))

@@ -131,43 +131,77 @@ HAM = {
 }
 
 
-def test_spam_pages(spark):
-    data = [(i, t, "en", "x", "y") for i, t in {**SPAM, **HAM}.items()] + [(90, None, None, "x", "y"), (91, "", "en", "x", "y"), (92, " \n\t", "en", "x", "y"), (1, SPAM[1], "vi", "x", "y"), (None, SPAM[2], None, "x", "y")]
-    df = spark.createDataFrame(data, "doc_id bigint, text string, lang string, junk string, threshold string")
-    got = sorted((r[0] for r in spam.spam_pages(df).collect()), key=repr)
-    assert got == sorted([*SPAM, 1, None], key=repr)
-    assert spam.spam_pages(df.limit(0)).isEmpty()
-
-
-def test_a_very_long_page_is_judged_whole():
-    prose = HAM[21] + " "
-    assert spam.page_features(prose * 400 + SPAM[1] * 3)[5][10] < 0.5 * spam.page_features(prose * 400 + SPAM[1] * 3)[1]
-    n, junk = (f := spam.page_features(prose * 20 + SPAM[1] * 400))[1], f[5][10]
-    assert junk > 0.5 * n
-
-
-KEYWORDS = [f"kw{a}{b}" for a in "abcdefgh" for b in "abcdefgh"][:60]
+WHO = ("a reporter", "the choir", "an old potter", "two riders", "the referee", "our crew")
+DID = ("opened", "painted", "carried", "watched", "counted", "repaired")
+WHAT = ("the gate", "a ferry", "the loom", "three baskets", "an old tram", "the radio mast")
+WHEN = ("before it began to rain", "and then they all went home", "because nobody else would", "while we were on the way", "so that it could be seen from there", "after he had told us about it")
+PROSE = {
+    1_000 + i: " ".join(f"{WHO[(i + k) % 6].capitalize()} {DID[(i // 2 + k) % 6]} {WHAT[(i // 3 + 2 * k) % 6]} in {chr(65 + i % 26)}{'aeiou'[k]}ford {WHEN[(i // 5 + k) % 6]}." for k in range(4))
+    for i in range(60)
+}
+LISTS = {2_000 + i: f"Inside {WHAT[i % 6].title()}\n0{i % 10}:1{i % 6}\nkm {i}\nEXIT {i}" for i in range(20)}
+#: 200 keywords that all differ.
+KEYWORDS = [f"{a}{b}{c}" for a in ("foto", "cine", "moto", "tele") for b in ("band", "card", "deal", "lamp", "ring") for c in ("ab", "ed", "il", "on", "ut", "ax", "er", "is", "om", "um")]
 REPEATED = {
-    31: " ".join(KEYWORDS * 500),
-    32: ", ".join(KEYWORDS * 500),
+    31: " ".join(KEYWORDS[:60] * 500),
+    32: ", ".join(KEYWORDS[:60] * 500),
     33: "how to watch football on tv " * 500,
-    34: "\n".join(f"where to see {w} and {v} on tv" for w, v in zip(KEYWORDS, reversed(KEYWORDS))) + "\n" + "watch it on tv\n" * 300,
-    35: "\n".join(" ".join(KEYWORDS[i : i + 12]) for i in range(0, 60, 12)) + "\n" + "\n".join([" ".join(KEYWORDS[i : i + 12]) for i in range(0, 60, 12)] * 20),
+    34: "the best offers for your holiday are only here today\n" * 60,
+    35: "The best offers for your holiday are only here today.\n" * 60,
+    36: "cheap phone and cheap tariff for phone deals with cheap phone " * 40,
+    37: ", ".join(KEYWORDS),
+    38: " ".join(KEYWORDS + KEYWORDS[::-1]),
+    39: "Tags: " + ", ".join(["cheap tickets", "live stream", "free match", "full hd"] * 20),
+    40: "\n".join(["Tags: cheap tickets live stream"] * 40),
+}
+INGREDIENTS = "200 g flour\n2 eggs\n100 ml milk\n1 pinch of salt\n50 g butter\n1 lemon\nfresh basil\nblack pepper\nolive oil\n"
+ORDINARY = {
+    51: INGREDIENTS * 2,
+    52: "flour, sugar, butter, eggs, milk, salt, baking powder, vanilla, lemon zest, cinnamon, raisins, almonds. " * 2,
+    53: PROSE[1_000] + "\nhttps://a.example/v/1\n#Live #Goal",
+    54: " ".join(PROSE.values()),
+    55: "um you can see see see see the ferry and then they all went home before it began to rain",
 }
 
 
-def test_repetition_is_seen_over_the_whole_page(spark):
-    texts = {**REPEATED, **HAM, 41: (HAM[21] + " ") * 400}
-    ordinary = {100 * k + i: t for i, t in HAM.items() for k in (1, 2, 3)}
-    df = spark.createDataFrame([(i, t, "en") for i, t in {**texts, **ordinary}.items()], "doc_id bigint, text string, lang string")
-    assert sorted(r[0] for r in spam.spam_pages(df).collect()) == sorted(REPEATED)
-
-
-def test_page_wide_measures():
-    top, phrase, line = spam.page_features("\n".join(f"football {a} {b} {c}" for a, b, c in zip(KEYWORDS[::3], KEYWORDS[1::3], KEYWORDS[2::3])))[6]
-    assert (top, phrase, line) == (0.25, 0.0, 0.0)
-    top, phrase, line = spam.page_features(REPEATED[33])[6]
-    assert phrase == 1.0 and line == 0.0
-    top, phrase, line = spam.page_features("see the tv\n" * 20 + " ".join(KEYWORDS))[6]
-    assert line == 160 / (160 + 240)
-    assert spam.page_features("see the tv " * 3)[6] is None
+def test_spam_pages(spark):
+    data = [(i, t, "en", "x", "y") for i, t in {**SPAM, **HAM, **REPEATED, **ORDINARY, **PROSE, **LISTS}.items()]
+    data += [(90, None, None, "x", "y"), (91, "", "en", "x", "y"), (92, " \n\t", "en", "x", "y"), (1, SPAM[1], "vi", "x", "y"), (None, SPAM[2], None, "x", "y"), (93, "!? --- 1", "und", "x", "y")]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, lang string, junk string, threshold string")
+    got = sorted((r[0] for r in spam.spam_pages(df).collect()), key=repr)
+    assert got == sorted([*SPAM, *REPEATED, 1, None], key=repr)
+    shares = spam.spam_shares(df)
+    assert shares.where("doc_id in (90, 91, 92)").isEmpty() and shares.where("doc_id = 93").collect()[0]["junk_chars"] == 0
+    assert spam.spam_pages(df.limit(0)).isEmpty()
+    assert spam.spam_pages(df.where("doc_id between 90 and 93")).isEmpty()
+
+
+def test_function_words_are_learnt_for_any_language(spark):
+    swap = str.maketrans("aeioutnhs", "eiouantsh")  # a language of its own with the same grammar
+    data = [(i, t, "en") for i, t in {**PROSE, **LISTS}.items()] + [(9_000 + i, t.lower().translate(swap), "xx") for i, t in {**PROSE, **LISTS}.items()]
+    df = spark.createDataFrame([*data, (1, None, None), (2, "alone", "und")], "doc_id bigint, text string, lang string")
+    words = spam.function_words(df)
+    assert set(words) == {"en", "xx"} and {"in", "and", "it", "so"} <= set(words["en"]) and not {"loom", "mast", "baskets", "exit"} & set(words["en"])
+    assert {w.translate(swap) for w in words["en"]} <= set(words["xx"])
+    strange = spark.createDataFrame([*data, (7, (REPEATED[36] + PROSE[1_000]).lower().translate(swap), None)], "doc_id bigint, text string, lang string")
+    assert [tuple(r) for r in spam.spam_shares(strange).where("junk_share > 0.5").select("doc_id", "lang").collect()] == [(7, "xx")]
+
+
+def test_a_very_long_page_is_judged_whole(spark):
+    prose = PROSE[1_003] + "\n"
+    lines = [f"{w} {v}" for w, v in zip(KEYWORDS, KEYWORDS[7:] + KEYWORDS[:7])]
+    long = {1: "\n".join(f"{t}\n" for t in PROSE.values()) * 300 + SPAM[1] * 3, 2: prose * 2 + SPAM[1] * 40_000, 3: "x" * 3_000_000, 4: "\n".join(lines * 200)}
+    df = spark.createDataFrame([(i, t, "en") for i, t in {**long, **PROSE, **LISTS}.items()], "doc_id bigint, text string, lang string")
+    shares = {r["doc_id"]: r for r in spam.spam_shares(df).collect()}
+    assert shares[2]["junk_share"] > 0.99 and shares[4]["junk_share"] == 1.0 and shares[3]["n_chars"] == 3_000_000 and shares[3]["junk_chars"] == 0
+    assert shares[2]["n_chars"] > 40_000 * len(SPAM[1].replace(" ", ""))
+
+
+def test_page_measures(spark):
+    text = "Live goal, live goal - live goal 7\nsee the tv\nsee the tv\n\nsee the tv 3\nhttps://a.example/x y\u0065\u0301t"
+    df = spark.createDataFrame([(1, text, None), (2, None, "en"), (None, "", "en")], "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r.asDict() for r in spam.page_measures(df).collect()}
+    assert got[1] == {
+        "doc_id": 1, "n_words": 16, "n_lines": 5, "n_separators": 2, "form_chars": 19, "word_chars": 53, "top_word_n": 3, "bigram_words": 15, "trigram_words": 9, "line_words": 9,
+    }
+    assert set(got[2].values()) == {2, 0} and got[None]["n_words"] == 0
