@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.session import materialize
-
-#: Keys that may be treated as hot. Any other key holds at most 1 / (HOT_KEYS + 1) of the rows.
-HOT_KEYS = 64
-
+from reelspark.session import materialize, parallelism
 
 #: Rows that a side may have to be sent to all tasks.
 BROADCAST_ROWS = 100_000
@@ -25,9 +21,14 @@ def small_side(df: DataFrame) -> DataFrame:
 
 
 def hottest(counts: DataFrame, key: str, n: str, least: int = 100_000) -> list:
-    """At most HOT_KEYS keys with more than ``least`` rows, from a table of counts per key."""
-    top = counts.where(F.col(key).isNotNull() & (F.col(n) > least)).orderBy(F.desc(n), key).limit(HOT_KEYS)
-    return [row[0] for row in top.select(key).collect()]
+    """The keys with more than a task's share of all rows (and more than ``least``), from a table of counts per key.
+
+    There cannot be more of them than tasks, so the list fits the driver; any other key adds
+    at most a task's share to a task.
+    """
+    total = counts.agg(F.sum(n)).collect()[0][0] or 0
+    share = max(least, total / parallelism(counts))
+    return [row[0] for row in counts.where(F.col(key).isNotNull() & (F.col(n) > share)).select(key).collect()]
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], hot_on: str, hot: list, salts: int = 64) -> DataFrame:
