@@ -90,11 +90,9 @@ WITH once AS (
 ), sign AS (
   SELECT query_id, source, CASE WHEN covar_samp(rank, score) > 0 THEN 1 ELSE -1 END AS sign FROM once GROUP BY ALL
 ), placed AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY CASE WHEN score IS NULL THEN 1 ELSE 0 END, score * sign, item_id) AS pos
+  SELECT *, CASE WHEN score IS NULL THEN rank ELSE rank() OVER (PARTITION BY query_id, source ORDER BY score * sign NULLS LAST)::DOUBLE END AS place
   FROM once JOIN sign USING (query_id, source)
-), places AS (
-  SELECT query_id, source, item_id, weight, CASE WHEN rank IS NOT NULL THEN rank ELSE pos::DOUBLE END AS place
-  FROM placed WHERE rank IS NOT NULL OR score IS NOT NULL
+), places AS (SELECT query_id, source, item_id, weight, place FROM placed WHERE place IS NOT NULL
 ), lists AS (
   SELECT query_id, source, max(weight) AS weight, greatest(max(place), count(*)::DOUBLE) + 1 AS behind FROM places GROUP BY ALL
 ), items AS (SELECT query_id, item_id, count(*) AS n_sources FROM places GROUP BY ALL

@@ -1,7 +1,7 @@
 import random
 
 from reelspark.llm.nearest import nearest_in_time
-from reelspark.llm.rankmerge import leaders, median_ranks, merged_ranking, source_ranks
+from reelspark.llm.rankmerge import leaders, merged_ranking
 from reelspark.llm.topn import top_items
 from tests.conftest import rows
 
@@ -52,9 +52,8 @@ def brute(data, weights):
             both = [(e[4], e[5]) for e in items.values() if e[4] is not None and e[5] is not None]
             mr, mx = sum(r for r, _ in both) / max(len(both), 1), sum(x for _, x in both) / max(len(both), 1)
             sign = 1 if sum((r - mr) * (x - mx) for r, x in both) > 1e-12 else -1
-            scored = sorted((e[5] * sign, i) for i, e in items.items() if e[5] is not None)
-            where = {i: n + 1 for n, (_, i) in enumerate(scored)}
-            got = {i: float(e[4]) if e[4] is not None else float(where[i]) for i, e in items.items() if e[4] is not None or e[5] is not None}
+            scored = sorted(e[5] * sign for e in items.values() if e[5] is not None)
+            got = {i: float(scored.index(e[5] * sign) + 1) if e[5] is not None else float(e[4]) for i, e in items.items() if e[4] is not None or e[5] is not None}
             if got:
                 places[s] = got
         ranks = {}
@@ -78,16 +77,19 @@ def test_merged_ranking_equals_brute_force(spark):
     for q in ("q1", "q2", None):
         for s, direction in (("a", -1), ("b", 1), ("c", -1), ("none", 1), ("other", 1)):
             for n, i in enumerate(rnd.sample([f"i{j}" for j in range(30)], 20)):
-                data.append((q, s, i, n + 1 if rnd.random() < 0.9 else None, direction * (n + rnd.random() / 2) * 100 if rnd.random() < 0.9 else rnd.choice([None, float("nan")]), "x"))
+                data.append((q, s, i, n + 1 if rnd.random() < 0.9 else None, float(direction) * (n + rnd.choice([0, 1, rnd.random() / 2])) * 100 if rnd.random() < 0.9 else rnd.choice([None, float("nan")]), "x"))
     data += rnd.sample(data, 40)
     df = spark.createDataFrame(data, SCORES)
     w = spark.createDataFrame([*weights.items(), ("a", None), (None, 1.0)], WEIGHTS)
     expected = brute(data, weights)
-    got = {}
-    for r in merged_ranking(df, w).collect():
-        got.setdefault(r["query_id"], {})[r["position"]] = (r["median_rank"], r["mean_rank"], r["item_id"])
-    assert {q: [v[k] for k in sorted(v)] for q, v in got.items()} == expected
-    assert dict(rows(leaders(df, w))) == {q: v[0][2] for q, v in expected.items()}
+    # The way for queries of any size gives the same: q1 alone, and both.
+    more = df.unionByName(spark.createDataFrame([("q1", "other", f"o{i}", None, 1.0, "x") for i in range(400)], SCORES))
+    for table, least in ((df, 100_000), (more, 150), (df, 1)):
+        got = {}
+        for r in merged_ranking(table, w, least).collect():
+            got.setdefault(r["query_id"], {})[r["position"]] = (r["median_rank"], r["mean_rank"], r["item_id"])
+        assert {q: [v[k] for k in sorted(v)] for q, v in got.items()} == expected
+        assert dict(rows(leaders(table, w, least))) == {q: v[0][2] for q, v in expected.items()}
 
 
 def test_wide_scales_do_not_dominate_and_empty_inputs(spark):
@@ -95,7 +97,8 @@ def test_wide_scales_do_not_dominate_and_empty_inputs(spark):
     df, w = spark.createDataFrame(data, SCORES), spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", 1.0)], WEIGHTS)
     assert rows(leaders(df, w)) == [("q", "x")]
     assert rows(merged_ranking(df.limit(0), w)) == [] and rows(leaders(df, w.limit(0))) == []
-    assert median_ranks(source_ranks(df, w)).count() == 3
+    same = spark.createDataFrame([("q", s, i, None, 1.0, None) for s in "ab" for i in "xyz"], SCORES)
+    assert rows(merged_ranking(same, w), "item_id", "median_rank", "position") == [("x", 1.0, 1), ("y", 1.0, 2), ("z", 1.0, 3)]
 
 
 PROBE = "probe_id string, entity string, time bigint, bucket string, target_id string"
