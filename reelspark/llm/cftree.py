@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Vectors compared at once with the others, and CFs whose costs are held in one matrix at most.
+STRIP, MATRIX = 256, 4_096
+
 
 class _Node:
     __slots__ = ("leaf", "children", "sums", "counts", "means", "half", "size")
@@ -212,49 +215,102 @@ def ward(n: np.ndarray, means: np.ndarray, k: int) -> np.ndarray:
     return np.unique([root(i) for i in range(m)], return_inverse=True)[1]
 
 
+def _parts(means: np.ndarray, cosine: float) -> np.ndarray:
+    """The least number in each connected part of the vectors whose dot products reach ``cosine``."""
+    roots = np.arange(len(means))
+    for start in range(0, len(means), STRIP):
+        i, j = np.nonzero(means[start : start + STRIP] @ means[start:].T >= cosine)
+        i, j = i[i < j] + start, j[i < j] + start
+        while len(i):
+            low = np.minimum(roots[i], roots[j])
+            if (low == roots[i]).all() and (low == roots[j]).all():
+                break
+            # The roots themselves move along, so whole parts do.
+            np.minimum.at(roots, np.concatenate([roots[i], roots[j], i, j]), np.tile(low, 4))
+            while (deeper := roots[roots] != roots).any():
+                roots[deeper] = roots[roots[deeper]]
+    while (deeper := roots[roots] != roots).any():
+        roots[deeper] = roots[roots[deeper]]
+    return roots
+
+
+def _all_reach(means: np.ndarray, cosine: float) -> bool:
+    return all((means[s : s + STRIP] @ means[s:].T).min() >= cosine for s in range(0, len(means), STRIP))
+
+
+def _joined(n: np.ndarray, means: np.ndarray, cosine: float) -> np.ndarray:
+    """Labels of the Ward agglomeration of one part: the cheapest pair that reaches ``cosine`` joins first.
+
+    Every row remembers its cheapest partner, so a merge costs a row, not the matrix.
+    """
+    m = len(n)
+    size, centre = n.astype(float), means.astype(float)
+    label = np.arange(m)
+    alive = np.ones(m, bool)
+
+    def row(i: int) -> np.ndarray:
+        dots = centre @ centre[i]
+        cost = np.maximum(squared + squared[i] - 2 * dots, 0) * (size * size[i] / (size + size[i]))
+        cost[(dots < cosine) | ~alive] = np.inf
+        cost[i] = np.inf
+        return cost
+
+    squared = (centre**2).sum(1)
+    cost = np.array([row(i) for i in range(m)])
+    least, partner = cost.min(1), cost.argmin(1)
+    while True:
+        a = int(np.argmin(least))
+        if not np.isfinite(least[a]):
+            return label
+        a, b = sorted((a, int(partner[a])))
+        centre[a] = (centre[a] * size[a] + centre[b] * size[b]) / (size[a] + size[b])
+        size[a] += size[b]
+        squared[a] = centre[a] @ centre[a]
+        alive[b] = False
+        label[label == b] = a
+        cost[b] = cost[:, b] = np.inf
+        least[b] = np.inf
+        cost[a] = cost[:, a] = row(a)
+        least[a], partner[a] = cost[a].min(), cost[a].argmin()
+        lost = np.flatnonzero(alive & ((partner == a) | (partner == b)))
+        least[lost], partner[lost] = cost[lost].min(1), cost[lost].argmin(1)
+        nearer = alive & (cost[:, a] < least)
+        least[nearer], partner[nearer] = cost[nearer, a], a
+
+
 def agglomerate(n: np.ndarray, means: np.ndarray, cosine: float) -> np.ndarray:
     """Labels of a Ward agglomeration that only joins CFs whose mean cosine reaches ``cosine``.
 
     Only CFs connected by such pairs can ever join, so each connected part is treated by
     itself; where all its pairs qualify the result is one cluster in any order of merges.
+    Other parts above MATRIX are agglomerated in runs of neighbours along their widest
+    direction, and the clusters found again, while that joins any.
     """
-    m = len(n)
-    roots = np.arange(m)
-    for start in range(0, m, 256):
-        close = means[start : start + 256] @ means[start:].T >= cosine
-        for i in np.flatnonzero(close.sum(1) > 1):
-            row = np.flatnonzero(close[i]) + start
-            names = np.unique(roots[row])
-            if names[0] != names[-1] or roots[start + i] != names[0]:
-                names = np.unique(np.append(names, roots[start + i]))
-                roots[np.isin(roots, names)] = names[0]
-    out = roots.copy()
-    order = np.argsort(roots, kind="stable")
-    cuts = np.flatnonzero(np.diff(roots[order])) + 1
+    out = _parts(means, cosine)
+    order = np.argsort(out, kind="stable")
+    cuts = np.flatnonzero(np.diff(out[order])) + 1
     for part in np.split(order, cuts):
-        if len(part) < 3:
+        if len(part) < 3 or _all_reach(means[part], cosine):
             continue
-        dots = means[part] @ means[part].T
-        if dots.min() >= cosine:
-            continue
-        groups = [[i] for i in range(len(part))]
-        size, centre = n[part].astype(float), means[part].copy()
-        alive = np.ones(len(part), bool)
+        size, centre, label = n[part].astype(float), means[part].astype(float), np.arange(len(part))
         while True:
-            squared = (centre**2).sum(1)
-            gap = squared[:, None] + squared[None, :] - 2 * centre @ centre.T
-            cost = gap * (size[:, None] * size[None, :] / (size[:, None] + size[None, :]))
-            barred = (centre @ centre.T < cosine) | ~alive[:, None] | ~alive[None, :]
-            np.fill_diagonal(barred, True)
-            cost[barred] = np.inf
-            a, b = np.unravel_index(np.argmin(cost), cost.shape)
-            if not np.isfinite(cost[a, b]):
+            if len(size) > MATRIX:
+                along = centre - centre.mean(0)
+                away = along @ along[np.argmax((along**2).sum(1))]
+                runs = np.array_split(np.argsort(away, kind="stable"), -(-len(size) // MATRIX))
+            else:
+                runs = [np.arange(len(size))]
+            found = np.empty(len(size), np.int64)
+            for run in runs:
+                found[run] = run[_joined(size[run], centre[run], cosine)]
+            kept, place = np.unique(found, return_inverse=True)
+            total = np.zeros((len(kept), centre.shape[1]))
+            np.add.at(total, place, centre * size[:, None])
+            size = np.bincount(place, weights=size)
+            centre, label = total / size[:, None], place[label]
+            if len(runs) == 1 or len(kept) == len(found):
                 break
-            centre[a] = (centre[a] * size[a] + centre[b] * size[b]) / (size[a] + size[b])
-            size[a] += size[b]
-            groups[a] += groups[b]
-            alive[b] = False
-        for g in np.flatnonzero(alive):
-            members = part[groups[g]]
-            out[members] = members.min()
+        first = np.full(len(size), np.iinfo(np.int64).max)
+        np.minimum.at(first, label, part)
+        out[part] = first[label]
     return out

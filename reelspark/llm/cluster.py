@@ -32,8 +32,8 @@ from reelspark.session import materialize
 
 #: Members compared at once in the exact check, and coarse CFs that are agglomerated at most.
 BLOCK, MOST_COARSE = 2_048, 4_096
-#: Leaves of a cell compared at once with the others.
-STRIP = 256
+#: Leaves of a cell compared at once with the others, and how much larger than the mean a cell may be before it is split.
+STRIP, UNEVEN = 256, 4
 
 
 @dataclass(frozen=True)
@@ -154,28 +154,37 @@ def routing_centroids(leaves: DataFrame, n_leaves: int, cfg: ClusterConfig, fan_
         level = level.repartition(parts, F.floor(F.spark_partition_id() / fan_in)) if parts > 1 else level.coalesce(1)
         level = level.mapInArrow(_coarse(cfg, budget), "n double, total array<double>")
     rows = level.collect()  # at most ``budget`` coarse CFs
-    n, total = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-    means = total / n[:, None]
-    label = ward(n, means, k)
+    return _centroids(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), k)
+
+
+def _centroids(n: np.ndarray, total: np.ndarray, k: int) -> np.ndarray:
+    """Centroids of the k clusters of CFs by Ward's criterion."""
+    label = ward(n, total / n[:, None], k)
     return np.array([total[label == i].sum(0) / n[label == i].sum() for i in range(label.max() + 1)])
 
 
+def _nearest_cells(means: np.ndarray, centroids: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, row) of each row's nearest cells."""
+    m = min(probes, len(centroids))
+    score = means @ centroids.T - (centroids**2).sum(1) / 2
+    cells = np.argpartition(-score, m - 1, axis=1)[:, :m] if m < len(centroids) else np.tile(np.arange(m), (len(means), 1))
+    return cells.reshape(-1).astype(np.int64), np.repeat(np.arange(len(means)), m)
+
+
+_CELLS = "cell bigint, leaf bigint, n double, mean array<float>, radius double"
+
+
 def _route(cfg: ClusterConfig, centroids):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = centroids.value
-        half = (c**2).sum(1) / 2
-        m = min(cfg.probes, len(c))
         for batch in batches:
             if not batch.num_rows:
                 continue
             n = batch.column(1).to_numpy()
             means = _matrix(batch.column(2), cfg.dim) / n[:, None]
-            score = means @ c.T - half
-            cells = np.argpartition(-score, m - 1, axis=1)[:, :m] if m < len(c) else np.tile(np.arange(m), (len(n), 1))
-            rows = np.repeat(np.arange(len(n)), m)
+            cells, rows = _nearest_cells(means, centroids.value, cfg.probes)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(cells.reshape(-1).astype(np.int64)), batch.column(0).take(pa.array(rows)), pa.array(n[rows]),
+                    pa.array(cells), batch.column(0).take(pa.array(rows)), pa.array(n[rows]),
                     _lists(means[rows].astype(np.float32), pa.float32()), batch.column(3).take(pa.array(rows)),
                 ],
                 names=["cell", "leaf", "n", "mean", "radius"],
@@ -184,6 +193,35 @@ def _route(cfg: ClusterConfig, centroids):
     return run
 
 
+def _split(cfg: ClusterConfig, most: int):
+    """Cells of more than ``most`` leaves in parts: rows as of _route() again, whose leaves visit their nearest parts.
+
+    A cell's parts come from its own coarse CFs and Ward agglomeration; there are at most
+    MOST_COARSE / 4, so very large cells are split again.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, used = TaskContext.get().partitionId() << 40, 0
+        for _, rows in _groups(batches, 1):
+            k = min(-(-len(rows) // cfg.cell_leaves), MOST_COARSE // 4)
+            if len(rows) <= most or k < 2:
+                cells, at = np.zeros(len(rows), np.int64), np.arange(len(rows))
+            else:
+                means = _matrix(_column(rows, "mean"), cfg.dim)
+                tree = CFTree(cfg.dim, cfg.reach / 2, budget=4 * k)
+                for x in means:
+                    tree.insert(x)
+                centroids = _centroids(*tree.features()[:2], k)
+                cells, at = _nearest_cells(means, centroids, cfg.probes)
+            for chunk in np.array_split(np.arange(len(at)), max(1, len(at) // 65_536)):
+                part = rows.take(pa.array(at[chunk]))
+                columns = [pa.array(base + used + cells[chunk]), *[_column(part, c) for c in ("leaf", "n", "mean", "radius")]]
+                yield pa.RecordBatch.from_arrays(columns, names=["cell", "leaf", "n", "mean", "radius"])
+            used += int(cells.max()) + 1
+
+    return run
+
+
 def _link(cfg: ClusterConfig):
     """Per cell: (leaf, other, kind) - 0 the leaf's local cluster, 1 another leaf that may hold similar members."""
 
@@ -239,10 +277,30 @@ def _components(edges: DataFrame) -> DataFrame:
 
 
 def _sums(cfg: ClusterConfig):
+    """(cluster, n, centroid) of rows (cluster, n, total) sorted by cluster; only its own running sum is held."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key,), rows in _groups(batches, 1):
-            n, total = _column(rows, "n").to_numpy().sum(), _matrix(_column(rows, "total"), cfg.dim).sum(0)
-            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([n]), _lists(total[None, :] / n, pa.float64())], names=["cluster", "n", "centroid"])
+        open_key, open_n, open_total = None, 0.0, np.zeros(cfg.dim)
+
+        def out(key, n, total):
+            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.float64()), _lists(total / np.asarray(n)[:, None], pa.float64())], names=["cluster", "n", "centroid"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, n, total = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2), cfg.dim)
+            begin = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+            keys, ns, totals = key[begin], np.add.reduceat(n, begin), np.add.reduceat(total, begin, axis=0)
+            if open_key is not None and keys[0] == open_key:
+                ns[0] += open_n
+                totals[0] += open_total
+            elif open_key is not None:
+                yield out([open_key], [open_n], open_total[None, :])
+            if len(keys) > 1:
+                yield out(keys[:-1], ns[:-1], totals[:-1])
+            open_key, open_n, open_total = keys[-1], ns[-1], totals[-1]
+        if open_key is not None:
+            yield out([open_key], [open_n], open_total[None, :])
 
     return run
 
@@ -273,15 +331,25 @@ def similar_clusters(df: DataFrame, uid: str, vector: str, cfg: ClusterConfig) -
     leaves = grown.where("uid is null").select("leaf", "n", "total", "radius")
     n_leaves = leaves.count()
     centroids = df.sparkSession.sparkContext.broadcast(routing_centroids(leaves, n_leaves, cfg))
-    routed = leaves.mapInArrow(_route(cfg, centroids), "cell bigint, leaf bigint, n double, mean array<float>, radius double")
+    routed = leaves.mapInArrow(_route(cfg, centroids), _CELLS)
+    most = cfg.cell_leaves * cfg.probes * UNEVEN
+    largest = n_leaves
+    if n_leaves > cfg.cell_leaves * MOST_COARSE // 4:
+        # More cells than one set of centroids gives: split the large ones until none is left, or none gets smaller.
+        while True:
+            routed = materialize(routed.repartition("cell").sortWithinPartitions("cell").mapInArrow(_split(cfg, most), _CELLS))
+            now = routed.groupBy("cell").count().agg(F.max("count")).collect()[0][0]
+            if now <= most or now >= largest:
+                break
+            largest = now
     linked = materialize(routed.repartition("cell").sortWithinPartitions("cell").mapInArrow(_link(cfg), "leaf bigint, other bigint, kind int"))
     joined = _components(linked.where("kind = 0"))
-    sizes = leaves.select("leaf", "n", "total").join(joined, "leaf", "left").withColumn("cluster", F.coalesce("cluster", "leaf"))
-    several = materialize(sizes.where(F.col("cluster").isNotNull()).select("leaf", "cluster", "n", "total"))
-    summed = several.select("cluster", "n", "total").repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_sums(cfg), "cluster bigint, n double, centroid array<double>")
-    centre = materialize(summed.where("n >= 2"))
+    several = materialize(leaves.select("leaf", "n", "total").join(joined, "leaf", "left").select("leaf", F.coalesce("cluster", "leaf").alias("cluster"), F.col("cluster").isNull().alias("alone"), "n", "total"))
+    alone = several.where("alone").select("cluster", "n", F.transform("total", lambda x: x / F.col("n")).alias("centroid"))
+    summed = several.where("not alone").select("cluster", "n", "total").repartition("cluster").sortWithinPartitions("cluster")
+    centre = materialize(alone.unionByName(summed.mapInArrow(_sums(cfg), "cluster bigint, n double, centroid array<double>")).where("n >= 2"))
     of_leaf = several.select("leaf", "cluster")
-    members = points.join(of_leaf, "leaf").join(centre.select("cluster"), "cluster", "left_semi")
+    members = points.join(of_leaf.join(centre.select("cluster"), "cluster", "left_semi"), "leaf")
     near = linked.where("kind = 1").select("leaf", "other").distinct()
     return Clusters(members.select("uid", "v", "leaf", "cluster"), centre, near, points, of_leaf)
 
@@ -292,9 +360,14 @@ def _cosine(a: str, b: str):
     return dot / length
 
 
-def typical_members(found: Clusters, n: int = 3) -> DataFrame:
-    """Rows (cluster_uid, size, uid, place, cosine): the members nearest to each centroid."""
+def typical_members(found: Clusters, n: int = 3, chosen: DataFrame | None = None) -> DataFrame:
+    """Rows (cluster_uid, size, uid, place, cosine): the ``n`` members nearest to each centroid.
+
+    With ``chosen``, from exact_clusters(), only its clusters are described.
+    """
     measured = found.members.join(found.centroids, "cluster").select("cluster", "uid", F.round(_cosine("v", "centroid"), 9).alias("cosine"))
+    if chosen is not None:
+        measured = measured.join(chosen.select("cluster").distinct(), "cluster", "left_semi")
     measured = materialize(measured)
     names = measured.groupBy("cluster").agg(F.min("uid").alias("cluster_uid"), F.count(F.lit(1)).alias("size"))
     top = global_positions(measured, ["cluster"], [F.col("cosine").desc(), F.col("uid").asc()], limit=n)
@@ -315,47 +388,65 @@ def _loose(cfg: ClusterConfig):
 
 
 def _touching(cfg: ClusterConfig):
-    """Per pair of leaves: both, if any member of one reaches the threshold with one of the other."""
+    """Per pair of leaves and blocks of them: both leaves, if any member of one reaches the threshold with one of the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, rows in _groups(batches, 2):
+        for key, rows in _groups(batches, 4):
             v, first = _matrix(_column(rows, "v"), cfg.dim), _column(rows, "first").to_numpy(zero_copy_only=False)
             a, b = v[first], v[~first]
-            if any((a[s : s + BLOCK] @ b.T).max(initial=-1) >= cfg.cosine - 1e-7 for s in range(0, len(a), BLOCK)):
-                yield pa.RecordBatch.from_arrays([pa.array(list(key), pa.int64())], names=["leaf"])
+            if len(a) and len(b) and (a @ b.T).max() >= cfg.cosine - 1e-7:
+                yield pa.RecordBatch.from_arrays([pa.array(list(key[:2]), pa.int64())], names=["leaf"])
 
     return run
 
 
+def _blocks(n):
+    return F.ceil(n / BLOCK).cast("bigint")
+
+
+def _every(n):
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+
+
 def exact_clusters(found: Clusters, cfg: ClusterConfig) -> DataFrame:
-    """Rows (cluster_uid, uid): clusters in which any two members reach the cosine and nobody outside does.
+    """Rows (cluster, cluster_uid, uid): clusters in which any two members reach the cosine and nobody outside does.
 
     A cluster whose members all lie within half the threshold's angle of the centroid needs
-    no comparison; the others are compared in blocks. What lies outside is compared where
-    the balls of two leaves of different clusters come close enough.
+    no comparison; the distinct vectors of the others are compared in blocks. What lies
+    outside is compared where the balls of two leaves of different clusters come close
+    enough, the distinct vectors of each pair of leaves in blocks too.
     """
-    members = materialize(
-        found.members.join(found.centroids, "cluster").select("cluster", "uid", "v", F.col("n").cast("bigint").alias("n"), _cosine("v", "centroid").alias("c"))
-    )
+    members = materialize(found.members.join(found.centroids, "cluster").select("cluster", "uid", "v", _cosine("v", "centroid").alias("c")))
     certain = math.cos(math.acos(cfg.cosine) / 2) + 1e-6
     open_ones = members.groupBy("cluster").agg(F.min("c").alias("c")).where(F.col("c") < certain).select("cluster")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("bigint")
-    checked = members.join(open_ones, "cluster", "left_semi").withColumn("block", F.pmod(F.xxhash64("uid"), blocks))
-    checked = checked.select("cluster", "block", "v", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("with"))
+    unlike = members.join(open_ones, "cluster", "left_semi").select("cluster", "v").distinct()
+    unlike = materialize(unlike)
+    blocks = unlike.groupBy("cluster").agg(_blocks(F.count(F.lit(1))).alias("blocks"))
+    checked = unlike.join(blocks, "cluster").select("cluster", F.pmod(F.xxhash64("v"), F.col("blocks")).alias("block"), "v", _every(F.col("blocks")).alias("with"))
     checked = checked.select("cluster", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "v")
     keys = ["cluster", "i", "j"]
     loose = checked.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_loose(cfg), "cluster bigint")
 
     mine = found.of_leaf.select("leaf", F.col("cluster").alias("c1"))
     theirs = found.of_leaf.select(F.col("leaf").alias("other"), F.col("cluster").alias("c2"))
-    apart = found.near.join(mine, "leaf").join(theirs, "other").where("c1 <> c2").select("leaf", "other")
-    ends = apart.select("leaf", "other", F.explode(F.array(F.struct(F.col("leaf").alias("at"), F.lit(True).alias("first")), F.struct(F.col("other").alias("at"), F.lit(False).alias("first")))).alias("e"))
-    sides = ends.select("leaf", "other", F.col("e.at").alias("at"), F.col("e.first").alias("first")).join(
-        found.leaf_points.select(F.col("leaf").alias("at"), "v"), "at"
-    ).select("leaf", "other", "first", "v")
-    touching = sides.repartition("leaf", "other").sortWithinPartitions("leaf", "other").mapInArrow(_touching(cfg), "leaf bigint")
+    # Only clusters of several members have anything to lose.
+    listed = found.centroids.select(F.col("cluster").alias("c"), F.lit(True).alias("listed"))
+    apart = found.near.join(mine, "leaf").join(theirs, "other").where("c1 <> c2")
+    apart = apart.join(listed.select(F.col("c").alias("c1"), F.col("listed").alias("l1")), "c1", "left").join(listed.select(F.col("c").alias("c2"), F.col("listed").alias("l2")), "c2", "left")
+    apart = materialize(apart.where("l1 or l2").select("leaf", "other"))
+    ends = apart.select("leaf").unionByName(apart.select(F.col("other").alias("leaf"))).distinct()
+    vectors = materialize(found.leaf_points.join(ends, "leaf", "left_semi").select("leaf", "v").distinct())
+    parts = vectors.groupBy("leaf").agg(_blocks(F.count(F.lit(1))).alias("blocks"))
+    pairs = apart.join(parts.withColumnRenamed("blocks", "b1"), "leaf").join(parts.select(F.col("leaf").alias("other"), F.col("blocks").alias("b2")), "other")
+    side = lambda at, blocks, other, first: pairs.select("leaf", "other", F.col(at).alias("at"), F.col(blocks).alias("n"), F.col(other).alias("m"), F.lit(first).alias("first"))
+    sides = side("leaf", "b1", "b2", True).unionByName(side("other", "b2", "b1", False)).join(vectors.withColumnRenamed("leaf", "at"), "at")
+    sides = sides.select("leaf", "other", "first", "v", F.pmod(F.xxhash64("v"), F.col("n")).alias("own"), _every(F.col("m")).alias("opposite"))
+    here = lambda first: F.when(F.col("first") == first, F.col("own")).otherwise(F.col("opposite"))
+    sides = sides.select("leaf", "other", here(True).alias("i"), here(False).alias("j"), "first", "v")
+    keys = ["leaf", "other", "i", "j"]
+    touching = sides.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_touching(cfg), "leaf bigint")
     touched = touching.distinct().join(found.of_leaf, "leaf").select("cluster")
     bad = loose.unionByName(touched).distinct()
     good = members.select("cluster", "uid").join(bad, "cluster", "left_anti")
     names = good.groupBy("cluster").agg(F.min("uid").alias("cluster_uid"))
-    return good.join(names, "cluster").select("cluster_uid", "uid")
+    return good.join(names, "cluster").select("cluster", "cluster_uid", "uid")

@@ -80,7 +80,7 @@ def test_exact_clusters_equal_brute_force(spark):
     bad = [("z1", None, "", ""), ("z2", [0.0] * 24, "", ""), ("z3", [1.0] * 5, "", ""), ("z4", [float("nan")] + [1.0] * 23, "", ""), ("z5", [None] + [1.0] * 23, "", ""), (None, [1.0] * 24, "", ""), ("c00_00", [float(x) for x in vectors["c00_00"]], "", "")]
     cfg = ClusterConfig(24, 0.9, cell_leaves=60, probes=4)
     found = similar_clusters(_frame(spark, vectors, bad), "k", "e", cfg)
-    got = rows(exact_clusters(found, cfg).where("uid <> cluster_uid"))
+    got = rows(exact_clusters(found, cfg).where("uid <> cluster_uid"), "cluster_uid", "uid")
     assert got == brute(vectors, 0.9) and len(got) > 250
     typical = typical_members(found, 2)
     assert typical.groupBy("cluster_uid").count().where("count <> 2").isEmpty()
@@ -92,7 +92,7 @@ def test_chains_and_neighbours_are_no_exact_clusters(spark):
     angle = lambda t: [np.cos(t), np.sin(t), 0.0, 0.0]
     vectors = {"a": angle(0.0), "b": angle(0.4), "c": angle(0.8), "d": [0, 0, 1.0, 0.0], "e": [0, 0, 1.0, 0.1], "f": [0, 0.0, -1.0, 0.0]}
     cfg = ClusterConfig(4, 0.9)
-    assert rows(exact_clusters(similar_clusters(_frame(spark, vectors), "k", "e", cfg), cfg).where("uid <> cluster_uid")) == [("d", "e")]
+    assert rows(exact_clusters(similar_clusters(_frame(spark, vectors), "k", "e", cfg), cfg).where("uid <> cluster_uid"), "cluster_uid", "uid") == [("d", "e")]
 
 
 def test_one_crowd_of_equal_vectors_and_an_empty_table(spark):
