@@ -30,6 +30,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelspark.session import materialize
+
 # How links are written, plainly or disguised, and the endings of bare hosts
 # (common ones, and those reserved for examples).
 _DOT = r"(?:\[\.\]|\(\.\)|\{\.\}|\[dot\]|\(dot\)|[ \t]+dot[ \t]+)"
@@ -74,7 +76,11 @@ TELLING = 3
 #: Blocks, lines of lists and pages of fewer words say nothing about the usual measures.
 USUAL_BLOCK, USUAL_LIST, USUAL_PAGE = 16, 3, 24
 #: Words of a list in which single words are looked for, and words without function words that are a list by that alone.
-LIST_WORDS, LIST_RUN = 12, 60
+LIST_WORDS, LIST_RUN = 10, 60
+#: Forms per word above which a list, and any block, is a list of links.
+FORMS = 1 / 8, 1 / 5
+#: Passages of so many words that occur twice are copies.
+COPY = 6
 #: Records (timetables, scores, credits) are lines of so many words at most that hold a number.
 RECORD_WORDS = 12
 #: Above this share of junk characters a page is spam.
@@ -143,6 +149,12 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sorted_once(values: np.ndarray) -> np.ndarray:
+    """The distinct values, in order."""
+    values = np.sort(values)
+    return values[_starts(values)] if len(values) else values
+
+
 def _flags(values: pa.Array) -> np.ndarray:
     return values.to_numpy(zero_copy_only=False)
 
@@ -165,8 +177,8 @@ def tokenise(texts: pa.Array) -> Tokens:
     text = pc.replace_substring_regex(text, r"[.!?…]+[\"”»’)\]]*(?:[ \t]|$)", f" {_STOP} ")
     text = pc.replace_substring_regex(text, r"[|»«·•›‹~_¦/]|[ \t][-–—][ \t]", f" {_HARD} ")
     text = pc.replace_substring_regex(text, "[,;]", f" {_SOFT} ")
-    text = pc.replace_substring_regex(text, f"[^\\p{{L}}\\p{{M}}\\p{{N}}{_HARD}{_SOFT}{_FORM}-{_LINE}]+", " ")
-    listed = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.utf8_lower(text)))
+    text = pc.replace_substring_regex(text, f"[^\\p{{L}}\\p{{M}}\\p{{N}} {_HARD}{_SOFT}{_FORM}-{_LINE}]+", " ")
+    listed = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.utf8_lower(text)))
     coded = listed.flatten().dictionary_encode()
     names, code = coded.dictionary, coded.indices.to_numpy()
     doc = np.repeat(np.arange(n), np.diff(listed.offsets.to_numpy()))
@@ -188,8 +200,11 @@ def tokenise(texts: pa.Array) -> Tokens:
     apart[1:] |= long[1:] | long[:-1]
     part = np.repeat(np.cumsum(apart), size)
     begin = np.flatnonzero(_starts(part)) if m else np.zeros(0, np.int64)
+    size = np.repeat(np.diff(np.append(begin, m)), np.diff(np.append(begin, m)))
     at = np.arange(m) - np.repeat(begin, np.diff(np.append(begin, m)))
-    heads = at % BLOCK == 0
+    # Blocks of a part are alike in size.
+    many = -(-size // BLOCK)
+    heads = (at == 0) | (at * many // np.maximum(size, 1) != (at - 1) * many // np.maximum(size, 1))
     block = np.cumsum(heads) - 1
     blocks = int(heads.sum())
     before = np.cumsum(word) - 1
@@ -221,9 +236,16 @@ def _mix(*columns: np.ndarray) -> np.ndarray:
     return key
 
 
+def _in_order(keys: np.ndarray) -> np.ndarray:
+    """Positions by key, then by position; two unstable sorts are much faster than a stable one."""
+    order = np.argsort(keys)
+    run = np.cumsum(_starts(keys[order])) if len(keys) else order
+    return np.sort(run << 32 | order) & 0xFFFFFFFF
+
+
 def _recurring(keys: np.ndarray, at: np.ndarray, window: int, times: int) -> np.ndarray:
     """Which keys are one of ``times`` equal ones within ``window`` positions."""
-    order = np.lexsort((at, keys))
+    order = _in_order(keys)  # positions ascend already
     key, place = keys[order], at[order]
     hot = np.zeros(len(key), bool)
     k = times - 1
@@ -236,15 +258,34 @@ def _recurring(keys: np.ndarray, at: np.ndarray, window: int, times: int) -> np.
     return out
 
 
-def recurring_phrases(t: Tokens, words: int, window: int, times: int = RECURS) -> np.ndarray:
-    """By word: whether it lies in a phrase of ``words`` words of one line that recurs. Numbers are skipped."""
+def _word_times(t: Tokens) -> np.ndarray:
+    """By word: how often it occurs on its page; 0 for numbers."""
+    times = np.zeros(len(t.code), np.int64)
+    plain = np.flatnonzero(~t.number)
+    key = t.doc[plain].astype(np.int64) * (len(t.names) + 1) + t.code[plain]
+    order = _in_order(key)
+    begin = np.flatnonzero(_starts(key[order])) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(key)))
+    times[plain[order]] = np.repeat(size, size)
+    return times
+
+
+def recurring_phrases(t: Tokens, words: int, window: int, times: int = RECURS, seen: np.ndarray | None = None) -> np.ndarray:
+    """By word: whether it lies in a phrase of ``words`` words of one line that recurs. Numbers are skipped.
+
+    ``seen`` are the _word_times(), if they are known: a phrase cannot recur more often than its words.
+    """
+    seen = _word_times(t) if seen is None else seen
     plain = np.flatnonzero(~t.number)
     covered = np.zeros(len(t.code), bool)
     n = len(plain) - words + 1
     if n < times:
         return covered
-    code, line, doc = t.code[plain], t.line[plain], t.doc[plain]
-    at = np.flatnonzero(line[:n] == line[words - 1 :])
+    code, line, doc, often = t.code[plain], t.line[plain], t.doc[plain], seen[plain] >= times
+    able = line[:n] == line[words - 1 :]
+    for i in range(words):
+        able &= often[i : n + i]
+    at = np.flatnonzero(able)
     keys = _mix(doc[at], *[code[at + i] for i in range(words)])
     hot = at[_recurring(keys, plain[at], window, times)]
     for i in range(words):
@@ -269,7 +310,7 @@ def recurring_lines(t: Tokens) -> np.ndarray:
 
 def _distinct_shares(t: Tokens, plain_words: np.ndarray) -> np.ndarray:
     width = len(t.names) + 1
-    pairs = np.unique((t.block.astype(np.int64) * width + t.code)[~t.number])
+    pairs = _sorted_once((t.block.astype(np.int64) * width + t.code)[~t.number])
     return np.bincount(pairs // width, minlength=t.blocks) / np.maximum(plain_words, 1)
 
 
@@ -302,6 +343,7 @@ class Measures:
     prose: np.ndarray
     block: dict[str, np.ndarray]
     pairs: np.ndarray
+    copies: np.ndarray
     page: dict[str, np.ndarray]
     page_words: np.ndarray
     in_line: np.ndarray
@@ -313,7 +355,7 @@ def measure(t: Tokens, given: list, lexicon: Lexicon) -> Measures:
     """All measures of a slice; ``given`` has the delivered languages."""
     flags = lexicon.flags(t.names)
     width = len(t.names) + 1
-    once = np.unique(t.doc.astype(np.int64) * width + t.code)
+    once = _sorted_once(t.doc.astype(np.int64) * width + t.code)
     doc, code = once // width, once % width
     pooled = len(lexicon.languages)
     best, guess = np.zeros(t.n, np.int64), np.full(t.n, pooled)
@@ -330,31 +372,31 @@ def measure(t: Tokens, given: list, lexicon: Lexicon) -> Measures:
     every = np.maximum(t.per_block(np.ones(len(t.code))), 1)
     share = lambda mask: t.per_block(mask) / np.maximum(words, 1)
     distinct = _distinct_shares(t, words)
+    seen = _word_times(t)
     block = {
         "function": t.per_block(function & ~t.number) / np.maximum(words, 1),
         "distinct": distinct,
-        "word": share(recurring_phrases(t, 1, WORD_WINDOW)),
-        "bigram": share(recurring_phrases(t, 2, PHRASE_WINDOW)),
-        "trigram": share(recurring_phrases(t, 3, PHRASE_WINDOW)),
+        "word": share(recurring_phrases(t, 1, WORD_WINDOW, seen=seen)),
+        "bigram": share(recurring_phrases(t, 2, PHRASE_WINDOW, seen=seen)),
+        "trigram": share(recurring_phrases(t, 3, PHRASE_WINDOW, seen=seen)),
         "separator": (t.hard + t.soft) / every,
         "form": t.forms / every,
     }
     in_line = recurring_lines(t)
     chars = t.form_chars + t.per_doc(t.length)
-    # The top word of a page is its most frequent word that is neither function word nor number.
+    # The top word of a page is its most frequent word that is neither function word nor number, the first of them.
     able = np.flatnonzero(~t.number & ~function)
-    key, times = np.unique(t.doc[able].astype(np.int64) * width + t.code[able], return_counts=True)
-    order = np.lexsort((key, -times, key // width))
-    lead = order[_starts((key // width)[order])] if len(key) else order
-    top_key = np.full(t.n, -1)
-    top_key[key[lead] // width] = key[lead]
-    top_times = np.zeros(t.n)
-    top_times[key[lead] // width] = times[lead]
+    top_times = np.zeros(t.n, np.int64)
+    np.maximum.at(top_times, t.doc[able], seen[able])
+    top = able[seen[able] == top_times[t.doc[able]]]
+    top = top[_starts(t.doc[top])] if len(top) else top
+    top_code = np.full(t.n, -1)
+    top_code[t.doc[top]] = t.code[top]
     page_words = t.per_doc(~t.number)
     page = {"line": t.per_doc(t.length * in_line) / np.maximum(chars, 1), "top": top_times / np.maximum(page_words, 1)}
-    is_top = top_key[t.doc] == t.doc.astype(np.int64) * width + t.code
+    is_top = (top_code[t.doc] == t.code) & ~t.number
     prose = (words >= PROSE) & (distinct >= DISTINCT)
-    return Measures(language, words, prose, block, share(recurring_phrases(t, 1, WORD_WINDOW, 2)), page, page_words, in_line, is_top, chars)
+    return Measures(language, words, prose, block, share(recurring_phrases(t, 1, WORD_WINDOW, 2, seen)), share(recurring_phrases(t, COPY, PHRASE_WINDOW, 2, seen)), page, page_words, in_line, is_top, chars)
 
 
 def _records(t: Tokens, in_line: np.ndarray) -> np.ndarray:
@@ -379,13 +421,13 @@ def junk_chars(t: Tokens, m: Measures, limits: np.ndarray) -> np.ndarray:
     run = np.bincount(which, weights=m.words * poor)[which] if t.blocks else np.zeros(0)
     junk = lists & (over("trigram") | over("bigram"))
     junk |= lists & over("word") & (m.words >= LIST_WORDS)
-    junk |= lists & over("separator") & (separators >= 3) & (m.block["word"] >= 0.7 * limits[language, at["word"]])
-    # Hard separators are no ordinary punctuation: with them, or without any, recurring twice is enough.
-    dense = (t.hard >= 4) & (t.hard >= limits[language, at["separator"]] * np.maximum(m.words, 1)) & (m.pairs >= 0.5)
-    bare = (t.soft <= 0.05 * m.words) & (m.words >= USUAL_BLOCK) & (m.pairs >= 0.7)
-    junk |= lists & (dense | bare)
+    # A list is junk too if its words recur twice, but not as a copy of a list with separators.
+    dense, bare = (separators >= 3) & over("separator"), separators <= 0.05 * m.words
+    twice = np.where(dense, 0.5, np.where(m.words >= USUAL_BLOCK, 0.6, np.inf))
+    junk |= lists & (m.pairs >= twice) & (m.copies < 0.5)
+    junk |= lists & bare & (m.words >= USUAL_BLOCK) & (m.pairs >= 0.7)
     junk |= lists & (run >= LIST_RUN)
-    junk |= poor & (m.block["form"] >= 1 / 8)
+    junk |= (poor & (m.block["form"] >= FORMS[0])) | (m.block["form"] >= FORMS[1])
     junk |= (m.block["distinct"] < limits[language, at["distinct"]]) & (m.words >= USUAL_BLOCK)
     topped = (m.page["top"] > limits[m.language, at["top"]]) & (m.page_words >= USUAL_PAGE)
     has_top = t.per_block(m.is_top) > 0
@@ -423,25 +465,25 @@ def _scan(docs: DataFrame, work: Callable[[pa.Array, list, Tokens], pa.RecordBat
 
 def _word_counts(ids: pa.Array, given: list, t: Tokens) -> pa.RecordBatch:
     """(lang, word, docs, prose, listed) of a slice; the row without a word has the totals."""
-    languages = sorted({g for g in given if g is not None})
+    # Pages of unknown language only count among all pages.
+    languages = [None, *sorted({g for g in given if g is not None})]
     place = {g: i for i, g in enumerate(languages)}
-    told = np.array([place.get(g, -1) for g in given], np.int64)
+    told = np.array([place[g] for g in given], np.int64)
     words = t.per_block(~t.number)
     distinct = _distinct_shares(t, words)
     prose = (words >= PROSE) & (distinct >= DISTINCT)
     loose = (words > 0) & ((words < PROSE) | (distinct < LOOSE))
-    usable = ~t.number & (told[t.doc] >= 0)
+    usable = ~t.number & (told[t.doc] > 0)
     width = len(t.names) + 1
-    out = {"lang": [], "word": [], "docs": [], "prose": [], "listed": []}
     key = told[t.doc] * width + t.code
     in_prose, in_list = usable & prose[t.block], usable & loose[t.block]
-    once = np.unique(t.doc[in_prose].astype(np.int64) * width + t.code[in_prose])
+    once = _sorted_once(t.doc[in_prose].astype(np.int64) * width + t.code[in_prose])
     seen, docs = np.unique(told[once // width] * width + once % width, return_counts=True)
     size = len(languages) * width
     of_prose, of_list = np.bincount(key[in_prose], minlength=size), np.bincount(key[in_list], minlength=size)
     langs = np.concatenate([seen // width, np.arange(len(languages))])
     totals = of_prose.reshape(-1, width).sum(1), of_list.reshape(-1, width).sum(1)
-    pages = np.bincount(told[told >= 0], minlength=len(languages))
+    pages = np.bincount(told, minlength=len(languages))
     word = pa.concat_arrays([t.names.take(pa.array(seen % width)), pa.nulls(len(languages), pa.string())])
     out = [
         pa.array(languages, pa.string()).take(pa.array(langs.astype(np.int64))), word, pa.array(np.concatenate([docs, pages]).astype(np.int64)),
@@ -458,11 +500,12 @@ def function_words(docs: DataFrame) -> dict[str, list[str]]:
     of an average document, and at most 1 / LANGUAGE_SHARE languages: few enough for the driver.
     """
     counts = _scan(docs, _word_counts, "lang string, word string, docs bigint, prose bigint, listed bigint")
-    counts = counts.groupBy("lang", "word").agg(*[F.sum(c).alias(c) for c in ("docs", "prose", "listed")])
-    pages = docs.count()
-    enough = F.col("docs") >= LANGUAGE_SHARE * pages
-    totals = counts.where(F.col("word").isNull() & enough & (F.col("prose") > 0)).select("lang", *[F.col(c).alias(f"all_{c}") for c in ("docs", "prose", "listed")])
-    totals = {r["lang"]: r for r in totals.collect()}
+    # Written once: a row per language and word.
+    counts = materialize(counts.groupBy("lang", "word").agg(*[F.sum(c).alias(c) for c in ("docs", "prose", "listed")]))
+    totals = counts.where("word is null")
+    pages = totals.agg(F.sum("docs")).collect()[0][0] or 0
+    totals = totals.where((F.col("docs") >= LANGUAGE_SHARE * pages) & F.col("lang").isNotNull() & (F.col("prose") > 0))
+    totals = {r["lang"]: {f"all_{c}": r[c] for c in ("docs", "prose", "listed")} for r in totals.collect()}
     if not totals:
         return {}
     rows = counts.where(F.col("word").isNotNull() & F.col("lang").isin(list(totals)))
