@@ -11,6 +11,8 @@ from reelspark.session import materialize
 
 #: Bits of the hash per histogram level, and of the whole hash.
 LEVEL_BITS, HASH_BITS = 12, 60
+#: Documents above this part of their source come last in its order.
+LARGE = 0.02
 #: Sources with a target that a mix may have: a histogram has sources x 2^LEVEL_BITS rows.
 MAX_SOURCES = 1_000
 
@@ -44,9 +46,11 @@ def mix(docs: DataFrame, targets: DataFrame, budgets: Sequence[float] = (1.0,))
     in proportion) using each document at most max_repeats times; ``budgets`` are parts of
     that total, and a smaller budget's uses never exceed a larger one's. All documents of
     a source are used floor(budget / size) times, and those whose hash lies below a
-    threshold once more. The threshold comes from a histogram of tokens by source and
+    threshold once more. Documents of more than LARGE of their source have hashes above all
+    others, so that none of them ends a source short of its budget; without them a budget is
+    missed by less than LARGE. The threshold comes from a histogram of tokens by source and
     leading hash bits; only the bucket that holds the boundary is refined by further bits.
-    A budget is missed by less than the documents that share one hash value.
+    Documents that share a hash value (repeated ids do) are in or out together.
 
     Null or unknown sources, and null or non-positive sizes, take no part. Source names
     are trimmed, lower-cased, and written with underscores. Repeated rows share a hash and
@@ -55,10 +59,14 @@ def mix(docs: DataFrame, targets: DataFrame, budgets: Sequence[float] = (1.0,))
     wanted = _targets(targets)
     rows = docs.select("doc_id", clean_source(F.col("source")).alias("source"), F.col("tokens").cast("bigint").alias("tokens"))
     rows = rows.where(F.col("source").isin(list(wanted)) & (F.col("tokens") > 0))
-    # The top 4 bits are dropped: hashes are non-negative and levels of 12 bits fit evenly.
-    rows = materialize(rows.withColumn("h", F.xxhash64("doc_id").bitwiseAND(F.lit((1 << HASH_BITS) - 1))))
+    # The top 4 bits are dropped: hashes are non-negative and levels of 12 bits fit evenly. One tells large documents.
+    half = 1 << (HASH_BITS - 1)
+    rows = materialize(rows.withColumn("h", F.xxhash64("doc_id").bitwiseAND(F.lit(half - 1))))
     size = {r[0]: r[1] for r in rows.groupBy("source").agg(F.sum("tokens")).collect()}
     shares, total = _reachable(wanted, size)
+    if size:
+        most = F.create_map(*[F.lit(x) for s, n in size.items() for x in (s, LARGE * n)])[F.col("source")]
+        rows = rows.withColumn("h", F.col("h") + F.when(F.col("tokens") > most, F.lit(half)).otherwise(F.lit(0)))
     # (source, budget) -> [fixed uses, hash prefix so far, tokens still wanted below the threshold]
     cuts = {}
     for b in budgets:
