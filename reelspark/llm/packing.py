@@ -12,6 +12,8 @@ the bound is met or a round saves nothing. A round never costs containers.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,27 +30,32 @@ MAX_CAPACITIES = 1_000
 _PACKED = "capacity_id int, capacity bigint, doc_id bigint, part_no int, part_tokens bigint, grp bigint, bin int, bins int, bound int, room bigint, row bigint"
 
 
-def lower_bound(sizes: np.ndarray, capacity: int, most: int = 20) -> int:
-    """The best of several dual-feasible-function bounds for sizes in 1..capacity."""
+def lower_bound(sizes: np.ndarray, capacity: int, counts: np.ndarray | None = None, most: int = 20) -> int:
+    """The best of several dual-feasible-function bounds for sizes in 1..capacity.
+
+    With ``counts`` the sizes are distinct and occur so often; nothing is expanded.
+    """
     if not len(sizes):
         return 0
-    size, n = np.unique(np.asarray(sizes, np.int64), return_counts=True)
+    if counts is None:
+        size, n = np.unique(np.asarray(sizes, np.int64), return_counts=True)
+    else:
+        order = np.argsort(sizes)
+        size, n = np.asarray(sizes, np.int64)[order], np.asarray(counts, np.int64)[order]
     c = int(capacity)
-    total = [int(x) for x in size]
-    best = -(-sum(s * int(k) for s, k in zip(total, n)) // c)
+    # Sums of tokens fit 64 bits; only the staircase multiplies them, so it takes whole numbers of any size.
+    weight, count = np.concatenate([[0], np.cumsum(size * n)]), np.concatenate([[0], np.cumsum(n)])
+    best = -(-int(weight[-1]) // c)
     # Staircase functions: sizes count in (k + 1)-ths of the capacity, rounded down to k parts.
     for k in range(1, most + 1):
         parts = (k + 1) * size
         value = np.where(parts % c == 0, size * k, parts // c * c)
         best = max(best, -(-int((value.astype(object) * n).sum()) // (k * c)))
     # Threshold functions: above c - a a whole container, below a nothing.
-    weight = np.concatenate([[0], np.cumsum(size * n)])
-    count = np.concatenate([[0], np.cumsum(n)])
-    for a in [0, *size[size * 2 <= c]]:
-        i, j = np.searchsorted(size, a), np.searchsorted(size, c - a, side="right")
-        whole = int(count[-1] - count[j])
-        best = max(best, whole - (-int(weight[j] - weight[min(i, j)]) // c))
-    return int(best)
+    a = np.concatenate([[0], size[size * 2 <= c]])
+    i, j = np.searchsorted(size, a), np.searchsorted(size, c - a, side="right")
+    whole, rest = count[-1] - count[j], weight[j] - weight[np.minimum(i, j)]
+    return max(best, int((whole - (-rest // c)).max()))
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -94,7 +101,7 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _bins(packed: DataFrame) -> dict[int, int]:
     """Containers per capacity."""
-    bins = packed.select("capacity_id", "grp", "bin").distinct().groupBy("capacity_id").count()
+    bins = packed.groupBy("capacity_id", "grp").agg(F.countDistinct("bin").alias("n")).groupBy("capacity_id").agg(F.sum("n"))
     return {r[0]: r[1] for r in bins.collect()}  # one row per capacity
 
 
@@ -122,14 +129,16 @@ def parts(sizes: DataFrame, capacities: list[tuple[int, int]]) -> DataFrame:
     )
 
 
-def pack(sizes: DataFrame, capacities: list[tuple[int, int]], group_items: int = 20_000, rounds: int = 4) -> DataFrame:
+def pack(sizes: DataFrame, capacities: list[tuple[int, int]], group_items: int = 20_000, exchange: bool = True) -> DataFrame:
     """Rows (capacity_id, container_id, capacity, doc_id, part_no, part_tokens, certified).
 
     ``sizes`` has (doc_id, doc_tokens); ``capacities`` are (id, capacity) pairs. Every item
     with a size above 0 is in exactly one container per capacity, cut only if it exceeds
     the capacity; items of null, zero or negative size take no container and give no row.
     Repeated rows and null ids are items of their own. A part as large as the capacity is
-    a container by itself and needs no packing. ``certified`` says that the container
+    a container by itself and needs no packing. Turns of exchange go on until the number of
+    containers meets the bound over all items or a turn saves none; without ``exchange``
+    every partition is packed once. ``certified`` says that the container
     belongs to a partition whose number of containers equals its lower bound.
     """
     capacities = sorted({(int(i), int(c)) for i, c in capacities if i is not None and c is not None and c > 0})
@@ -141,10 +150,10 @@ def pack(sizes: DataFrame, capacities: list[tuple[int, int]], group_items: int =
     whole = pieces.where("part_tokens = capacity")
     done = [whole.select("capacity_id", "capacity", "doc_id", "part_no", "part_tokens", F.concat(F.lit("f"), "row").alias("number"), F.lit(True).alias("certified"))]
     todo = pieces.where("part_tokens < capacity")
-    least = bounds(todo, capacities)
-    frozen = dict.fromkeys(least, 0)  # containers that are settled, per capacity
+    least = bounds(todo)
+    frozen = dict.fromkeys((i for i, _ in capacities), 0)  # containers that are settled, per capacity
     before: tuple[DataFrame, dict[int, int], str] | None = None  # the pool as it was packed last
-    for turn in range(rounds + 1):
+    for turn in itertools.count():
         # One row per capacity. A partition gets no more items than asked for, unless they
         # would fill only a few containers, of which the last always has a gap.
         found = todo.groupBy("capacity_id", "capacity").agg(F.count(F.lit(1)), F.sum("part_tokens")).collect()
@@ -166,8 +175,8 @@ def pack(sizes: DataFrame, capacities: list[tuple[int, int]], group_items: int =
                 count = {k: v for k, v in count.items() if k not in worse}
         # Another turn helps where there are more containers than any packing needs, and did
         # help where there was one.
-        again = [k for k in count if frozen[k] + count[k] > least[k] and (before is None or count[k] < before[1][k])]
-        if turn == rounds or not again:
+        again = [k for k in count if frozen[k] + count[k] > least.get(k, 0) and (before is None or count[k] < before[1][k])]
+        if not exchange or not again:
             done.append(_settled(packed, f"r{turn}"))
             break
         gap, wide = F.col("bins") > F.col("bound"), F.col("room") > F.col("capacity") * WIDE
@@ -193,10 +202,12 @@ def containers(packed: DataFrame) -> DataFrame:
     ).withColumn("unused_tokens", F.col("capacity") - F.col("used_tokens"))
 
 
-def bounds(packed: DataFrame, capacities: list[tuple[int, int]]) -> dict[int, int]:
-    """The lower bound over all items per capacity, from the size histogram (at most ``capacity`` sizes each)."""
-    out = {}
-    for i, c in capacities:
-        rows = packed.where(F.col("capacity_id") == i).groupBy("part_tokens").count().collect()
-        out[i] = lower_bound(np.repeat([r[0] for r in rows], [r[1] for r in rows]), c) if rows else 0
-    return out
+def bounds(packed: DataFrame) -> dict[int, int]:
+    """The lower bound over all items per capacity, from one histogram (at most as many sizes as the capacity)."""
+
+    def of_one(pdf: pd.DataFrame) -> pd.DataFrame:
+        bound = lower_bound(pdf["part_tokens"].to_numpy(), int(pdf["capacity"].iloc[0]), pdf["n"].to_numpy())
+        return pd.DataFrame({"capacity_id": pdf["capacity_id"].iloc[:1], "bound": [bound]})
+
+    sizes = packed.groupBy("capacity_id", "capacity", "part_tokens").agg(F.count(F.lit(1)).alias("n"))
+    return {r[0]: r[1] for r in sizes.groupBy("capacity_id").applyInPandas(of_one, "capacity_id int, bound bigint").collect()}

@@ -34,9 +34,7 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per capacity: containers, lower bound over all parts, used and unused tokens."""
     packed = materialize(_packed(spark, sf_dir))
-    capacities = _capacities(spark, sf_dir)
-    bound = packing.bounds(packed, capacities)
-    known = F.create_map(*[F.lit(x) for i, _ in capacities for x in (i, bound[i])])
+    known = F.create_map(*[F.lit(x) for i, n in packing.bounds(packed).items() for x in (i, n)])
     return (
         packing.containers(packed)
         .groupBy("capacity_id", "capacity")

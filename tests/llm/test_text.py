@@ -36,6 +36,9 @@ def test_bounds_hold_and_best_fit_is_valid():
         assert -(-sum(sizes) // c) <= bound <= len(used)
     assert packing.lower_bound(np.array([6, 6, 6]), 10) == 3 and packing.lower_bound(np.array([4, 4, 4, 4]), 10) == 2
     assert packing.lower_bound(np.array([], int), 10) == 0
+    # Counts stand for repeated sizes, also for far more of them than memory holds.
+    assert packing.lower_bound(np.array([6, 3]), 10, np.array([3, 2])) == packing.lower_bound(np.array([6, 6, 6, 3, 3]), 10)
+    assert packing.lower_bound(np.array([5, 10]), 10, np.array([10**15, 7])) == 10**15 // 2 + 7
 
 
 def test_packing_keeps_every_item_once(spark):
@@ -55,7 +58,7 @@ def test_packing_keeps_every_item_once(spark):
         assert {r["doc_id"]: (r["n"], r["t"]) for r in per_doc.collect()} == {d: (sum(-(-n // c) for n in v), sum(v)) for d, v in want.items()}
         boxes = packing.containers(mine)
         assert boxes.where("used_tokens > capacity or unused_tokens < 0").isEmpty()
-        bound = packing.bounds(mine, [(i, c)])[i]
+        bound = packing.bounds(mine)[i]
         assert bound <= boxes.count() <= bound * 1.03 + 1
     assert rows(packing.pack(df.limit(0), [(1, 10)])) == []
     with pytest.raises(ValueError):
@@ -65,10 +68,10 @@ def test_packing_keeps_every_item_once(spark):
 def test_gaps_are_repacked(spark):
     # Half the capacity plus one never pairs; thirds do: small groups leave gaps that a pool closes.
     data = [(i, 34 if i % 3 else 32, "x", "y") for i in range(120)]
-    packed = packing.pack(spark.createDataFrame(data, SIZES), [(1, 100)], group_items=7, rounds=5)
-    once = packing.pack(spark.createDataFrame(data, SIZES), [(1, 100)], group_items=7, rounds=0)
+    packed = packing.pack(spark.createDataFrame(data, SIZES), [(1, 100)], group_items=7)
+    once = packing.pack(spark.createDataFrame(data, SIZES), [(1, 100)], group_items=7, exchange=False)
     n, before = packing.containers(packed).count(), packing.containers(once).count()
-    assert packing.bounds(packed, [(1, 100)])[1] <= n < before
+    assert packing.bounds(packed)[1] <= n < before
 
 
 DOCS = "doc_id bigint, source string, tokens bigint, budget string, h string"
@@ -101,6 +104,17 @@ def test_mix_refines_only_until_single_documents(spark):
     assert used["b"] == 23_310 and abs(used["a"] - 23_310) <= 10
 
 
+def test_a_large_document_does_not_end_a_source(spark):
+    data = [(i, "a", 10, "", "") for i in range(3_000)] + [(i, "a", 6_000, "", "") for i in range(5_000, 5_003)] + [(i, "b", 10, "", "") for i in range(9_000, 10_200)]
+    docs = spark.createDataFrame(data, DOCS)
+    mixed = mixing.mix(docs, spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], TARGETS), (0.5, 1.0))
+    used = {(r[0], r[1]): r[2] for r in mixed.groupBy("budget", "source").agg(F.sum(F.col("tokens") * F.col("uses"))).collect()}
+    assert used[1.0, "b"] == 12_000 and abs(used[1.0, "a"] - 12_000) <= 10 and abs(used[0.5, "a"] - 6_000) <= 10
+    # Beyond the small ones the large ones take part, whole.
+    all_of_a = mixing.mix(docs, spark.createDataFrame([("a", 1.0, 2)], TARGETS), (0.5, 1.0)).where("budget = 1.0")
+    assert rows(all_of_a.select("uses").distinct()) == [(2,)] and all_of_a.count() == 3_003
+
+
 def test_mix_of_nothing(spark):
     docs, targets = spark.createDataFrame([(1, "a", 5, "", "")], DOCS), spark.createDataFrame([("a", 1.0, 1)], TARGETS)
     assert rows(mixing.mix(docs.limit(0), targets)) == [] and rows(mixing.mix(docs, targets.limit(0))) == []
