@@ -2,8 +2,8 @@
 
 The state of an entity is a pair of parallel lists, the starts and ends of sorted
 disjoint intervals. States merge linearly, so they form a mergeable aggregate: every
-input partition folds its rows into states, a first exchange spreads the partial states
-of one key over ``fan_in`` reducers, a second one brings the reduced states together.
+input partition folds its rows into states, and a tree of exchanges, as deep as the number
+of partitions asks for, merges ``fan_in`` states of a key at a time.
 
 A state is cut by the time cell its intervals start in (``cell_ms``), so no task ever
 holds more than one cell of one entity, however many rows the entity has. What crosses
@@ -31,9 +31,26 @@ _FOLD_ROWS = 200_000
 
 
 def _fold(group: np.ndarray, cell: np.ndarray, start: np.ndarray, end: np.ndarray):
-    """Merge intervals of the same (group, cell); all results are sorted by group, cell, start."""
+    """Intervals in any order, folded to states: sorted by (group, cell, start), disjoint and apart."""
     order = np.lexsort((start, cell, group))
-    group, cell, start, end = group[order], cell[order], start[order], end[order]
+    return _absorb(group[order], cell[order], start[order], end[order])
+
+
+def _merge(group: np.ndarray, cell: np.ndarray, start: np.ndarray, end: np.ndarray, cell_ms: int):
+    """The same for states that follow each other by (group, cell), each of them sorted.
+
+    One number orders everything, and it ascends within every state: a stable sort finds the
+    states as ascending runs and merges runs linearly, without sorting anew.
+    """
+    fresh = np.ones(len(group), bool)
+    fresh[1:] = (group[1:] != group[:-1]) | (cell[1:] != cell[:-1])
+    place = (np.cumsum(fresh) - 1) * cell_ms + (start - cell * cell_ms)
+    order = np.argsort(place, kind="stable")
+    return _absorb(group[order], cell[order], start[order], end[order])
+
+
+def _absorb(group: np.ndarray, cell: np.ndarray, start: np.ndarray, end: np.ndarray):
+    """Sorted intervals of the same (group, cell) that overlap or touch become one."""
     n = len(start)
     fresh = np.ones(n, bool)
     fresh[1:] = (group[1:] != group[:-1]) | (cell[1:] != cell[:-1])
@@ -88,44 +105,57 @@ def _partial(cell_ms: int):
     return run
 
 
-def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _combine(cell_ms: int):
     """Merge neighbouring states of one key; the input is sorted by entity and cell."""
-    open_key, open_start, open_end = None, np.empty(0, np.int64), np.empty(0, np.int64)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        names = [open_key[0]] if open_key else []
-        coded = pa.concat_arrays([pa.array(names, pa.string()), batch.column(0)]).dictionary_encode()
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        held = len(open_start)
-        sizes = np.diff(batch.column(2).offsets.to_numpy())
-        group = np.concatenate([np.zeros(held, np.int64), np.repeat(codes[len(names):], sizes)])
-        cell = np.concatenate(
-            [np.full(held, open_key[1] if open_key else 0, np.int64), np.repeat(batch.column(1).to_numpy(), sizes)]
-        )
-        start = np.concatenate([open_start, batch.column(2).flatten().to_numpy()])
-        end = np.concatenate([open_end, batch.column(3).flatten().to_numpy()])
-        tail_group, tail_cell = codes[-1], batch.column(1)[-1].as_py()
-        group, cell, start, end, fresh = _fold(group, cell, start, end)
-        tail = (group == tail_group) & (cell == tail_cell)
-        if (~tail).any():
-            yield _batch(coded.dictionary, group[~tail], cell[~tail], start[~tail], end[~tail], fresh[~tail])
-        open_key = (batch.column(0)[-1].as_py(), tail_cell)
-        open_start, open_end = start[tail], end[tail]
-    if open_key:
-        one = np.zeros(len(open_start), np.int64)
-        fresh = np.arange(len(one)) == 0
-        yield _batch(pa.array([open_key[0]], pa.string()), one, one + open_key[1], open_start, open_end, fresh)
-
-
-def interval_states(df: DataFrame, entity: str, start: str, end: str, cell_ms: int = 3_600_000, fan_in: int = 32) -> DataFrame:
-    """States (e, cell, starts, ends) of the intervals; see the module text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key, open_start, open_end = None, np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = [open_key[0]] if open_key else []
+            coded = pa.concat_arrays([pa.array(names, pa.string()), batch.column(0)]).dictionary_encode()
+            codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            held = len(open_start)
+            sizes = np.diff(batch.column(2).offsets.to_numpy())
+            group = np.concatenate([np.zeros(held, np.int64), np.repeat(codes[len(names):], sizes)])
+            cell = np.concatenate(
+                [np.full(held, open_key[1] if open_key else 0, np.int64), np.repeat(batch.column(1).to_numpy(), sizes)]
+            )
+            start = np.concatenate([open_start, batch.column(2).flatten().to_numpy()])
+            end = np.concatenate([open_end, batch.column(3).flatten().to_numpy()])
+            tail_group, tail_cell = codes[-1], batch.column(1)[-1].as_py()
+            group, cell, start, end, fresh = _merge(group, cell, start, end, cell_ms)
+            tail = (group == tail_group) & (cell == tail_cell)
+            if (~tail).any():
+                yield _batch(coded.dictionary, group[~tail], cell[~tail], start[~tail], end[~tail], fresh[~tail])
+            open_key = (batch.column(0)[-1].as_py(), tail_cell)
+            open_start, open_end = start[tail], end[tail]
+        if open_key:
+            one = np.zeros(len(open_start), np.int64)
+            fresh = np.arange(len(one)) == 0
+            yield _batch(pa.array([open_key[0]], pa.string()), one, one + open_key[1], open_start, open_end, fresh)
+
+    return run
+
+
+def interval_states(df: DataFrame, entity: str, start: str, end: str, cell_ms: int = 3_600_000, fan_in: int = 32, partitions: int | None = None) -> DataFrame:
+    """States (e, cell, starts, ends) of the intervals; see the module text.
+
+    ``partitions`` is how many partitions ``df`` has; without it they are counted, which is
+    free for tables as read but runs the exchanges of a derived frame.
+    """
     rows = df.select(
         F.col(entity).cast("string").alias("e"), F.col(start).cast("bigint").alias("s"), F.col(end).cast("bigint").alias("t")
     ).where("e is not null and s is not null and t is not null and s < t")
-    partial = rows.mapInArrow(_partial(cell_ms), _STATE).withColumn("salt", F.spark_partition_id() % fan_in)
-    level = partial.repartition("e", "cell", "salt").drop("salt").sortWithinPartitions("e", "cell").mapInArrow(_combine, _STATE)
-    return level.repartition("e", "cell").sortWithinPartitions("e", "cell").mapInArrow(_combine, _STATE)
+    states = rows.mapInArrow(_partial(cell_ms), _STATE)
+    left = partitions or rows.rdd.getNumPartitions()
+    while left > fan_in:
+        left = -(-left // fan_in)
+        # The states of one key come from at most so many tasks, which are spread over ``left`` reducers.
+        salted = states.withColumn("salt", F.spark_partition_id() % left).repartition("e", "cell", "salt").drop("salt")
+        states = salted.sortWithinPartitions("e", "cell").mapInArrow(_combine(cell_ms), _STATE)
+    return states.repartition("e", "cell").sortWithinPartitions("e", "cell").mapInArrow(_combine(cell_ms), _STATE)
 
 
 def periods_and_gaps(
