@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,27 +91,47 @@ def _column(rows: pa.Table, name: str) -> pa.Array:
 
 
 def unit_vectors(df: DataFrame, uid: str, vector: str, cfg: ClusterConfig) -> DataFrame:
-    """Rows (uid, v): one unit vector per key; see similar_clusters() for what counts."""
-    value = F.col("raw")
-    good = (F.size(value) == cfg.dim) & F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = df.select(F.col(uid).alias("uid"), F.col(vector).cast("array<double>").alias("raw")).where(F.col("uid").isNotNull() & good)
-    norm = F.sqrt(F.aggregate(value, F.lit(0.0), lambda a, x: a + x * x))
-    rows = rows.withColumn("norm", norm).where((F.col("norm") > 0) & (F.col("norm") < float("inf")))
-    rows = rows.select("uid", F.transform("raw", lambda x: x / F.col("norm")).cast("array<float>").alias("v"))
-    return rows.groupBy("uid").agg(F.min("v").alias("v"))
+    """Rows (uid, v): unit vectors, a key's repeated rows included; see similar_clusters() for what counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1)
+            right = pc.fill_null(pc.equal(pc.list_value_length(column), cfg.dim), False)
+            batch = batch.filter(pc.and_(right, batch.column(0).is_valid()))
+            if not batch.num_rows:
+                continue
+            # Nulls among the numbers become NaN.
+            raw = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, cfg.dim)
+            with np.errstate(all="ignore"):
+                norm = np.sqrt((raw**2).sum(1))
+                good = np.isfinite(raw).all(1) & (norm > 0) & np.isfinite(norm)
+            unit = (raw[good] / norm[good, None]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), _lists(unit, pa.float32())], names=["uid", "v"])
+
+    rows = df.select(F.col(uid).cast("string").alias("uid"), F.col(vector).cast("array<double>").alias("v"))
+    return rows.mapInArrow(run, "uid string, v array<float>")
 
 
 _LEAVES = "uid string, v array<float>, leaf bigint, n double, total array<double>, radius double"
 
 
 def _grow(cfg: ClusterConfig):
+    """Leaves of a CF tree over the first row of every key, and their summaries; the input is sorted by key."""
     names = ["uid", "v", "leaf", "n", "total", "radius"]
     kinds = [pa.string(), pa.list_(pa.float32()), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 36
-        tree = CFTree(cfg.dim, cfg.reach / 2)
+        tree, last = CFTree(cfg.dim, cfg.reach / 2), None
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column(0)
+            fresh = np.ones(batch.num_rows, bool)
+            fresh[0] = key[0].as_py() != last
+            fresh[1:] = pc.not_equal(key.slice(1), key.slice(0, len(key) - 1)).to_numpy(zero_copy_only=False)
+            last = key[len(key) - 1].as_py()
+            batch = batch.filter(pa.array(fresh))
             if not batch.num_rows:
                 continue
             leaf = np.array([tree.insert(x) for x in _matrix(batch.column(1), cfg.dim)], np.int64) + base
@@ -149,11 +170,11 @@ def routing_centroids(leaves: DataFrame, n_leaves: int, cfg: ClusterConfig, fan_
     alike = leaves.select(F.lit(1.0).alias("n"), F.transform("total", lambda x: x / F.col("n")).alias("total"))
     level = alike.mapInArrow(_coarse(cfg, budget), "n double, total array<double>")
     parts = leaves.rdd.getNumPartitions()  # of a checkpoint: nothing runs for this
-    while parts > 1:
+    while parts > 1 and parts * budget > MOST_COARSE:
         parts = -(-parts // fan_in)
         level = level.repartition(parts, F.floor(F.spark_partition_id() / fan_in)) if parts > 1 else level.coalesce(1)
         level = level.mapInArrow(_coarse(cfg, budget), "n double, total array<double>")
-    rows = level.collect()  # at most ``budget`` coarse CFs
+    rows = level.collect()  # at most MOST_COARSE coarse CFs
     return _centroids(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), k)
 
 
@@ -258,7 +279,9 @@ def _components(edges: DataFrame) -> DataFrame:
     number of turns that grows with the logarithm of its size; a hub's edges are only
     grouped by aggregates, never gathered.
     """
+    print_of = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).collect()[0])
     pairs = materialize(edges.select(F.greatest("leaf", "other").alias("a"), F.least("leaf", "other").alias("b")).where("a <> b").distinct())
+    before = print_of(pairs)
     while True:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -268,10 +291,12 @@ def _components(edges: DataFrame) -> DataFrame:
         small = down.join(low, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         after = materialize(small.where("a <> b").distinct())
-        same = after.count() == pairs.count() and after.join(pairs, ["a", "b"], "left_anti").isEmpty()
+        now = print_of(after)
         pairs = after
-        if same:
+        # Unlike sets of pairs have the same count and two sums of hashes with odds of 1 in 2^128.
+        if now == before:
             break
+        before = now
     stars = pairs.select(F.col("a").alias("leaf"), F.col("b").alias("cluster"))
     return stars.unionByName(pairs.select(F.col("b").alias("leaf"), F.col("b").alias("cluster")).distinct())
 
@@ -326,7 +351,8 @@ def similar_clusters(df: DataFrame, uid: str, vector: str, cfg: ClusterConfig) -
     numbers do not count; lengths other than 1 are normalised; a repeated key counts once
     (by its least vector). Other columns are ignored. An empty input gives no clusters.
     """
-    grown = materialize(unit_vectors(df, uid, vector, cfg).sortWithinPartitions("uid").mapInArrow(_grow(cfg), _LEAVES))
+    vectors = unit_vectors(df, uid, vector, cfg)
+    grown = materialize(vectors.repartition("uid").sortWithinPartitions("uid", "v").mapInArrow(_grow(cfg), _LEAVES))
     points = grown.where("uid is not null").select("uid", "v", "leaf")
     leaves = grown.where("uid is null").select("leaf", "n", "total", "radius")
     n_leaves = leaves.count()
