@@ -61,26 +61,35 @@ def event_rows(candidates: DataFrame) -> DataFrame:
     )
 
 
-def k_best_paths(rows: DataFrame, n_events: int, cfg: AlignmentConfig) -> DataFrame:
-    """Rows (query_id, video_id, total, penalty, frame_ids, times, uids, scores) over events 0..n_events-1.
-
-    Dynamic programming layer by layer: paths join the candidates of the next event in the
-    same query and video, with increasing frames and an allowed gap; per candidate only
-    the ``k_best`` paths stay (higher total, then smaller frames, then smaller keys), which
+def k_best_paths(rows: DataFrame, n_events: int | DataFrame, cfg: AlignmentConfig) -> DataFrame:
+    """Rows (query_id, video_id, total, penalty, frame_ids, times, uids, scores) over all events of a query.
+
+    ``n_events`` is their number, or a table (query_id, n_events) where queries differ; the
+    events of a query are 0..n_events-1, and rows of other events do not count. Dynamic
+    programming layer by layer: paths join the candidates of the next event in the same
+    query and video, with increasing frames and an allowed gap; per candidate only the
+    ``k_best`` paths stay (higher total, then smaller frames, then smaller keys), which
     Spark applies before the exchange. A video that lacks an event has no path.
     """
-    layer = lambda i: rows.where(F.col("event_index") == i)
+    if isinstance(n_events, int):
+        last, rows = n_events, rows.withColumn("n_events", F.lit(n_events))
+    else:
+        last = n_events.agg(F.max("n_events")).collect()[0][0] or 0
+        rows = rows.join(n_events.select("query_id", "n_events"), "query_id")
+    layer = lambda i: rows.where((F.col("event_index") == i) & (F.col("n_events") > i))
+    names = ["query_id", "video_id", "total", "penalty", "frame_ids", "times", "uids", "scores"]
     paths = layer(0).select(
-        "query_id", "video_id", F.col("score").alias("total"), F.lit(0.0).alias("penalty"), F.array("frame_id").alias("frame_ids"), F.array("timestamp_sec").alias("times"), F.array("uid").alias("uids"), F.array("score").alias("scores")
+        "query_id", "video_id", F.col("score").alias("total"), F.lit(0.0).alias("penalty"), F.array("frame_id").alias("frame_ids"), F.array("timestamp_sec").alias("times"), F.array("uid").alias("uids"), F.array("score").alias("scores"), "n_events"
     )
-    for i in range(1, n_events):
-        step = layer(i).drop("event_index")
+    done = paths.where("n_events = 1").select(*names)
+    for i in range(1, last):
+        step = layer(i).drop("event_index", "n_events")
         gap = F.col("timestamp_sec") - F.element_at("times", -1)
         allowed = (F.element_at("frame_ids", -1) < F.col("frame_id")) & (gap >= cfg.min_gap_sec)
         if cfg.max_gap_sec is not None:
             allowed = allowed & (gap <= cfg.max_gap_sec)
         cost = F.lit(cfg.gap_penalty) * F.greatest(F.lit(0.0), gap - cfg.min_gap_sec)
-        longer = paths.join(step, ["query_id", "video_id"]).where(allowed).select(
+        longer = paths.where(F.col("n_events") > i).join(step, ["query_id", "video_id"]).where(allowed).select(
             "query_id",
             "video_id",
             (F.col("total") + F.col("score") - cost).alias("total"),
@@ -89,43 +98,41 @@ def k_best_paths(rows: DataFrame, n_events: int, cfg: AlignmentConfig) -> DataFr
             F.array_append("times", F.col("timestamp_sec")).alias("times"),
             F.array_append("uids", F.col("uid")).alias("uids"),
             F.array_append("scores", F.col("score")).alias("scores"),
+            "n_events",
             "frame_id",
         )
         place = F.row_number().over(W.Window.partitionBy("query_id", "video_id", "frame_id").orderBy(F.desc("total"), "frame_ids", "uids"))
         paths = longer.withColumn("place", place).where(F.col("place") <= cfg.k_best).drop("place", "frame_id")
         if i % 6 == 0:
             paths = materialize(paths)
-    return paths
+        done = paths.select(*names) if isinstance(n_events, int) else done.unionByName(paths.where(F.col("n_events") == i + 1).select(*names))
+    return done
 
 
-def _dedup(paths: DataFrame, group: list[str], position: str, window: float, cap: int | None) -> DataFrame:
-    """Of the paths of each group in order of preference, those not near one that stayed, at all positions."""
-    columns = [c for c in paths.columns if c not in group]
-    item = F.struct(_neg("total").alias("neg"), F.col("frame_ids"), F.col("uids"), *[c for c in columns if c not in ("frame_ids", "uids")])
-    lists = paths.groupBy(*group).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    near = lambda a, b: (F.size(a[position]) == F.size(b[position])) & F.forall(F.zip_with(a[position], b[position], lambda x, y: F.abs(x - y) <= window), lambda ok: ok)
-    return lists.select(*group, F.explode(keep_apart(F.col("items"), near, cap)).alias("x")).select(*group, *[F.col(f"x.{c}").alias(c) for c in columns])
+def _order() -> list[Column]:
+    return [F.desc("total"), F.col("frame_ids"), F.col("uids")]
 
 
-def align_events(candidates: DataFrame, n_events: int, cfg: AlignmentConfig = AlignmentConfig()) -> DataFrame:
+def align_events(candidates: DataFrame, n_events: int | DataFrame, cfg: AlignmentConfig = AlignmentConfig()) -> DataFrame:
     """The best distinct sequences per query and video, ranked from 1 in their video.
 
-    Paths are pruned to ``k_best`` before near duplicates go, so fewer may remain. All of
-    one video's paths are folded together: at most k_best per frame of the last event.
+    Paths are pruned to ``k_best`` per last frame; of a video's paths those that lie within
+    the window of a better one at all events go, and the first ``k_best`` others stay.
     """
     paths = k_best_paths(event_rows(candidates), n_events, cfg)
-    kept = _dedup(paths, ["query_id", "video_id"], "times", cfg.dedup_window_sec, cfg.k_best)
-    place = F.row_number().over(W.Window.partitionBy("query_id", "video_id").orderBy(F.desc("total"), "frame_ids", "uids"))
+    kept = keep_apart(paths, ["query_id", "video_id"], _order(), "times", cfg.dedup_window_sec, cfg.k_best)
+    place = F.row_number().over(W.Window.partitionBy("query_id", "video_id").orderBy(*_order()))
     return kept.withColumn("rank", place)
 
 
-def rank_sequences(sequences: DataFrame, limit: int, final: str = "frame_ids") -> DataFrame:
-    """All sequences of a query by total score, then video, frames and keys; equal final frames count once.
+def rank_sequences(sequences: DataFrame, limit: int, window_sec: float = 0.5, frames: str = "frame_ids", times: str = "times") -> DataFrame:
+    """All sequences of a query by total score, then video and final frames, without near duplicates.
 
     Scores are those of the coarse candidates, also where frames were refined: local
-    scores of different windows cannot be compared.
+    scores of different windows cannot be compared. Of sequences of one video whose final
+    ``times`` lie within the window at all events only the best stays.
     """
-    best = W.Window.partitionBy("query_id", "video_id", final).orderBy(F.desc("total"), "frame_ids", "uids")
-    once = sequences.withColumn("once", F.row_number().over(best)).where("once = 1").drop("once")
-    place = F.row_number().over(W.Window.partitionBy("query_id").orderBy(F.desc("total"), "video_id", "frame_ids", "uids"))
-    return once.withColumn("rank", place).where(F.col("rank") <= limit)
+    order = [F.desc("total"), F.col(frames), F.col("uids")]
+    kept = keep_apart(sequences, ["query_id", "video_id"], order, times, window_sec)
+    place = F.row_number().over(W.Window.partitionBy("query_id").orderBy(order[0], F.col("video_id"), *order[1:]))
+    return kept.withColumn("rank", place).where(F.col("rank") <= limit)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from reelspark.functions.text import tokens
+from reelspark.operators.skew import small_side
+from reelspark.session import materialize, parallelism
 
 
 def corpus_terms(docs: DataFrame) -> DataFrame:
@@ -21,30 +23,38 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     return corpus_terms(docs).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def corpus_size(docs: DataFrame) -> tuple[int, float]:
-    """Number of documents and their mean number of tokens; documents without tokens count."""
-    row = docs.agg(F.count(F.lit(1)), F.sum(F.size(tokens(F.col("text"))))).collect()[0]
-    return row[0], (row[1] or 0) / row[0] if row[0] else 0.0
+#: Scores are summed in whole units of this size, so that the order of the sum does not matter.
+UNIT = 1e-12
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """Rows (query_id, doc_id, score) of all documents that share a term with a query.
 
     ``docs`` has (doc_id, text), ``queries`` (query_id, text). A term that a query repeats
-    counts as often. Only terms of the queries are kept of the corpus, before it moves.
-    Scores are rounded to 9 digits, so that equal documents tie. Null texts have no terms.
+    counts as often. The corpus is read once, and only the queries' terms of it move, by
+    document, so that no frequent term is gathered in a task; what is known of terms and
+    queries is sent to all tasks where it is small. Scores are rounded to 9 digits, so that
+    equal documents tie. Null texts have no terms; documents without tokens count for the
+    mean length. A doc_id must not repeat.
     """
-    n, mean = corpus_size(docs)
     wanted = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    postings = corpus_terms(docs).join(wanted.select("term").distinct(), "term", "left_semi")
+    wanted = small_side(wanted)
+    words = docs.select("doc_id", tokens(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("length"), F.explode(F.array_append("w", F.lit(None).cast("string"))).alias("term"))
+    terms = small_side(wanted.select("term").distinct().withColumn("asked", F.lit(True)))
+    # The row without a term stands for the document itself.
+    kept = words.join(terms, "term", "left").where("term is null or asked").select("doc_id", "length", "term")
+    counted = materialize(kept.repartition(parallelism(docs), "doc_id").groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf")))
+    n, total = counted.where("term is null").agg(F.count(F.lit(1)), F.sum("length")).collect()[0]
+    mean = (total or 0) / n if n else 0.0
+    postings = counted.where("term is not null")
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(F.lit(1.0) + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = small_side(wanted.join(df.select("term", idf.alias("idf")), "term"))
     norm = F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("length") / F.lit(mean or 1.0))
-    weighted = postings.join(df, "term").select("doc_id", "term", (idf * F.col("tf") * (k1 + 1) / norm).alias("w"))
-    matched = weighted.join(wanted, "term").select("query_id", "doc_id", F.struct("term", (F.col("w") * F.col("times")).alias("s")).alias("x"))
-    # Terms add up in their order; a document has as many entries as the query has terms.
-    grouped = matched.groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    return grouped.select("query_id", "doc_id", F.round(F.aggregate("xs", F.lit(0.0), lambda a, x: a + x["s"]), 9).alias("score"))
+    part = F.round(F.col("idf") * F.col("tf") * (k1 + 1) / norm * F.col("times") / F.lit(UNIT)).cast("bigint")
+    # Postings lie by document: what a document adds up to stays in its task.
+    scored = postings.repartition(parallelism(docs), "doc_id").join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("units"))
+    return scored.select("query_id", "doc_id", F.round(F.col("units") * F.lit(UNIT), 9).alias("score"))
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:

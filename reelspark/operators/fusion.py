@@ -47,13 +47,16 @@ def fuse(rankings: DataFrame, config: FusionConfig, by: str = "query_id", item:
     """Rows (query_id, item, score, source_scores) with score = sum of weight / (k + rank).
 
     ``rankings`` has (query_id, source, item, rank, score), each item once per source.
-    Sources of other names are ignored; see source_differences(). Contributions add up in
+    A source without weight is an error when the plan runs; see source_differences() and
+    ranking_violations() for a report. Contributions add up in
     order of the source names, so that equal inputs give equal bits. ``source_scores``
     keeps rank, score, weight and contribution of every source.
     """
-    weight = F.try_element_at(F.create_map(*[F.lit(x) for s in sorted(config.weights) for x in (s, float(config.weights[s]))]), F.col("source"))
+    unknown = F.raise_error(F.concat(F.lit("source without weight: "), F.coalesce("source", F.lit("null")))).cast("double")
+    known = F.create_map(*[F.lit(x) for s in sorted(config.weights) for x in (s, float(config.weights[s]))])
+    weight = F.coalesce(F.try_element_at(known, F.col("source")), unknown)
     part = F.struct("source", "rank", "score", weight.alias("weight"), (weight / (F.lit(config.k) + F.col("rank"))).alias("contribution"))
-    named = rankings.where(F.col("source").isin(list(config.weights))).select(by, item, part.alias("part"))
+    named = rankings.select(by, item, part.alias("part"))
     fused = named.groupBy(by, item).agg(F.array_sort(F.collect_list("part")).alias("source_scores"))
     total = F.aggregate("source_scores", F.lit(0.0), lambda a, x: a + x["contribution"])
     return fused.select(by, item, total.alias("score"), "source_scores")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from reelspark.functions.keys import is_finite
 from reelspark.operators.sequence import previous_value
 
 KEY = ["video_id", "keyframe_index"]
@@ -17,6 +18,54 @@ def last_mapping(mappings: DataFrame, order: str) -> DataFrame:
     return mappings.withColumn("__place", place).where("__place = 1").drop("__place")
 
 
+def first_keyframes(keyframes: DataFrame) -> DataFrame:
+    """Rows (video_id, keyframe_uid): the first mapped keyframe of every video by time, then key."""
+    good = mapped_only(keyframes).where("video_id is not null and keyframe_uid is not null")
+    return good.groupBy("video_id").agg(F.min(F.struct("timestamp_sec", "keyframe_uid"))["keyframe_uid"].alias("keyframe_uid"))
+
+
+def mapped_only(keyframes: DataFrame) -> DataFrame:
+    """Keyframes with a frame and a finite time."""
+    return keyframes.where(F.col("original_frame_id").isNotNull() & is_finite(F.col("timestamp_sec")))
+
+
+def nearest_keyframes(moments: DataFrame, keyframes: DataFrame, cell_sec: float = 3_600.0) -> DataFrame:
+    """``moments`` (with video_id, at_sec) with the nearest mapped keyframe of their video, at any distance.
+
+    Adds keyframe_uid and distance_sec; equal distances go to the smaller key. Moments of a
+    video without mapped keyframes, and those without a video or a finite time, give no
+    row; extra columns stay. Neighbours are found within time cells, so a video of any
+    length spreads over tasks; the last and first keyframe of each cell, one slim row, is
+    carried to the cells around it.
+    """
+    cell = F.floor(F.col("at_sec") / cell_sec)
+    asked = moments.where(F.col("video_id").isNotNull() & is_finite(F.col("at_sec")))
+    asked = asked.select(F.struct(*moments.columns).alias("moment"), "video_id", F.col("at_sec").cast("double").alias("at_sec"), F.lit(None).cast("string").alias("uid"))
+    points = mapped_only(keyframes).where("video_id is not null").groupBy("video_id", F.col("timestamp_sec").cast("double").alias("at_sec")).agg(F.min("keyframe_uid").alias("uid"))
+    points = points.where("uid is not null").select(F.lit(None).cast(asked.schema["moment"].dataType).alias("moment"), "video_id", "at_sec", "uid")
+    rows = asked.unionByName(points).withColumn("cell", cell)
+    point = F.when(F.col("uid").isNotNull(), F.struct("at_sec", "uid"))
+    # Keyframes first among equal times, so that both neighbours of a moment may be itself.
+    order = ["at_sec", F.col("uid").isNull()]
+    inside = W.Window.partitionBy("video_id", "cell").orderBy(*order)
+    back = W.Window.partitionBy("video_id", "cell").orderBy(F.desc("at_sec"), F.col("uid").isNull())
+    rows = rows.withColumn("before", F.last(point, ignorenulls=True).over(inside)).withColumn("after", F.last(point, ignorenulls=True).over(back))
+    slim = rows.groupBy("video_id", "cell").agg(F.min(point).alias("low"), F.max(point).alias("high"))
+    by_cell = W.Window.partitionBy("video_id").orderBy("cell")
+    behind = W.Window.partitionBy("video_id").orderBy(F.desc("cell"))
+    slim = slim.select(
+        "video_id",
+        "cell",
+        F.last("high", ignorenulls=True).over(by_cell.rowsBetween(W.Window.unboundedPreceding, -1)).alias("carried"),
+        F.last("low", ignorenulls=True).over(behind.rowsBetween(W.Window.unboundedPreceding, -1)).alias("coming"),
+    )
+    both = rows.where("moment is not null").join(slim, ["video_id", "cell"])
+    near = lambda p: F.when(p.isNotNull(), F.struct(F.abs(p["at_sec"] - F.col("at_sec")).alias("d"), p["uid"].alias("uid")))
+    best = F.least(near(F.coalesce("before", "carried")), near(F.coalesce("after", "coming")))
+    found = both.select("moment", best.alias("best")).where("best is not null")
+    return found.select("moment.*", F.col("best.uid").alias("keyframe_uid"), F.col("best.d").alias("distance_sec"))
+
+
 def mapped_keyframes(keyframes: DataFrame, mappings: DataFrame, videos: DataFrame) -> DataFrame:
     """Keyframes (uid, video_id, keyframe_index) with frame, time = frame / fps, and whether they are mapped."""
     fps = videos.groupBy("video_id").agg(F.max("fps").alias("fps"))

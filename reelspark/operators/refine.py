@@ -90,6 +90,25 @@ def refine(candidates: DataFrame, videos: DataFrame, scorer: FrameScorer, cfg: R
     )
 
 
+def refine_frames(candidates: DataFrame, videos: DataFrame, scorer: FrameScorer, n: int, cfg: RefineConfig = RefineConfig(), weights: dict[str, float] | None = None) -> DataFrame:
+    """The ``n`` best frames around each candidate: candidates' columns, frame_id, timestamp_sec, score, error.
+
+    As refine(), but every candidate gives up to ``n`` rows, best first by score, then frame;
+    one that cannot be refined is one row with ``error``.
+    """
+    whole = RefineConfig(max(cfg.candidates, 1), cfg.sparse_window_sec, cfg.sparse_fps, cfg.dense_window_sec)
+    done = refine(candidates.withColumn("score", F.lit(None).cast("double")), videos, scorer, whole, weights).drop("score")
+    bad = done.where("error is not null").select(*[c for c in candidates.columns], F.lit(None).cast("bigint").alias("frame_id"), F.lit(None).cast("double").alias("timestamp_sec"), F.lit(None).cast("double").alias("score"), "error")
+    good = done.where("error is null").join(videos.select("video_id", "video_path", "fps", "frame_count"), "video_id")
+    near = good.withColumn("w", frame_window(F.col("sparse_frame_id"), F.col("fps"), cfg.dense_window_sec, F.col("frame_count")))
+    scores = _score_all(near, scorer, weights)
+    place = F.row_number().over(W.Window.partitionBy("query_id", "window_id").orderBy(F.desc("score"), "frame_id"))
+    best = scores.withColumn("place", place).where(F.col("place") <= n).select("query_id", F.col("window_id").alias("keyframe_uid"), "frame_id", "score")
+    found = near.join(best, ["query_id", "keyframe_uid"])
+    rows = found.select(*candidates.columns, "frame_id", (F.col("frame_id") / F.col("fps")).alias("timestamp_sec"), "score", F.lit(None).cast("string").alias("error"))
+    return rows.unionByName(bad)
+
+
 def overlay(candidates: DataFrame, refined: DataFrame) -> DataFrame:
     """All candidates in their old order; refined ones with the new frame, others as they were (``coarse_fallback``)."""
     done = refined.where("refinement_status = 'refined'").select("query_id", "keyframe_uid", "refined_frame_id", "local_score")

@@ -37,7 +37,7 @@ def _score(k: int, cosine: bool):
                     edge = -np.partition(-row, best - 1)[best - 1]
                     keep = np.flatnonzero((row >= edge) & (row > -np.inf))  # with all ties at the edge
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(keep), names[i].as_py())), ids.take(pa.array(keep)), pa.array(row[keep])], names=["query_id", "item_id", "score"]
+                        [pa.repeat(names[i], len(keep)), ids.take(pa.array(keep)), pa.array(row[keep])], names=["query_id", "item_id", "score"]
                     )
 
     return run
@@ -46,8 +46,8 @@ def _score(k: int, cosine: bool):
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", block: int = 2_048) -> DataFrame:
     """Rows (query_id, item_id, score, rank): the ``k`` best of ``vectors`` for every query, without loss.
 
-    ``vectors`` has (item_id bigint, vector), ``queries`` (query_id bigint, vector); both may
-    be of any size: each side is cut into blocks, every block of vectors meets every block
+    ``vectors`` has (item_id, vector), ``queries`` (query_id, vector), ids are whole numbers
+    or strings; both may be of any size: each side is cut into blocks, every block of vectors meets every block
     of queries, one matrix product scores a pair and only its k best per query (with ties)
     go on. Ties are settled by the smaller item. ``metric`` is cosine or dot; scores are
     rounded to 9 digits. Null vectors take no part, nor do zero vectors under cosine.
@@ -68,6 +68,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "co
     left = by_block.withColumn("lane", F.pmod("vb", F.lit(lanes))).withColumn("qb", F.explode(count(n_blocks)))
     pairs = left.join(by_query.withColumn("lane", F.explode(count(lanes))), ["qb", "lane"])
     flat = pairs.select(F.col("v.item_id"), F.col("v.vector").alias("vectors"), F.col("q.query_id"), F.col("q.vector").alias("queries"))
-    scored = flat.mapInArrow(_score(k, metric == "cosine"), "query_id bigint, item_id bigint, score double")
+    kinds = [queries.schema["query_id"].dataType.simpleString(), vectors.schema["item_id"].dataType.simpleString()]
+    scored = flat.mapInArrow(_score(k, metric == "cosine"), f"query_id {kinds[0]}, item_id {kinds[1]}, score double")
     place = F.row_number().over(W.Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
     return scored.withColumn("rank", place).where(F.col("rank") <= k)

@@ -35,31 +35,21 @@ def diverse_frames(frames: DataFrame, cfg: DiversityConfig = DiversityConfig())
     """Frames (query_id, video_id, frame_id, timestamp_sec, score) that differ, best first, with their rank.
 
     A frame stays unless its video has ``max_per_video`` kept frames or one within the
-    window of seconds (inclusive). The cap counts kept frames. Each video is folded over
+    window of seconds (inclusive). The cap counts kept frames. Each video is a stream over
     the best row of each distinct frame.
     """
     neg = (F.lit(0.0) - F.col("score")).alias("neg")
     once = frames.where("video_id is not null and score is not null").groupBy("query_id", "video_id", "frame_id").agg(F.min(F.struct(neg, "timestamp_sec")).alias("b"))
-    item = F.struct(F.col("b.neg").alias("neg"), F.col("frame_id"), F.col("b.timestamp_sec").alias("t"))
-    lists = once.groupBy("query_id", "video_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    kept = keep_apart(F.col("items"), lambda a, b: F.abs(a["t"] - b["t"]) <= cfg.window, cfg.max_per_video)
-    rows = lists.select("query_id", "video_id", F.explode(kept).alias("x")).select(
-        "query_id", "video_id", "x.frame_id", F.col("x.t").alias("timestamp_sec"), (F.lit(0.0) - F.col("x.neg")).alias("score")
-    )
-    return _limit(rows, ["frame_id"], cfg.max_results)
+    rows = once.select("query_id", "video_id", "frame_id", F.col("b.timestamp_sec").alias("timestamp_sec"), (F.lit(0.0) - F.col("b.neg")).alias("score"))
+    kept = keep_apart(rows, ["query_id", "video_id"], [F.desc("score"), F.col("frame_id"), F.col("timestamp_sec")], "timestamp_sec", cfg.window, cfg.max_per_video)
+    return _limit(kept, ["frame_id"], cfg.max_results)
 
 
 def diverse_sequences(sequences: DataFrame, cfg: DiversityConfig = DiversityConfig(window=15)) -> DataFrame:
     """The same for sequences (query_id, video_id, frame_ids, score); the window is in frames at every position."""
     once = sequences.where("video_id is not null and score is not null").groupBy("query_id", "video_id", "frame_ids").agg(F.max("score").alias("score"))
-    item = F.struct((F.lit(0.0) - F.col("score")).alias("neg"), F.col("frame_ids"))
-    lists = once.groupBy("query_id", "video_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    near = lambda a, b: (F.size(a["frame_ids"]) == F.size(b["frame_ids"])) & F.forall(
-        F.zip_with(a["frame_ids"], b["frame_ids"], lambda x, y: F.abs(x - y) <= int(cfg.window)), lambda ok: ok
-    )
-    kept = keep_apart(F.col("items"), near, cfg.max_per_video)
-    rows = lists.select("query_id", "video_id", F.explode(kept).alias("x")).select("query_id", "video_id", "x.frame_ids", (F.lit(0.0) - F.col("x.neg")).alias("score"))
-    return _limit(rows, ["frame_ids"], cfg.max_results)
+    kept = keep_apart(once, ["query_id", "video_id"], [F.desc("score"), F.col("frame_ids")], "frame_ids", int(cfg.window), cfg.max_per_video)
+    return _limit(kept, ["frame_ids"], cfg.max_results)
 
 
 def increasing(ids):

@@ -31,21 +31,18 @@ def temporal_nms(candidates: DataFrame, window_sec: float, limit: int | None = N
 
     In order of preference a candidate stays unless one that stayed lies within
     ``window_sec`` (inclusive) in the same video; a window of 0 still removes equal times.
-    Suppression never crosses videos, so each (query, video) is folded by itself, over the
-    best candidate of each distinct time: a group is bounded by the frames of a video, not
-    by its candidates. Candidates without a video or a finite time are dropped.
+    Suppression never crosses videos, so each (query, video) is a stream of its own, over
+    the best candidate of each distinct time: it is bounded by the frames of a video, not by
+    its candidates. Candidates without a video or a finite time are dropped.
     """
     if window_sec < 0 or (limit is not None and limit < 1):
         raise ValueError("the window must not be negative, the limit at least 1")
     good = F.col("video_id").isNotNull() & (F.abs("timestamp_sec") < float("inf")) & ~F.isnan("timestamp_sec")
     best = candidates.where(good).groupBy(by, "video_id", "timestamp_sec").agg(F.min(order_key()).alias("k"))
-    lists = best.groupBy(by, "video_id").agg(F.array_sort(F.collect_list(F.struct("k", "timestamp_sec"))).alias("items"))
-    kept = keep_apart(F.col("items"), lambda a, b: F.abs(a["timestamp_sec"] - b["timestamp_sec"]) <= window_sec)
-    rows = lists.select(by, "video_id", F.explode(kept).alias("x")).select(
-        by, "video_id", F.col("x.k.uid").alias("keyframe_uid"), "x.timestamp_sec", (F.lit(0.0) - F.col("x.k.neg")).alias("score"), F.col("x.k.rank").alias("old_rank")
-    )
-    ranked = rerank(rows, F.desc("score"), F.col("old_rank"), F.col("keyframe_uid"), by=by, limit=limit)
-    return ranked.drop("old_rank")
+    rows = best.select(by, "video_id", F.col("k.uid").alias("keyframe_uid"), "timestamp_sec", (F.lit(0.0) - F.col("k.neg")).alias("score"), F.col("k.rank").alias("old_rank"))
+    order = [F.desc("score"), F.col("old_rank"), F.col("keyframe_uid")]
+    kept = keep_apart(rows, [by, "video_id"], order, "timestamp_sec", window_sec)
+    return rerank(kept, *order, by=by, limit=limit).drop("old_rank")
 
 
 def aggregate_videos(candidates: DataFrame, method: str = "max", top_m: int = 3, limit: int | None = None, by: str = "query_id") -> DataFrame:

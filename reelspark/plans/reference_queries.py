@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from reelspark.functions import vector as V
 from reelspark.functions.answers import normalize_answer
+from reelspark.functions.keys import is_finite
 from reelspark.functions.sampling import dense_count, even_ids, frame_window, sparse_ids
 from reelspark.functions.text import artifact_id, infer_group_id, infer_index, infer_video_id, keyframe_uid, metadata_document, parse_fraction, tokens
 from reelspark.operators import alignment, audit, bm25, evaluation, fusion, mapping, refine, search, submission, temporal
 from reelspark.operators.decompose import decompose_events
 from reelspark.operators.sequence import numeric_profile
 from reelspark.plans import retrieval
+from reelspark.plans.branches import middle
 from reelspark.plans.reference_sql import SQL
 from reelspark.session import table
 from reelspark.sources.tables import source_sheet
@@ -26,7 +28,10 @@ CONFIG = retrieval.KisConfig(weights=WEIGHTS)
 #: Sources that stand for the first, second and third of three ordered events.
 EVENTS = ("btc_clip", "fgclip2", "pecore")
 EVENT_POOL = 100
-ALIGN = alignment.AlignmentConfig(k_best=5, min_gap_sec=0.0, max_gap_sec=600.0, gap_penalty=0.0001, dedup_window_sec=0.5)
+ALIGN = alignment.AlignmentConfig()
+#: The same with a penalty and a largest gap.
+GAPPED = alignment.AlignmentConfig(k_best=5, max_gap_sec=600.0, gap_penalty=0.0001)
+REFINED = 10
 
 
 def _lists(spark: SparkSession, d: str) -> DataFrame:
@@ -61,19 +66,20 @@ def temporal_nms(spark, d):
     return temporal.temporal_nms(best, 2.0).select("query_id", "video_id", "keyframe_uid", "timestamp_sec", "score", "rank")
 
 
-def _first_source(spark, d):
-    return _lists(spark, d).where("source = 'btc_clip'")
+def _by_source(spark, d):
+    """The lists under a name of their own, so that each is aggregated by itself."""
+    return _lists(spark, d).withColumn("list_id", F.concat_ws(":", "query_id", "source"))
 
 
 def video_agg_max(spark, d):
-    """Videos of one source's lists by their best keyframe."""
-    return temporal.aggregate_videos(_first_source(spark, d)).select("query_id", "rank", "video_id", "score", "best_keyframe_uid", "contributing_keyframes")
+    """Videos of every source's lists by their best keyframe."""
+    return temporal.aggregate_videos(_by_source(spark, d), by="list_id").select("list_id", "rank", "video_id", "score", "best_keyframe_uid", "contributing_keyframes")
 
 
 def video_agg_mean_top_m(spark, d):
     """The same by the mean of the three best."""
-    rows = temporal.aggregate_videos(_first_source(spark, d), "mean_top_m", 3)
-    return rows.select("query_id", "rank", "video_id", F.round("score", 9).alias("score"), "best_keyframe_uid", "contributing_keyframes")
+    rows = temporal.aggregate_videos(_by_source(spark, d), "mean_top_m", 3, by="list_id")
+    return rows.select("list_id", "rank", "video_id", F.round("score", 9).alias("score"), "best_keyframe_uid", "contributing_keyframes")
 
 
 def kis_videos(spark, d):
@@ -107,7 +113,7 @@ def vector_validation(spark, d):
 
 
 def _queries(spark, d):
-    docs = table(spark, d, "documents").where("doc_id % 20 = 0 and source = 'event_query'")
+    docs = table(spark, d, "documents").where("doc_id % 20 = 0")
     return docs.select(F.col("doc_id").alias("query_id"), "text")
 
 
@@ -116,7 +122,7 @@ def _screen_texts(spark, d):
 
 
 def bm25_topk(spark, d):
-    """The ten best screen texts for every twentieth event query."""
+    """The ten best screen texts for every twentieth document."""
     found = bm25.bm25_topk(_screen_texts(spark, d).select("doc_id", "text"), _queries(spark, d), 10)
     return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
@@ -141,8 +147,7 @@ def token_counts(spark, d):
 
 def representative_keyframe(spark, d):
     """The first mapped keyframe of every video by time."""
-    frames = table(spark, d, "keyframes").where("original_frame_id is not null and timestamp_sec is not null and not isnan(timestamp_sec)")
-    return frames.groupBy("video_id").agg(F.min(F.struct("timestamp_sec", "keyframe_uid"))["keyframe_uid"].alias("keyframe_uid"))
+    return mapping.first_keyframes(table(spark, d, "keyframes"))
 
 
 def metadata_documents(spark, d):
@@ -159,16 +164,25 @@ def _events(spark, d):
 
 
 def candidate_video_evidence(spark, d):
-    """The twenty videos of a query that match most of its events."""
-    return alignment.candidate_videos(_events(spark, d), 20).select("query_id", "rank", "video_id", "matched_events", F.round("evidence_score", 6).alias("evidence_score"), "n_candidates")
+    """The hundred videos of a query that match most of its events."""
+    return alignment.candidate_videos(_events(spark, d), 100).select("query_id", "rank", "video_id", "matched_events", F.round("evidence_score", 6).alias("evidence_score"), "n_candidates")
 
 
-def trake_paths(spark, d):
-    """The five best increasing frame sequences over three events per query and video, before near ones go."""
-    paths = alignment.k_best_paths(alignment.event_rows(_events(spark, d)), 3, ALIGN)
+def _paths(spark, d, cfg):
+    paths = alignment.k_best_paths(alignment.event_rows(_events(spark, d)), 3, cfg)
     return paths.select("query_id", "video_id", "frame_ids", "uids", F.round("total", 8).alias("total"), F.round("penalty", 8).alias("penalty"))
 
 
+def trake_paths(spark, d):
+    """The hundred best increasing frame sequences over three events per query and video, before near ones go."""
+    return _paths(spark, d, ALIGN)
+
+
+def trake_paths_gapped(spark, d):
+    """The five best with a penalty on gaps, none of which may exceed ten minutes."""
+    return _paths(spark, d, GAPPED)
+
+
 def trake_sequences(spark, d):
     """Ordered event search to the end: distinct sequences, 100 a query."""
     rows = retrieval.ordered_events(_events(spark, d), 3, 100, ALIGN, 100)
@@ -190,38 +204,80 @@ def sequence_diversity(spark, d):
     return submission.diverse_sequences(paths).select("query_id", "rank", "video_id", "frame_ids", "score")
 
 
+def _task():
+    number = F.pmod(F.substring("query_id", 2, 8).cast("int"), F.lit(3))
+    return F.when(number == 0, "qna").when(number == 1, "trake").otherwise("kis")
+
+
+#: Ways to write answers; all but the last mean five.
+_GIVEN = ("Năm", "5 people", " five! ", "six")
+
+
 def _submission(spark, d):
-    chosen = submission.diverse_frames(_frames(spark, d))
-    task = F.when(F.pmod(F.substring("query_id", 2, 8).cast("int"), F.lit(3)) == 0, "qna").otherwise("kis")
-    answer = F.when(task == "qna", F.concat(F.lit("a"), F.pmod("frame_id", F.lit(2)).cast("string")))
-    return chosen.select("query_id", task.alias("task"), "rank", "video_id", F.array("frame_id").alias("frame_ids"), answer.alias("answer"))
+    """The diverse frames as results of three tasks: frames, frames with answers, and three frames in a row."""
+    chosen = submission.diverse_frames(_frames(spark, d)).withColumn("task", _task())
+    answer = F.when(F.col("task") == "qna", F.array(*[F.lit(a) for a in _GIVEN])[F.pmod("frame_id", F.lit(4)).cast("int")])
+    frames = F.when(F.col("task") == "trake", F.array(F.col("frame_id"), F.col("frame_id") + 30, F.col("frame_id") + 900)).otherwise(F.array("frame_id"))
+    return chosen.select("query_id", "task", "rank", "video_id", frames.alias("frame_ids"), answer.alias("answer"))
 
 
 def _truth(spark, d):
-    """Ground truth made of the lists: around the median candidate of the second source."""
-    lists = _lists(spark, d).where("source = 'fgclip2' and original_frame_id is not null")
+    """Ground truth made of the lists: around one candidate of every query."""
+    lists = _lists(spark, d).where("original_frame_id is not null")
     middle = lists.groupBy("query_id").agg(F.max(F.struct(F.pmod("original_frame_id", F.lit(97)).alias("h"), "keyframe_uid", "video_id", "original_frame_id")).alias("m"))
-    task = F.when(F.pmod(F.substring("query_id", 2, 8).cast("int"), F.lit(3)) == 0, "qna").otherwise("kis")
-    window = F.array(F.struct((F.col("m.original_frame_id") - 400).alias("start"), (F.col("m.original_frame_id") + 400).alias("end")))
-    return middle.select("query_id", task.alias("task"), "m.video_id", window.alias("frame_windows"), F.when(task == "qna", F.lit("a1")).alias("answer"))
+    window = F.struct((F.col("m.original_frame_id") - 400).alias("start"), (F.col("m.original_frame_id") + 400).alias("end"))
+    rows = middle.withColumn("task", _task())
+    windows = F.when(F.col("task") == "trake", F.array(window, window, window)).otherwise(F.array(window))
+    return rows.select("query_id", "task", "m.video_id", windows.alias("frame_windows"), F.when(F.col("task") == "qna", F.lit("Five people")).alias("answer"))
 
 
 def rank_metrics(spark, d):
-    """R@1 to R@100 and the final score of every query."""
+    """R@1 to R@100 and the final score of every query of the three tasks."""
     return evaluation.query_metrics(_submission(spark, d), _truth(spark, d)).withColumn("final_score", F.round("final_score", 9))
 
 
+def qna_metrics(spark, d):
+    """The scores of the question answers, which are compared in canonical form."""
+    return rank_metrics(spark, d).where("task = 'qna'")
+
+
+def trake_metrics(spark, d):
+    """The scores of the ordered events: shares of frames within their windows."""
+    return rank_metrics(spark, d).where("task = 'trake'")
+
+
 def task_metrics(spark, d):
     """Their means per task."""
     rows = evaluation.task_metrics(evaluation.query_metrics(_submission(spark, d), _truth(spark, d)))
     return rows.select("task", "n_queries", *[F.round(c, 9).alias(c) for c in rows.columns[2:]])
 
 
+def _fused_frames(spark, d):
+    fused = retrieval.fused_candidates(_lists(spark, d), CONFIG).where("original_frame_id is not null")
+    return fused.select("query_id", "rank", "keyframe_uid", "video_id", "original_frame_id", "score")
+
+
+def _wrong_submission(spark, d):
+    """All fused keyframes as results, of which every thirteenth breaks a rule of its own."""
+    rows = _fused_frames(spark, d).withColumn("f", F.col("original_frame_id")).withColumn("k", F.pmod("rank", F.lit(13))).withColumn("base", F.when(_task() == "qna", "qna").otherwise("kis"))
+    k = F.col("k")
+    task = F.when(k == 0, "other").when(k == 5, "kis").when(k == 6, "kis").when(k == 7, "qna").when(k.isin(8, 10), "trake").otherwise(F.col("base"))
+    frames = (
+        F.when(k == 2, F.array(F.col("f") + 10**9)).when(k == 3, F.array(F.lit(-1).cast("bigint"))).when(k == 4, F.filter(F.array("f"), lambda x: F.lit(False)))
+        .when(k == 5, F.array("f", F.col("f") + 1)).when(k == 8, F.array("f", F.col("f") - 2)).when(k == 9, F.array(F.lit(7).cast("bigint"))).when(k == 10, F.array("f", F.col("f") + 1))
+        .otherwise(F.array("f"))
+    )
+    answer = F.when(k == 6, "x").when(k == 7, " ").when(task == "qna", "five")
+    video = F.when(k == 1, "NOPE").when(k == 9, "L01_V001").otherwise(F.col("video_id"))
+    return rows.select("query_id", task.alias("task"), "rank", video.alias("video_id"), frames.alias("frame_ids"), answer.alias("answer"))
+
+
 def submission_violations(spark, d):
-    """What would be wrong with submitting every frame of every list of one source."""
-    rows = _lists(spark, d).where("source = 'pecore' and original_frame_id is not null")
-    sub = rows.select("query_id", F.lit("kis").alias("task"), "rank", "video_id", F.array("original_frame_id").alias("frame_ids"), F.lit(None).cast("string").alias("answer"))
-    found = submission.violations(sub, table(spark, d, "videos").select("video_id", "frame_count"))
+    """What is wrong with a submission in which every rule is broken somewhere."""
+    number = F.substring("query_id", 2, 8).cast("int")
+    due = table(spark, d, "candidates").select("query_id").distinct().where(F.pmod(number, F.lit(5)) != 4)
+    truth = due.select("query_id", F.when(F.pmod(number, F.lit(3)) == 0, "qna").otherwise("kis").alias("task"), F.lit(3).alias("n_frames"))
+    found = submission.violations(_wrong_submission(spark, d), table(spark, d, "videos").select("video_id", "frame_count"), truth)
     return found.groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -361,8 +417,9 @@ def frame_windows(spark, d):
 
 def fractions(spark, d):
     """Frame rates written as fractions and parsed again."""
-    rows = _videos(spark, d).where("fps > 0 and fps < 1000")
-    text = F.concat(F.round(F.col("fps") * 1000).cast("bigint").cast("string"), F.lit("/1000"))
+    rows = _videos(spark, d)
+    whole = F.round(F.col("fps") * 1000).cast("bigint").cast("string")
+    text = F.when(is_finite(F.col("fps")), F.concat(whole, F.lit("/1000")))
     return rows.select("video_id", F.round(parse_fraction(text), 6).alias("fps"))
 
 
@@ -394,29 +451,35 @@ def _scorer(asked: DataFrame) -> DataFrame:
 
 
 def refined_frames(spark, d):
-    """The first candidates of every query with the best frame nearby, or why there is none."""
-    lists = _first_source(spark, d).where("rank <= 5 and original_frame_id is not null")
-    rows = refine.refine(lists.select("query_id", "rank", "keyframe_uid", "video_id", "original_frame_id", "score"), _videos(spark, d), _scorer)
+    """The first ten fused keyframes of every query with the best frame nearby, or why there is none."""
+    rows = refine.refine(_fused_frames(spark, d), _videos(spark, d), _scorer, refine.RefineConfig(candidates=REFINED))
     return rows.select("query_id", "keyframe_uid", "sparse_frame_id", "refined_frame_id", F.round("local_score", 6).alias("local_score"), "refinement_status", "error")
 
 
 def refinement_overlay(spark, d):
     """Coarse lists with refined frames in place, the coarse order kept."""
-    lists = _first_source(spark, d).where("rank <= 8 and original_frame_id is not null").select("query_id", "rank", "keyframe_uid", "video_id", "original_frame_id", "score")
-    done = refine.refine(lists, _videos(spark, d), _scorer, refine.RefineConfig(candidates=5))
+    lists = _fused_frames(spark, d).where("rank <= 100")
+    done = refine.refine(lists, _videos(spark, d), _scorer, refine.RefineConfig(candidates=REFINED))
     over = refine.overlay(lists, done)
     return refine.refinement_counts(over, done)
 
 
+def asr_best_keyframe(spark, d):
+    """The mapped keyframe nearest to the middle of every speech segment, however far."""
+    rows = table(spark, d, "asr_segments").select("segment_id", F.upper(F.trim("video_id")).alias("video_id"), middle(F.col("start_sec"), F.col("end_sec")).alias("at_sec")).distinct()
+    near = mapping.nearest_keyframes(rows, table(spark, d, "keyframes"))
+    return near.select("segment_id", "video_id", "keyframe_uid", F.round("distance_sec", 6).alias("distance_sec"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         ranked_lists, rrf_fusion, rrf_breakdown, metadata_conflicts, temporal_nms, video_agg_max, video_agg_mean_top_m, kis_videos, kis_keyframes,
         cosine_topk, l2_normalize, vector_validation, bm25_topk, bm25_best_per_key, bm25_df, token_counts, representative_keyframe, metadata_documents,
-        candidate_video_evidence, trake_paths, trake_sequences, frame_diversity, sequence_diversity, rank_metrics, task_metrics, submission_violations,
+        candidate_video_evidence, trake_paths, trake_paths_gapped, trake_sequences, frame_diversity, sequence_diversity, rank_metrics, qna_metrics, trake_metrics, task_metrics, submission_violations,
         submission_documents, mapping_validation, mapping_duplicates, mapping_non_monotonic, mapping_summary, mapped_keyframes, keyframe_gaps,
         numeric_profiles, value_distribution, group_durations, video_checks, id_differences, json_profile, storage_by_component, largest_files,
-        source_sheet_check, path_fields, frame_windows, fractions, answer_forms, event_lists, refined_frames, refinement_overlay,
+        source_sheet_check, path_fields, frame_windows, fractions, answer_forms, event_lists, refined_frames, refinement_overlay, asr_best_keyframe,
     )
 }
 ORACLES = SQL

@@ -70,8 +70,9 @@ _EVIDENCE = f"""
 """
 
 
-def _layer(previous: str, i: int) -> str:
-    cost = "0.0001::DOUBLE * greatest(0.0::DOUBLE, r.t - p.lt)"
+def _layer(previous: str, i: int, gapped: bool) -> str:
+    cost = ("0.0001" if gapped else "0.0") + "::DOUBLE * greatest(0.0::DOUBLE, r.t - p.lt)"
+    best, largest = (5, " AND r.t - p.lt <= 600") if gapped else (100, "")
     return f"""
 l{i} AS (
   SELECT * FROM (
@@ -80,33 +81,31 @@ l{i} AS (
            row_number() OVER (PARTITION BY p.query_id, p.video_id, r.f
              ORDER BY p.total + r.s - {cost} DESC, list_append(p.frame_ids, r.f), list_append(p.uids, r.u)) AS place
     FROM {previous} p JOIN rows_ r ON r.query_id = p.query_id AND r.video_id = p.video_id AND r.e = {i}
-    WHERE p.lf < r.f AND r.t - p.lt >= 0 AND r.t - p.lt <= 600
-  ) WHERE place <= 5
+    WHERE p.lf < r.f AND r.t - p.lt >= 0{largest}
+  ) WHERE place <= {best}
 )"""
 
 
-def _paths(source: str) -> str:
+def _paths(source: str, gapped: bool = False) -> str:
     return f"""
 rows_ AS (
   SELECT query_id, video_id, e, f, t, s, u FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id, video_id, e, f ORDER BY s DESC, u, t) AS r FROM {source}) WHERE r = 1
 ), l0 AS (
   SELECT query_id, video_id, s AS total, 0.0::DOUBLE AS penalty, [f] AS frame_ids, [t] AS times, [u] AS uids, f AS lf, t AS lt FROM rows_ WHERE e = 0
-), {_layer("l0", 1)}, {_layer("l1", 2)}
+), {_layer("l0", 1, gapped)}, {_layer("l1", 2, gapped)}
 """
 
 
 _SEQ = "STRUCT(neg DOUBLE, frame_ids BIGINT[], uids VARCHAR[], times DOUBLE[])"
+_NEAR = "abs(k.times[1] - x.times[1]) <= 0.5 AND abs(k.times[2] - x.times[2]) <= 0.5 AND abs(k.times[3] - x.times[3]) <= 0.5"
 _SEQUENCES = f"""
 {_EVIDENCE}, picked AS (SELECT events.* FROM events JOIN chosen USING (query_id, video_id) WHERE chosen.rank <= 100), {_paths("picked")},
 folded AS ({_greedy(
-    "l2", "query_id, video_id", "{'neg': 0.0::DOUBLE - total, 'frame_ids': frame_ids, 'uids': uids, 'times': times}", "total DESC, frame_ids, uids", _SEQ,
-    "abs(k.times[1] - x.times[1]) <= 0.5 AND abs(k.times[2] - x.times[2]) <= 0.5 AND abs(k.times[3] - x.times[3]) <= 0.5", "5",
-)}), once AS (
-  SELECT query_id, video_id, x.frame_ids AS frame_ids, x.uids AS uids, 0.0::DOUBLE - x.neg AS total,
-         row_number() OVER (PARTITION BY query_id, video_id, x.frame_ids ORDER BY x.neg, x.uids) AS o FROM folded
-), final AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, video_id, frame_ids, uids) AS rank FROM once WHERE o = 1
+    "l2", "query_id, video_id", "{'neg': 0.0::DOUBLE - total, 'frame_ids': frame_ids, 'uids': uids, 'times': times}", "total DESC, frame_ids, uids", _SEQ, _NEAR, "100",
+)}), final AS (
+  SELECT query_id, video_id, x.frame_ids AS frame_ids, 0.0::DOUBLE - x.neg AS total,
+         row_number() OVER (PARTITION BY query_id ORDER BY x.neg, video_id, x.frame_ids, x.uids) AS rank FROM folded
 )
 """
 _DIVERSE = f"""
@@ -120,20 +119,24 @@ _DIVERSE = f"""
     CAST(row_number() OVER (PARTITION BY query_id ORDER BY x.s DESC, video_id, x.f) AS INTEGER) AS rank FROM folded) WHERE rank <= 100
 )
 """
-_TASK = "CASE WHEN CAST(substr(query_id, 2, 8) AS INTEGER) % 3 = 0 THEN 'qna' ELSE 'kis' END"
+_TASK = "CASE CAST(substr(query_id, 2, 8) AS INTEGER) % 3 WHEN 0 THEN 'qna' WHEN 1 THEN 'trake' ELSE 'kis' END"
+_IN = "CASE WHEN {f} BETWEEN t.f - 400 AND t.f + 400 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
 _METRICS = f"""
 {_DIVERSE}, truth AS (
   SELECT query_id, {_TASK} AS task, video_id, original_frame_id AS f FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY original_frame_id % 97 DESC, keyframe_uid DESC, video_id DESC, original_frame_id DESC) AS r
-    FROM lists WHERE source = 'fgclip2' AND original_frame_id IS NOT NULL) WHERE r = 1
+    FROM lists WHERE original_frame_id IS NOT NULL) WHERE r = 1
 ), scored AS (
-  SELECT t.query_id, d.rank, CASE WHEN d.video_id = t.video_id AND d.frame_id BETWEEN t.f - 400 AND t.f + 400 AND (task <> 'qna' OR d.frame_id % 2 = 1) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS r
+  SELECT t.query_id, d.rank, CASE WHEN d.video_id <> t.video_id THEN 0.0::DOUBLE
+    WHEN task = 'trake' THEN ({_IN.format(f="d.frame_id")} + {_IN.format(f="d.frame_id + 30")} + {_IN.format(f="d.frame_id + 900")}) / 3
+    WHEN task = 'qna' AND d.frame_id % 4 = 3 THEN 0.0::DOUBLE ELSE {_IN.format(f="d.frame_id")} END AS r
   FROM truth t JOIN diverse d USING (query_id)
 ), m AS (
   SELECT truth.query_id, task, {", ".join(f"coalesce(max(r) FILTER (rank <= {k}), 0.0::DOUBLE) AS r_at_{k}" for k in (1, 5, 20, 50, 100))}
   FROM truth LEFT JOIN scored USING (query_id) GROUP BY ALL
 ), metrics AS (SELECT *, (r_at_1 + r_at_5 + r_at_20 + r_at_50 + r_at_100) / 5 AS final_score FROM m)
 """
+_SCORES = f"WITH {_METRICS} SELECT query_id, task, r_at_1, r_at_5, r_at_20, r_at_50, r_at_100, round(final_score, 9) AS final_score FROM metrics"
 _VIDEOS = """
 vids AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY ingested_at DESC NULLS LAST, load_id DESC NULLS LAST, fps DESC NULLS LAST, frame_count DESC NULLS LAST) AS vr
@@ -164,17 +167,25 @@ docs AS (SELECT record_id AS doc_id, min(text) AS text, min(upper(trim(keyframe_
 ), q AS (
   SELECT query_id, term, count(*) AS times FROM (
     SELECT doc_id AS query_id, unnest(regexp_extract_all(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[\\p{L}\\p{N}_]+')) AS term
-    FROM documents WHERE doc_id % 20 = 0 AND source = 'event_query') GROUP BY ALL
+    FROM documents WHERE doc_id % 20 = 0) GROUP BY ALL
 ), scores AS (
-  SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean)) * times ORDER BY term), 9) AS score
+  SELECT query_id, doc_id, round(sum(CAST(round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean)) * times / 1e-12::DOUBLE) AS HUGEINT))::DOUBLE * 1e-12::DOUBLE, 9) AS score
   FROM q JOIN tf USING (term) JOIN df USING (term), size_ GROUP BY ALL
 )
 """
+_FUSED_FRAMES = f"""
+{_FUSED}, meta AS (
+  SELECT keyframe_uid, video_id, original_frame_id FROM (
+    SELECT *, row_number() OVER (PARTITION BY keyframe_uid ORDER BY video_id, original_frame_id NULLS FIRST, timestamp_sec) AS m FROM lists) WHERE m = 1
+), ff AS (
+  SELECT * FROM (SELECT f.query_id, keyframe_uid, video_id, original_frame_id, CAST(row_number() OVER (PARTITION BY f.query_id ORDER BY round(score, 12) DESC, keyframe_uid) AS INTEGER) AS rank
+                 FROM fused f JOIN meta USING (keyframe_uid)) WHERE original_frame_id IS NOT NULL
+)
+"""
 _REFINE = f"""
-{_LISTS}, {_VIDEOS}, first_ AS (
+{_FUSED_FRAMES}, {_VIDEOS}, first_ AS (
   SELECT l.query_id, l.rank, l.keyframe_uid, l.video_id, l.original_frame_id, v.video_id IS NOT NULL AS known, v.fps, v.frame_count, v.is_readable
-  FROM lists l LEFT JOIN (SELECT * FROM vids WHERE fps IS NULL OR (fps <= 240)) v ON v.video_id = l.video_id
-  WHERE l.source = 'btc_clip' AND l.rank <= 5 AND l.original_frame_id IS NOT NULL
+  FROM ff l LEFT JOIN vids v ON v.video_id = l.video_id WHERE l.rank <= 10
 ), checked AS (
   SELECT *, CASE WHEN NOT known THEN 'no such video' WHEN NOT coalesce(is_readable, FALSE) THEN 'unreadable video'
                  WHEN original_frame_id >= 0 AND fps > 0 AND isfinite(fps) AND coalesce(frame_count >= 1 AND original_frame_id < frame_count, TRUE) THEN NULL
@@ -232,15 +243,15 @@ GROUP BY 1 HAVING count(*) > 1""",
 SELECT query_id, video_id, x.uid AS keyframe_uid, x.t AS timestamp_sec, x.s AS score,
        CAST(row_number() OVER (PARTITION BY query_id ORDER BY x.s DESC, x.r, x.uid) AS INTEGER) AS rank FROM kept""",
     "video_agg_max": f"""WITH {_LISTS}, v AS (
-  SELECT query_id, video_id, max(score) AS score, arg_min(keyframe_uid, (-score, rank, keyframe_uid)) AS best_keyframe_uid, count(*) AS contributing_keyframes
-  FROM lists WHERE source = 'btc_clip' GROUP BY ALL)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, video_id) AS INTEGER) AS rank, video_id, score, best_keyframe_uid, contributing_keyframes FROM v""",
+  SELECT query_id || ':' || source AS list_id, video_id, max(score) AS score, arg_min(keyframe_uid, (-score, rank, keyframe_uid)) AS best_keyframe_uid, count(*) AS contributing_keyframes
+  FROM lists GROUP BY ALL)
+SELECT list_id, CAST(row_number() OVER (PARTITION BY list_id ORDER BY round(score, 9) DESC, video_id) AS INTEGER) AS rank, video_id, score, best_keyframe_uid, contributing_keyframes FROM v""",
     "video_agg_mean_top_m": f"""WITH {_LISTS}, p AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id, video_id ORDER BY score DESC, rank, keyframe_uid) AS place FROM lists WHERE source = 'btc_clip'
+  SELECT *, query_id || ':' || source AS list_id, row_number() OVER (PARTITION BY query_id, source, video_id ORDER BY score DESC, rank, keyframe_uid) AS place FROM lists
 ), v AS (
-  SELECT query_id, video_id, sum(score ORDER BY place) FILTER (place <= 3) / least(3, count(*)) AS score, max(keyframe_uid) FILTER (place = 1) AS best_keyframe_uid, count(*) AS contributing_keyframes
+  SELECT list_id, video_id, sum(score ORDER BY place) FILTER (place <= 3) / least(3, count(*)) AS score, max(keyframe_uid) FILTER (place = 1) AS best_keyframe_uid, count(*) AS contributing_keyframes
   FROM p GROUP BY ALL)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, video_id) AS INTEGER) AS rank, video_id, round(score, 9) AS score, best_keyframe_uid, contributing_keyframes FROM v""",
+SELECT list_id, CAST(row_number() OVER (PARTITION BY list_id ORDER BY round(score, 9) DESC, video_id) AS INTEGER) AS rank, video_id, round(score, 9) AS score, best_keyframe_uid, contributing_keyframes FROM v""",
     "kis_videos": f"""WITH {_KIS}, v AS (SELECT query_id, video_id, max(score) AS score, count(*) AS contributing_keyframes FROM shown GROUP BY ALL)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, video_id) AS INTEGER) AS rank, video_id, round(score, 9) AS score, contributing_keyframes FROM v""",
     "kis_keyframes": f"WITH {_KIS} SELECT query_id, rank, keyframe_uid, round(score, 9) AS score FROM shown",
@@ -269,11 +280,12 @@ SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, term, length FROM t) G
     "token_counts": """WITH t AS (SELECT doc_id, regexp_extract_all(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[\\p{L}\\p{N}_]+') AS w FROM documents)
 SELECT doc_id, CAST(len(w) AS INTEGER) AS n_tokens, CAST(len(list_distinct(w)) AS INTEGER) AS n_distinct FROM t""",
     "representative_keyframe": """SELECT video_id, arg_min(keyframe_uid, (timestamp_sec, keyframe_uid)) AS keyframe_uid FROM keyframes
-WHERE original_frame_id IS NOT NULL AND timestamp_sec IS NOT NULL AND NOT isnan(timestamp_sec) GROUP BY 1""",
+WHERE original_frame_id IS NOT NULL AND isfinite(timestamp_sec) AND video_id IS NOT NULL GROUP BY 1""",
     "metadata_documents": """SELECT video_id, concat_ws(' ', CASE WHEN trim(min(container)) <> '' THEN 'box: ' || trim(min(container)) END, CASE WHEN trim(min(video_codec)) <> '' THEN 'codec: ' || trim(min(video_codec)) END,
   CASE WHEN trim(min(group_id)) <> '' THEN 'group: ' || trim(min(group_id)) END) AS document FROM videos WHERE video_id IS NOT NULL GROUP BY 1""",
-    "candidate_video_evidence": f"WITH {_EVIDENCE} SELECT query_id, rank, video_id, matched_events, round(evidence_score, 6) AS evidence_score, n_candidates FROM chosen WHERE rank <= 20",
+    "candidate_video_evidence": f"WITH {_EVIDENCE} SELECT query_id, rank, video_id, matched_events, round(evidence_score, 6) AS evidence_score, n_candidates FROM chosen WHERE rank <= 100",
     "trake_paths": f"WITH {_EVENTS}, {_paths('events')} SELECT query_id, video_id, frame_ids, uids, round(total, 8) AS total, round(penalty, 8) AS penalty FROM l2",
+    "trake_paths_gapped": f"WITH {_EVENTS}, {_paths('events', True)} SELECT query_id, video_id, frame_ids, uids, round(total, 8) AS total, round(penalty, 8) AS penalty FROM l2",
     "trake_sequences": f"WITH {_SEQUENCES} SELECT query_id, video_id, frame_ids, round(total, 8) AS total FROM final WHERE rank <= 100",
     "frame_diversity": f"WITH {_DIVERSE} SELECT query_id, rank, video_id, frame_id, score FROM diverse",
     "sequence_diversity": f"""WITH {_EVENTS}, {_paths('events')}, sq AS (SELECT query_id, video_id, frame_ids, max(round(total, 8)) AS s FROM l2 GROUP BY ALL),
@@ -281,19 +293,40 @@ folded AS ({_greedy("sq", "query_id, video_id", "{'s': s, 'f': frame_ids}", "s D
     "abs(k.f[1] - x.f[1]) <= 15 AND abs(k.f[2] - x.f[2]) <= 15 AND abs(k.f[3] - x.f[3]) <= 15", "20")}), r AS (
   SELECT query_id, video_id, x.f AS frame_ids, x.s AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY x.s DESC, video_id, x.f) AS INTEGER) AS rank FROM folded)
 SELECT query_id, rank, video_id, frame_ids, score FROM r WHERE rank <= 100""",
-    "rank_metrics": f"WITH {_METRICS} SELECT query_id, task, r_at_1, r_at_5, r_at_20, r_at_50, r_at_100, round(final_score, 9) AS final_score FROM metrics",
+    "rank_metrics": _SCORES,
+    "qna_metrics": f"{_SCORES} WHERE task = 'qna'",
+    "trake_metrics": f"{_SCORES} WHERE task = 'trake'",
     "task_metrics": f"""WITH {_METRICS} SELECT task, count(*) AS n_queries, {", ".join(f"round(avg({c}), 9) AS {c}" for c in ("r_at_1", "r_at_5", "r_at_20", "r_at_50", "r_at_100", "final_score"))}
 FROM metrics GROUP BY 1""",
-    "submission_violations": f"""WITH {_LISTS}, sub AS (SELECT query_id, rank, video_id, original_frame_id AS f FROM lists WHERE source = 'pecore' AND original_frame_id IS NOT NULL),
-inv AS (SELECT video_id, max(frame_count) AS n FROM videos GROUP BY 1), p AS (
-  SELECT 'unknown video' AS problem FROM sub WHERE video_id NOT IN (SELECT video_id FROM inv WHERE video_id IS NOT NULL)
-  UNION ALL SELECT 'frame outside the video' FROM sub JOIN inv USING (video_id) WHERE f >= n
-  UNION ALL SELECT 'no valid frame' FROM sub WHERE f < 0
-  UNION ALL SELECT 'duplicate' FROM (SELECT row_number() OVER (PARTITION BY query_id, video_id, f) AS r FROM sub) WHERE r > 1
-  UNION ALL SELECT 'too many results' FROM (SELECT query_id FROM sub GROUP BY 1 HAVING count(*) > 100))
+    "submission_violations": f"""WITH {_FUSED_FRAMES}, k AS (
+  SELECT query_id, rank, video_id AS v, original_frame_id AS f, rank % 13 AS k, CAST(substr(query_id, 2, 8) AS INTEGER) AS q FROM ff
+), sub AS (
+  SELECT query_id, rank, q, CASE WHEN k = 0 THEN 'other' WHEN k IN (5, 6) THEN 'kis' WHEN k = 7 THEN 'qna' WHEN k IN (8, 10) THEN 'trake' WHEN q % 3 = 0 THEN 'qna' ELSE 'kis' END AS task,
+         CASE WHEN k = 1 THEN 'NOPE' WHEN k = 9 THEN 'L01_V001' ELSE v END AS video_id,
+         CASE k WHEN 2 THEN [f + 1000000000] WHEN 3 THEN [-1] WHEN 4 THEN [] WHEN 5 THEN [f, f + 1] WHEN 8 THEN [f, f - 2] WHEN 9 THEN [7] WHEN 10 THEN [f, f + 1] ELSE [f] END AS frames, k
+  FROM k
+), s AS (SELECT *, CASE WHEN k = 6 THEN 'x' WHEN k = 7 THEN ' ' WHEN task = 'qna' THEN 'five' END AS answer, row_number() OVER (PARTITION BY query_id, video_id, frames ORDER BY rank) > 1 AS again FROM sub
+), inv AS (SELECT video_id, max(frame_count) AS n FROM videos GROUP BY 1
+), j AS (SELECT s.*, inv.video_id IS NOT NULL AS known, inv.n, q % 5 <> 4 AS due, CASE WHEN q % 3 = 0 THEN 'qna' ELSE 'kis' END AS due_task FROM s LEFT JOIN inv ON inv.video_id = s.video_id
+), p AS (
+  SELECT 'unknown task' AS problem FROM j WHERE task NOT IN ('kis', 'qna', 'trake')
+  UNION ALL SELECT 'unknown video' FROM j WHERE NOT known
+  UNION ALL SELECT 'frame outside the video' FROM j WHERE len(list_filter(frames, lambda x: x >= n)) > 0
+  UNION ALL SELECT 'no valid frame' FROM j WHERE len(frames) = 0 OR len(list_filter(frames, lambda x: x < 0)) > 0
+  UNION ALL SELECT 'needs exactly one frame' FROM j WHERE task IN ('kis', 'qna') AND len(frames) <> 1
+  UNION ALL SELECT 'must not have an answer' FROM j WHERE task <> 'qna' AND answer IS NOT NULL
+  UNION ALL SELECT 'needs an answer' FROM j WHERE task = 'qna' AND trim(coalesce(answer, '')) = ''
+  UNION ALL SELECT 'frames must increase' FROM j WHERE task = 'trake' AND len(frames) > 1 AND frames[1] >= frames[2]
+  UNION ALL SELECT 'duplicate' FROM j WHERE again
+  UNION ALL SELECT 'query is not in the ground truth' FROM j WHERE NOT due
+  UNION ALL SELECT 'wrong task' FROM j WHERE due AND task <> due_task
+  UNION ALL SELECT 'wrong number of frames' FROM j WHERE due AND task = 'trake' AND len(frames) <> 3
+  UNION ALL SELECT 'too many results' FROM (SELECT query_id FROM s GROUP BY 1 HAVING count(*) > 100)
+  UNION ALL SELECT 'several tasks' FROM (SELECT query_id FROM s GROUP BY 1 HAVING count(DISTINCT task) > 1))
 SELECT problem, count(*) AS n FROM p GROUP BY 1""",
     "submission_documents": f"""WITH {_DIVERSE}, j AS (
-  SELECT query_id, {_TASK} AS task, rank, '{{"video_id":"' || video_id || '","frame_id":' || frame_id || CASE WHEN {_TASK} = 'qna' THEN ',"answer":"a' || (frame_id % 2) || '"}}' ELSE '}}' END AS o FROM diverse
+  SELECT query_id, {_TASK} AS task, rank, CASE {_TASK} WHEN 'trake' THEN '{{"video_id":"' || video_id || '","frame_ids":[' || frame_id || ',' || (frame_id + 30) || ',' || (frame_id + 900) || ']}}'
+    ELSE '{{"video_id":"' || video_id || '","frame_id":' || frame_id || CASE WHEN {_TASK} = 'qna' THEN ',"answer":"' || ['Năm', '5 people', ' five! ', 'six'][1 + frame_id % 4] || '"}}' ELSE '}}' END END AS o FROM diverse
 ), d AS (SELECT query_id, task, '{{"query_id":"' || query_id || '","task":"' || task || '","results":[' || string_agg(o, ',' ORDER BY rank) || ']}}' AS json FROM j GROUP BY query_id, task)
 SELECT query_id, task, CAST(length(json) AS INTEGER) AS n_chars, substr(sha256(query_id), 1, 16) AS artifact FROM d""",
     "mapping_validation": f"""WITH {_BOUNDS}
@@ -348,7 +381,7 @@ SELECT 'videos' AS category, CASE WHEN f = '' OR u = '' THEN 'empty field' WHEN
   SELECT keyframe_path, upper(regexp_extract(keyframe_path, '(?i)L\\d+_V\\d+')) AS v, upper(regexp_extract(keyframe_path, '(?i)L\\d+')) AS g,
          CAST(regexp_extract(keyframe_path, '(\\d+)\\.[^./]+$', 1) AS BIGINT) AS i FROM p)
 SELECT keyframe_path, nullif(v, '') AS video_id, nullif(g, '') AS group_id, i AS keyframe_index, concat_ws(':', nullif(v, ''), lpad(i::VARCHAR, greatest(6, length(i::VARCHAR))::INTEGER, '0')) AS keyframe_uid FROM x""",
-    "frame_windows": f"""WITH {_VIDEOS}, n AS (SELECT video_id, fps, frame_count, frame_count // 2 AS center FROM vids WHERE frame_count IS NOT NULL AND fps IS NOT NULL AND fps <= 240
+    "frame_windows": f"""WITH {_VIDEOS}, n AS (SELECT video_id, fps, frame_count, frame_count // 2 AS center FROM vids WHERE frame_count IS NOT NULL AND fps IS NOT NULL
 ), wins AS (SELECT *, greatest(0, center - round_even(fps, 0)::BIGINT) AS a, least(frame_count - 1, center + round_even(fps, 0)::BIGINT) AS b FROM n WHERE center >= 0 AND fps > 0 AND isfinite(fps) AND frame_count >= 1 AND center < frame_count
 ), {_even()}
 SELECT n.video_id, CASE WHEN a IS NOT NULL THEN list_sort(list_distinct(list_concat(range(a, b + 1, greatest(1, round_even(m.fps / 4.0, 0)::BIGINT)), [a, m.center, b]))) END AS sparse,
@@ -356,14 +389,20 @@ SELECT n.video_id, CASE WHEN a IS NOT NULL THEN list_sort(list_distinct(list_con
        CASE WHEN a IS NULL THEN NULL WHEN b - a + 1 <= 8 THEN range(a, b + 1)
             ELSE list_sort(list_concat(mv, list_slice(list_sort(list_filter(range(a, b + 1), lambda y: NOT list_contains(mv, y))), 1, 8 - len(mv)))) END AS even
 FROM n LEFT JOIN m USING (video_id)""",
-    "fractions": f"WITH {_VIDEOS} SELECT video_id, round(CAST(round(fps * 1000) AS BIGINT) / 1000, 6) AS fps FROM vids WHERE fps > 0 AND fps < 1000",
+    "fractions": f"WITH {_VIDEOS} SELECT video_id, CASE WHEN isfinite(fps) THEN round(CAST(round(fps * 1000) AS BIGINT) / 1000, 6) END AS fps FROM vids",
     "answer_forms": """SELECT * FROM (VALUES (0, '5'), (1, '5'), (2, '5'), (3, 'yes'), (4, 'no'), (5, 'blue'), (6, 'blue'), (7, '5'), (8, 'nguyen van a'), (9, '7'), (10, 'red'), (11, 'no'), (12, NULL)) t(id, answer)""",
     "event_lists": """SELECT * FROM (VALUES (0, 0, 'a man opens a door'), (0, 1, 'he sits down'), (0, 2, 'he leaves'), (1, 0, 'first'), (1, 1, 'second'), (1, 2, 'third'), (2, 0, 'a'), (2, 1, 'b'), (2, 2, 'c'),
 (3, 0, 'a'), (3, 1, 'b'), (4, 0, 'one'), (4, 1, 'two'), (4, 2, 'three'), (5, 0, 'someone (1) only in brackets'), (6, 0, 'prose with one (2) number'), (7, 0, 'spaced out')) t(query_id, event_index, text)""",
     "refined_frames": f"""WITH {_REFINE}
 SELECT c.query_id, c.keyframe_uid, sf AS sparse_frame_id, rf AS refined_frame_id, round(ls, 6) AS local_score, CASE WHEN c.error IS NULL THEN 'refined' ELSE 'failed' END AS refinement_status, c.error
 FROM checked c LEFT JOIN refined r USING (query_id, keyframe_uid)""",
-    "refinement_overlay": f"""WITH {_REFINE}, eight AS (SELECT query_id, keyframe_uid FROM lists WHERE source = 'btc_clip' AND rank <= 8 AND original_frame_id IS NOT NULL)
+    "refinement_overlay": f"""WITH {_REFINE}, shown AS (SELECT query_id, keyframe_uid FROM ff WHERE rank <= 100)
 SELECT e.query_id, count(r.rf) AS n_refined, count(*) - count(r.rf) AS n_fallback, count(*) FILTER (c.error IS NOT NULL) AS n_failed
-FROM eight e LEFT JOIN refined r USING (query_id, keyframe_uid) LEFT JOIN checked c USING (query_id, keyframe_uid) GROUP BY 1""",
+FROM shown e LEFT JOIN refined r USING (query_id, keyframe_uid) LEFT JOIN checked c USING (query_id, keyframe_uid) GROUP BY 1""",
+    "asr_best_keyframe": """WITH seg AS (
+  SELECT DISTINCT segment_id, upper(trim(video_id)) AS video_id, start_sec + (end_sec - start_sec) / 2 AS mid FROM asr_segments
+), kf AS (SELECT DISTINCT keyframe_uid, video_id, timestamp_sec AS t FROM keyframes WHERE original_frame_id IS NOT NULL AND isfinite(timestamp_sec)
+), pairs AS (SELECT segment_id, seg.video_id, keyframe_uid, abs(t - mid) AS d, row_number() OVER (PARTITION BY segment_id, seg.video_id, mid ORDER BY abs(t - mid), keyframe_uid) AS r
+  FROM seg JOIN kf ON kf.video_id = seg.video_id WHERE isfinite(mid))
+SELECT segment_id, video_id, keyframe_uid, round(d, 6) AS distance_sec FROM pairs WHERE r = 1""",
 }

@@ -64,7 +64,7 @@ def retrieve(queries: DataFrame, branches: dict[str, Branch], cfg: KisConfig) ->
     out = None
     for source in sorted(branches):
         rows = branches[source](queries, cfg.top_k * cfg.pool).withColumn("source", F.lit(source))
-        out = rows if out is None else out.unionByName(rows)
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     if out is None:
         raise ContractError("no branch is enabled")
     return out
@@ -100,34 +100,74 @@ def known_item_refined(lists: DataFrame, videos: DataFrame, scorer: refine.Frame
     return refine.overlay(coarse, refine.refine(coarse, videos, scorer, refining))
 
 
-def ordered_events(candidates: DataFrame, n_events: int, videos_per_query: int = 100, cfg: alignment.AlignmentConfig = alignment.AlignmentConfig(), limit: int = 100) -> DataFrame:
+def ordered_events(
+    candidates: DataFrame, n_events: int | DataFrame, videos_per_query: int = 100, cfg: alignment.AlignmentConfig = alignment.AlignmentConfig(), limit: int = 100
+) -> DataFrame:
     """Ranked sequences per query from candidates (query_id, event_index, video_id, frame_id, timestamp_sec, score, uid).
 
-    Only the videos with the best evidence are aligned.
+    ``n_events`` is the number of events, or a table (query_id, n_events). Only the videos
+    with the best evidence are aligned.
     """
     chosen = alignment.candidate_videos(candidates, videos_per_query).select("query_id", "video_id")
     aligned = alignment.align_events(candidates.join(chosen, ["query_id", "video_id"], "left_semi"), n_events, cfg)
-    return alignment.rank_sequences(aligned, limit)
+    return alignment.rank_sequences(aligned, limit, cfg.dedup_window_sec)
 
 
-def realign(sequences: DataFrame, refined: DataFrame, n_events: int, cfg: alignment.AlignmentConfig) -> DataFrame:
-    """Sequences on refined frames, under the coarse total; those with a failed event fall back to their coarse frames.
+@dataclass(frozen=True)
+class EventRefineConfig:
+    """How many sequences are refined, and how many frames around each event may take its place."""
+
+    sequences: int = 20
+    local_frames: int = 8
+    frames: refine.RefineConfig = refine.RefineConfig()
+
+
+def refined_events(sequences: DataFrame, videos: DataFrame, scorer: refine.FrameScorer, cfg: EventRefineConfig = EventRefineConfig()) -> tuple[DataFrame, DataFrame]:
+    """(alternatives, failures) of the events of the first sequences of every query.
+
+    ``sequences`` has (query_id, video_id, rank, frame_ids, uids). Alternatives are rows
+    (query_id, video_id, rank, event_index, frame_id, timestamp_sec, score, uid): the best
+    ``local_frames`` frames around each event. The scorer is asked under the query_id
+    ``query_id\\u0001event_index``. Failures are (query_id, video_id, rank, event_index, error).
+    """
+    first = sequences.where(F.col("rank") <= cfg.sequences)
+    events = first.select("query_id", "video_id", "rank", F.posexplode(F.arrays_zip("frame_ids", "uids")).alias("event_index", "e"))
+    asked = events.select(
+        F.concat_ws("\u0001", "query_id", F.col("event_index").cast("string")).alias("query_id"), "video_id", F.concat_ws("\u0001", F.col("rank").cast("string"), "video_id").alias("keyframe_uid"),
+        F.lit(1).alias("rank"), F.col("e.frame_ids").alias("original_frame_id"), F.col("e.uids").alias("uid"),
+    )
+    done = refine.refine_frames(asked, videos, scorer, cfg.local_frames, cfg.frames)
+    part = lambda c, i: F.split(c, "\u0001")[i]
+    named = done.select(
+        part("query_id", 0).alias("query_id"), "video_id", part("keyframe_uid", 0).cast("int").alias("rank"), part("query_id", 1).cast("int").alias("event_index"),
+        F.col("frame_id"), "timestamp_sec", "score", "uid", "error",
+    )
+    failures = named.where("error is not null").select("query_id", "video_id", "rank", "event_index", "error")
+    return named.where("error is null").drop("error"), failures
+
 
-    ``sequences`` has (query_id, video_id, rank, total, frame_ids, uids), ``refined``
+def realign(sequences: DataFrame, refined: DataFrame, n_events: int | DataFrame, cfg: alignment.AlignmentConfig, limit: int = 100) -> DataFrame:
+    """Sequences on refined frames, ranked by their coarse total, without near duplicates of the final frames.
+
+    ``sequences`` has (query_id, video_id, rank, total, frame_ids, times, uids), ``refined``
     (query_id, video_id, rank, event_index, frame_id, timestamp_sec, score, uid): the
-    alternatives of each event of each sequence. One sequence may give several.
+    alternatives of each event of each sequence, which are aligned anew. One sequence may
+    give several; one with an event without alternatives, or without an increasing choice
+    of them, keeps its coarse frames.
     """
     base = ["query_id", "video_id", "rank"]
-    complete = refined.groupBy(*base).agg(F.count_distinct("event_index").alias("n")).where(F.col("n") == n_events).drop("n")
-    key = F.concat_ws("\u0001", "query_id", F.col("rank").cast("string"))
-    ready = refined.join(complete, base, "left_semi").withColumn("query_id", key)
-    local = alignment.align_events(ready, n_events, cfg).select(
-        F.split("query_id", "\u0001")[0].alias("query_id"), F.split("query_id", "\u0001")[1].cast("int").alias("rank"), "video_id", F.col("frame_ids").alias("final_frame_ids"), F.col("total").alias("local_total")
-    )
+    name = F.concat_ws("\u0001", "query_id", F.col("rank").cast("string"))
+    if isinstance(n_events, DataFrame):
+        n_events = sequences.join(n_events, "query_id").select(name.alias("query_id"), "n_events").distinct()
+    # A sequence with an event without alternatives has no path.
+    local = alignment.align_events(refined.withColumn("query_id", name), n_events, cfg).select(
+        F.split("query_id", "\u0001")[0].alias("query_id"), F.split("query_id", "\u0001")[1].cast("int").alias("rank"), "video_id",
+        F.col("frame_ids").alias("final_frame_ids"), F.col("times").alias("final_times"), F.col("total").alias("local_total"),
+    )
     rows = sequences.join(local, base, "left")
-    return rows.withColumn("refinement_status", F.when(F.col("final_frame_ids").isNotNull(), "refined").otherwise("coarse_fallback")).withColumn(
-        "final_frame_ids", F.coalesce("final_frame_ids", "frame_ids")
-    )
+    rows = rows.withColumn("refinement_status", F.when(F.col("final_frame_ids").isNotNull(), "refined").otherwise("coarse_fallback"))
+    rows = rows.withColumn("final_frame_ids", F.coalesce("final_frame_ids", "frame_ids")).withColumn("final_times", F.coalesce("final_times", "times")).drop("rank")
+    return alignment.rank_sequences(rows, limit, cfg.dedup_window_sec, "final_frame_ids", "final_times")
 
 
 def answer_questions(targets: DataFrame, videos: DataFrame, answerer: Answerer, candidates: int = 5, seconds: float = 2.0, frames: int = 8) -> tuple[DataFrame, DataFrame]:
@@ -139,13 +179,13 @@ def answer_questions(targets: DataFrame, videos: DataFrame, answerer: Answerer,
     """
     first = targets.where(F.col("rank") <= candidates)
     clipped = refine.clip_frames(first, videos, seconds, frames)
-    unknown = first.join(videos.select("video_id"), "video_id", "left_anti").withColumn("stage", F.lit("frames")).withColumn("error", F.lit("no such video"))
-    no_clip = clipped.where("clip is null").withColumn("stage", F.lit("frames")).withColumn("error", F.lit("frame or fps out of bounds"))
+    unknown = first.join(videos.select("video_id"), "video_id", "left_anti").withColumn("stage", F.lit("clip_selection")).withColumn("error", F.lit("no such video"))
+    no_clip = clipped.where("clip is null").withColumn("stage", F.lit("clip_selection")).withColumn("error", F.lit("frame or fps out of bounds"))
     answered = answerer(clipped.where("clip is not null")).withColumn("answer", normalize_answer(F.col("raw_answer")))
     names = [*targets.columns, "stage", "error"]
     silent = answered.where("error is not null or answer is null").withColumn(
-        "stage", F.when(F.col("error").isNotNull(), "answer").otherwise("normalize")
+        "stage", F.when(F.col("error").isNotNull(), "vlm_answer").otherwise("answer_normalization")
     ).withColumn("error", F.coalesce("error", F.lit("empty answer")))
     failures = unknown.select(*names).unionByName(no_clip.select(*names)).unionByName(silent.select(*names))
     good = answered.where("error is null and answer is not null")
-    return temporal.rerank(good.drop("error"), F.col("rank")), failures
+    return temporal.rerank(good.drop("error"), F.col("rank"), limit=candidates), failures

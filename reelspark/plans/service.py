@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.operators import bm25, fusion, search, submission
+from reelspark.operators import alignment, fusion, refine, submission
 from reelspark.operators.decompose import decompose_events
 from reelspark.plans import retrieval
 from reelspark.schemas import ContractError
@@ -16,32 +17,6 @@ from reelspark.schemas import ContractError
 MAX_RESULTS, MAX_TEXT = 100, 4_000
 
 
-def vector_branch(vectors: DataFrame, keyframes: DataFrame, encoder) -> retrieval.Branch:
-    """A visual branch: encode the queries, exact nearest vectors (keyframe_uid, embedding), keyframe metadata."""
-    numbered = keyframes.where("original_frame_id is not null and timestamp_sec is not null").withColumn("item_id", F.xxhash64("keyframe_uid"))
-
-    def run(queries: DataFrame, k: int) -> DataFrame:
-        asked = encoder(queries).select("query_id", F.xxhash64("query_id").alias("q"), "vector")
-        rows = vectors.select(F.xxhash64("keyframe_uid").alias("item_id"), F.col("embedding").alias("vector"))
-        found = search.exact_topk(rows, asked.select(F.col("q").alias("query_id"), "vector"), k).withColumnRenamed("query_id", "q")
-        hits = found.join(asked.select("q", "query_id"), "q").join(numbered, "item_id")
-        return hits.select("query_id", "keyframe_uid", "video_id", "original_frame_id", "timestamp_sec", "keyframe_path", "score", "rank")
-
-    return run
-
-
-def text_branch(docs: DataFrame, keys: DataFrame, keyframes: DataFrame) -> retrieval.Branch:
-    """A text branch: BM25 over (doc_id, text), the best document of each keyframe in (doc_id, key)."""
-    mapped = keyframes.where("original_frame_id is not null and timestamp_sec is not null")
-
-    def run(queries: DataFrame, k: int) -> DataFrame:
-        best = bm25.best_per_key(bm25.bm25_scores(docs, queries), keys, k)
-        hits = best.withColumnRenamed("key", "keyframe_uid").join(mapped, "keyframe_uid")
-        return hits.select("query_id", "keyframe_uid", "video_id", "original_frame_id", "timestamp_sec", "keyframe_path", "score", "rank")
-
-    return run
-
-
 class Service:
     """Branches by name, of which ``visual`` see images, over one keyframe and one video table."""
 
@@ -78,16 +53,51 @@ class Service:
         cfg = self._config(chosen, top_k)
         return retrieval.known_item(self._lists(queries, chosen, cfg), cfg)
 
-    def ordered_events(self, queries: DataFrame, n_events: int, sources: Sequence[str] | None = None, top_k: int = MAX_RESULTS) -> DataFrame:
-        """Sequences for queries (query_id, text) that list ``n_events`` events each; every event is one search of one job."""
+    def ordered_events(
+        self, queries: DataFrame, sources: Sequence[str] | None = None, top_k: int = MAX_RESULTS, cfg: alignment.AlignmentConfig = alignment.AlignmentConfig(),
+        scorer: refine.FrameScorer | None = None, refining: retrieval.EventRefineConfig = retrieval.EventRefineConfig(),
+    ) -> DataFrame:
+        """Sequences for queries (query_id, text) that list their events, any number each; every event is one search of one job.
+
+        With a ``scorer`` the events of the first sequences are refined and aligned anew; it
+        is asked under ``query_id\\u0001event_index``.
+        """
         chosen = retrieval.select_sources(sources, sorted(self.branches), self.visual)
-        cfg = self._config(chosen, top_k)
+        kis = self._config(chosen, top_k)
         events = decompose_events(queries)
+        n_events = events.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("n_events"))
         each = events.select(F.to_json(F.struct("query_id", "event_index")).alias("query_id"), F.col("retrieval_text").alias("text"))
-        fused = retrieval.fused_candidates(self._lists(each, chosen, cfg), cfg).where(F.col("rank") <= cfg.top_k)
+        fused = retrieval.fused_candidates(self._lists(each, chosen, kis), kis).where(F.col("rank") <= kis.top_k)
         key = F.from_json("query_id", "query_id string, event_index int")
         rows = fused.select(key["query_id"].alias("query_id"), key["event_index"].alias("event_index"), "video_id", F.col("original_frame_id").alias("frame_id"), "timestamp_sec", "score", F.col("keyframe_uid").alias("uid"))
-        return retrieval.ordered_events(rows, n_events)
+        # What is refined must be there: as many sequences as are asked for or refined, whichever is more.
+        wide = replace(cfg, k_best=max(cfg.k_best, refining.sequences)) if scorer else cfg
+        found = retrieval.ordered_events(rows, n_events, cfg=wide, limit=max(top_k, refining.sequences) if scorer else top_k)
+        if scorer is None:
+            return found
+        refined, _ = retrieval.refined_events(found, self.videos, scorer, refining)
+        return retrieval.realign(found, refined, n_events, cfg, top_k)
+
+    def answers(
+        self, queries: DataFrame, answerer: retrieval.Answerer, sources: Sequence[str] | None = None, retrieved: int = 20, answered: int = 5,
+        scorer: refine.FrameScorer | None = None, seconds: float = 2.0, frames: int = 8,
+    ) -> tuple[DataFrame, DataFrame]:
+        """(answers, failures) for queries (query_id, text, question): the text is searched, the question only asked.
+
+        With a ``scorer`` the found keyframes are refined first.
+        """
+        chosen = retrieval.select_sources(sources, sorted(self.branches), self.visual)
+        cfg = self._config(chosen, retrieved)
+        lists = self._lists(queries.select("query_id", "text"), chosen, cfg)
+        if scorer is None:
+            kept, _ = retrieval.known_item(lists, cfg)
+            numbers = self.keyframes.select("keyframe_uid", F.col("original_frame_id").alias("frame_id"))
+            kept = kept.join(numbers, "keyframe_uid")
+        else:
+            kept = retrieval.known_item_refined(lists, self.videos, scorer, cfg)
+        targets = kept.join(queries.select("query_id", F.col("text").alias("event_text"), "question"), "query_id")
+        targets = targets.select("query_id", "rank", "video_id", "frame_id", "event_text", "question", "score")
+        return retrieval.answer_questions(targets, self.videos, answerer, answered, seconds, frames)
 
     def prepare_submission(self, results: DataFrame, task: str) -> list[dict]:
         """Checked documents of (query_id, video_id, frame_id, timestamp_sec, score[, answer]); at most 100 results a query."""

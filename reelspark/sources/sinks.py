@@ -7,7 +7,7 @@ import os
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from reelspark import schemas
@@ -39,11 +39,12 @@ def write_vectors(keyframes: DataFrame, encoder: Callable[[DataFrame], DataFrame
             raise schemas.ContractError("the store holds vectors of another configuration")
         todo = keyframes.join(there.select("keyframe_uid"), "keyframe_uid", "left_anti")
     schemas.require_unique(todo, "keyframes", "keyframe_uid")
-    before = spark.read.parquet(path).count() if _exists(spark, path) else 0
+    # Counted while it is written, so that the store is not read for it.
+    written = Observation()
     encoded = encoder(todo).withColumn("config_hash", F.lit(config_hash))
     ranged = encoded.repartitionByRange(partitions, "keyframe_uid") if partitions else encoded.repartitionByRange("keyframe_uid")
-    ranged.write.mode("append").option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path).count() - before
+    ranged.observe(written, F.count(F.lit(1)).alias("n")).write.mode("append").option("compression", "zstd").parquet(path)
+    return written.get["n"]
 
 
 def write_index(vectors: DataFrame, path: str) -> None:
@@ -115,9 +116,15 @@ def append_experiment(record: DataFrame, path: str) -> None:
 
 
 def upsert_archives(manifest: DataFrame, updates: DataFrame) -> DataFrame:
-    """The manifest with updated rows in place of old ones with the same (filename, download_url)."""
+    """The manifest with updated rows in place of old ones with the same (filename, download_url).
+
+    Of several updates of a key the one with the latest ``updated_at`` counts; equal ones
+    are settled by their other columns, so that the result does not depend on their order.
+    """
     both = manifest.withColumn("__turn", F.lit(0)).unionByName(updates.withColumn("__turn", F.lit(1)))
-    return latest_by_key(both, ["filename", "download_url"], "__turn").drop("__turn")
+    rest = [c for c in both.columns if c not in ("filename", "download_url", "__turn", "updated_at")]
+    order = F.struct("__turn", *[F.col(c) for c in ("updated_at",) if c in both.columns], *rest)
+    return latest_by_key(both.withColumn("__order", order), ["filename", "download_url"], "__order").drop("__turn", "__order")
 
 
 def write_tables(tables: dict[str, DataFrame], path: str) -> None:

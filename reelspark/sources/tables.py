@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 import os
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from reelspark import schemas
-from reelspark.functions.text import infer_index, infer_video_id, safe_float, safe_int
+from reelspark.functions.text import flatten_bbox, infer_video_id, safe_float, safe_int
 
 
 def read_keyframes(spark: SparkSession, path: str) -> DataFrame:
@@ -74,8 +77,13 @@ def read_source_sheet(spark: SparkSession, path: str) -> DataFrame:
     return source_sheet(spark.read.csv(path, header=True, encoding="UTF-8"))
 
 
-def default_archives(base_url: str, groups: Sequence[str], support: Sequence[str]) -> list[tuple[str, str]]:
-    """(filename, address) of the archives that are expected where no sheet can be had."""
+# The archives that are expected where no sheet can be had.
+ARCHIVE_GROUPS = ("L21", "L22", "L23", "L24", "L25", "L26_a", "L26_b", "L26_c", "L26_d", "L26_e", "L27", "L28", "L29", "L30")
+SUPPORT_ARCHIVES = ("clip-features-32-aic25-b1.zip", "map-keyframes-aic25-b1.zip", "media-info-aic25-b1.zip", "objects-aic25-b1.zip")
+
+
+def default_archives(base_url: str, groups: Sequence[str] = ARCHIVE_GROUPS, support: Sequence[str] = SUPPORT_ARCHIVES) -> list[tuple[str, str]]:
+    """(filename, address) of the archives that are expected where no sheet can be had; the host is the caller's."""
     names = [f"Keyframes_{g}.zip" for g in groups] + [f"Videos_{g if '_' in g else g + '_a'}.zip" for g in groups] + list(support)
     return [(n, f"{base_url.rstrip('/')}/{n}") for n in names]
 
@@ -96,8 +104,6 @@ def _checked(df: DataFrame, problems: list[Column]) -> DataFrame:
 def ocr_artifacts(lines: DataFrame) -> DataFrame:
     """OCR records of JSON lines with ``problem`` (null if valid): keys, text, box and confidence are checked."""
     raw = F.from_json("value", "record_id string, keyframe_uid string, text string, bbox string, confidence string")
-    from reelspark.functions.text import flatten_bbox
-
     rows = lines.select("path", "line", raw.alias("r"))
     out = rows.select(
         "path",
@@ -149,27 +155,55 @@ def asr_artifacts(lines: DataFrame) -> DataFrame:
     )
 
 
+def metadata_text(value: Column) -> Column:
+    """A metadata value as text: lists joined by spaces without blanks, others trimmed; null where nothing is left."""
+    joined = F.array_join(F.filter(F.transform(F.from_json(value, "array<string>"), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")), " ")
+    text = F.when(value.startswith("["), joined).otherwise(F.trim(value))
+    return F.when(text != "", text)
+
+
 def metadata_artifacts(lines: DataFrame, allowed: Sequence[str]) -> DataFrame:
-    """Rows (video_id, fields) with the allowed fields only; lists are joined by spaces.
+    """Rows (path, line, video_id, fields, problem) of JSON lines {video_id, fields: {...}}.
 
-    An allowed field that no line has is an error.
+    ``fields`` keeps the allowed ones that hold text. ``problem`` tells a line that is no
+    JSON object, one without a video_id or without an object of fields, and a repeated
+    video_id; it is null for valid lines, of which those without any allowed field give no
+    row. No allowed field, or one that no line has, is an error.
     """
-    flat = lines.select(F.from_json("value", "map<string,string>").alias("m"))
-    text = lambda k, v: F.when(v.startswith("["), F.array_join(F.filter(F.from_json(v, "array<string>"), lambda x: F.trim(x) != ""), " ")).otherwise(F.trim(v))
-    rows = flat.select(F.trim(F.try_element_at("m", F.lit("video_id"))).alias("video_id"), F.transform_values(F.map_filter("m", lambda k, v: k.isin(list(allowed)) & v.isNotNull()), text).alias("fields"))
-    present = {r[0] for r in rows.select(F.explode(F.map_keys("fields"))).distinct().collect()}  # at most the allowed names
-    absent = [f for f in allowed if f not in present]
+    names = sorted({f.strip() for f in allowed if f.strip()})
+    if not names:
+        raise schemas.ContractError("metadata needs the names of its fields")
+    raw = F.from_json("value", "map<string,string>").alias("m")
+    rows = lines.select("path", "line", raw, F.json_object_keys("value").isNotNull().alias("is_object"))
+    given = F.try_element_at("m", F.lit("fields"))
+    inner = F.from_json(given, "map<string,string>")
+    fields = F.map_filter(F.transform_values(F.map_filter(inner, lambda k, v: k.isin(names)), lambda k, v: metadata_text(v)), lambda k, v: v.isNotNull())
+    rows = rows.select("path", "line", "is_object", F.trim(F.try_element_at("m", F.lit("video_id"))).alias("video_id"), F.json_object_keys(given).isNotNull().alias("has_fields"), fields.alias("fields"))
+    again = F.row_number().over(W.Window.partitionBy("video_id").orderBy("path", "line")) > 1
+    checked = _checked(
+        rows,
+        [
+            F.when(~F.coalesce("is_object", F.lit(False)), "no JSON object"),
+            F.when(F.coalesce("video_id", F.lit("")) == "", "no video_id"),
+            F.when(again, "repeated video_id"),
+            F.when(~F.coalesce("has_fields", F.lit(False)), "fields are no object"),
+        ],
+    ).drop("is_object", "has_fields")
+    present = {r[0] for r in checked.where("problem is null").select(F.explode(F.map_keys("fields"))).distinct().collect()}  # at most the allowed names
+    absent = [f for f in names if f not in present]
     if absent:
         raise schemas.ContractError(f"metadata lacks the fields {', '.join(absent)}")
-    return rows.where("video_id <> ''")
+    return checked.where(F.col("problem").isNotNull() | (F.size("fields") > 0))
 
 
 # --- mappings -------------------------------------------------------------------------
 
-# Names under which mapping files give video, keyframe index and frame.
-VIDEO_NAMES = ("video_id", "video", "video_name")
-INDEX_NAMES = ("keyframe_index", "keyframe", "n", "index", "idx", "image_index")
-FRAME_NAMES = ("original_frame_id", "frame_idx", "frame_id", "frame", "frame_index")
+# Names under which mapping files give video, keyframe index and frame, in
+# order of precedence, and those under which JSON files nest their rows.
+VIDEO_NAMES = ("video_id", "video", "video_name", "videoid")
+INDEX_NAMES = ("keyframe_index", "keyframe_id", "keyframe", "index", "image_index")
+FRAME_NAMES = ("original_frame_id", "frame_id", "frame_index", "frame_idx", "frame")
+NESTED_NAMES = ("keyframes", "mappings", "data", "items", "frames")
 
 
 def _first(fields: Column, names: Sequence[str]) -> Column:
@@ -177,73 +211,108 @@ def _first(fields: Column, names: Sequence[str]) -> Column:
 
 
 def _mapping_rows(rows: DataFrame) -> DataFrame:
-    """Typed mapping rows of (path, fields map with lower-case keys); what cannot be typed has a ``problem``."""
-    video = F.coalesce(infer_video_id(_first(F.col("fields"), VIDEO_NAMES)), F.trim(_first(F.col("fields"), VIDEO_NAMES)), infer_video_id(F.col("path")))
+    """Typed mapping rows of (path, line, fields map with lower-case keys); what cannot be typed has a ``problem``.
+
+    The video is the id its value holds, else the value itself, in upper case.
+    """
+    given = _first(F.col("fields"), VIDEO_NAMES)
+    video = F.upper(F.coalesce(infer_video_id(given), F.trim(given)))
     index, frame = safe_int(_first(F.col("fields"), INDEX_NAMES)), safe_int(_first(F.col("fields"), FRAME_NAMES))
-    index = F.coalesce(index, infer_index(_first(F.col("fields"), INDEX_NAMES)))
-    out = rows.select(video.alias("video_id"), index.alias("keyframe_index"), frame.alias("original_frame_id"), F.col("path").alias("source_path"))
+    out = rows.select(F.when(video != "", video).alias("video_id"), index.alias("keyframe_index"), frame.alias("original_frame_id"), F.col("path").alias("source_path"), "line")
     return out.withColumn("problem", F.when(F.col("video_id").isNull() | F.col("keyframe_index").isNull() | F.col("original_frame_id").isNull(), "malformed"))
 
 
-def csv_mappings(spark: SparkSession, path: str) -> DataFrame:
-    """Mappings of CSV files below ``path``; each file has its own header, read by position per file."""
-    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(path, wholetext=True)
-    lines = whole.select(F.col("_metadata.file_path").alias("path"), F.filter(F.split(F.regexp_replace("value", "^﻿", ""), r"\r?\n"), lambda x: F.trim(x) != "").alias("ls"))
-    cells = lambda x: F.transform(F.split(x, ","), lambda c: F.trim(F.regexp_replace(c, r'^\s*"|"\s*$', "")))
-    header = F.transform(cells(F.element_at("ls", 1)), lambda c: F.lower(c))
-    rows = lines.where(F.size("ls") > 0).select("path", header.alias("h"), F.explode(F.slice("ls", F.lit(2), F.size("ls"))).alias("l"))
-    n = F.least(F.size("h"), F.size(cells(F.col("l"))))
-    fields = F.map_from_arrays(F.slice("h", F.lit(1), n), F.slice(cells(F.col("l")), F.lit(1), n))
-    return _mapping_rows(rows.select("path", fields.alias("fields")))
-
-
-def _descend(value, depth: int = 0):
-    """Mapping dictionaries anywhere in a JSON value, and index-to-frame dictionaries."""
-    if depth > 20:
-        return
-    if isinstance(value, list):
-        for x in value:
-            yield from _descend(x, depth + 1)
-    elif isinstance(value, dict):
-        folded = {str(k).strip().lower(): v for k, v in value.items()}
-        if any(n in folded for n in INDEX_NAMES) and any(n in folded for n in FRAME_NAMES):
-            yield {k: str(v) for k, v in folded.items() if isinstance(v, (str, int, float)) and not isinstance(v, bool)}
-        elif folded and all(k.isdigit() and isinstance(v, int) and not isinstance(v, bool) for k, v in folded.items()):
-            for k, v in folded.items():
-                yield {"keyframe_index": k, "original_frame_id": str(v)}
-        else:
-            for v in value.values():
-                yield from _descend(v, depth + 1)
-
-
-def json_mappings(spark: SparkSession, path: str) -> DataFrame:
-    """Mappings of JSON and JSON-lines files below ``path``: lists, nested objects, or index-to-frame objects.
-
-    The recursion has no expression in Spark, so files are parsed in Arrow batches. A file
-    that is no JSON, or holds no mapping, is one row with a ``problem``.
+def _csv_rows(text: str):
+    """(row, fields) of a CSV file with a header, quotes and line breaks within them; rows count from 2."""
+    reader = csv.DictReader(io.StringIO(text.removeprefix("\ufeff"), newline=""))
+    for n, row in enumerate(reader, start=2):
+        yield n, {k.casefold(): v for k, v in row.items() if isinstance(k, str) and isinstance(v, str)}
+
+
+def _json_rows(value, path: str):
+    """The mapping rows of a JSON value, as field dictionaries, or None if it holds none.
+
+    A list of rows, a row, an object that nests such under one of NESTED_NAMES, or, in a
+    file named by its video, an object of indices and frames. Nesting may be of any depth.
+    """
+    stack = [value]
+    while stack:
+        here = stack.pop()
+        if isinstance(here, list):
+            rows = [row for row in map(_json_row, here) if row is not None]
+            if rows:
+                return rows
+        elif isinstance(here, dict):
+            row = _json_row(here)
+            if row is not None:
+                return [row]
+            inner = [here[n] for n in NESTED_NAMES if n in here]
+            if not inner:
+                video = re.search(r"(?i)L\d+_V\d+", os.path.splitext(os.path.basename(path))[0])
+                whole = [_whole(x) is not None for pair in here.items() for x in pair]
+                if video and here and all(whole):
+                    return [{"video_id": video[0], "keyframe_index": str(k), "original_frame_id": str(v)} for k, v in here.items()]
+            stack += reversed(inner)
+    return None
+
+
+def _whole(value) -> int | None:
+    if isinstance(value, bool):
+        return None
+    try:
+        return int(str(value))
+    except ValueError:
+        return None
+
+
+def _json_row(value) -> dict[str, str] | None:
+    """An object that names a video, an index and a frame which are whole numbers."""
+    if not isinstance(value, dict):
+        return None
+    folded = {str(k).casefold(): v for k, v in value.items()}
+    first = [next((folded[n] for n in names if n in folded), None) for names in (VIDEO_NAMES, INDEX_NAMES, FRAME_NAMES)]
+    if None in first or not str(first[0]).strip() or _whole(first[1]) is None or _whole(first[2]) is None:
+        return None
+    return {"video_id": str(first[0]), "keyframe_index": str(_whole(first[1])), "original_frame_id": str(_whole(first[2]))}
+
+
+def mapping_files(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (video_id, keyframe_index, original_frame_id, source_path, line, problem) of all files below ``path``.
+
+    CSV files have a header each. JSON and JSON-lines files hold lists of rows, nested ones,
+    or one object of indices and frames; see _json_rows(). A row that lacks a name or a
+    whole number is ``malformed``, and so is a file that cannot be parsed (with what is
+    wrong); a JSON file without mappings, or any other kind of file, is ``unsupported``.
+    Formats differ by file and JSON may nest at will, so files are parsed one by one in
+    Arrow batches; a file is a unit of work.
     """
-    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{json,jsonl}").text(path, wholetext=True)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def parse(batches):
         import pandas as pd
 
         for pdf in batches:
             rows = []
-            for p, text in zip(pdf["path"], pdf["value"]):
+            for p, content in zip(pdf["path"], pdf["content"]):
+                kind = os.path.splitext(p)[1].lower()
                 try:
-                    value = [json.loads(x) for x in text.splitlines() if x.strip()] if p.lower().endswith(".jsonl") else json.loads(text)
-                except ValueError as error:
-                    rows.append((p, None, f"no JSON: {error}"))
-                    continue
-                found = list(_descend(value))
-                rows += [(p, f, None) for f in found] or [(p, None, "no mapping in this file")]
-            yield pd.DataFrame(rows, columns=["path", "fields", "failed"])
-
-    parsed = whole.select(F.col("_metadata.file_path").alias("path"), "value").mapInPandas(parse, "path string, fields map<string,string>, failed string")
+                    if kind == ".csv":
+                        rows += [(p, n, f, None) for n, f in _csv_rows(content.decode("utf-8"))]
+                    elif kind in (".json", ".jsonl"):
+                        text = content.decode("utf-8")
+                        value = [json.loads(x) for x in text.splitlines() if x] if kind == ".jsonl" else json.loads(text)
+                        inside = _json_rows(value, p)
+                        rows += [(p, None, f, None) for f in inside] if inside else [(p, None, None, "unsupported")]
+                    else:
+                        rows.append((p, None, None, "unsupported"))
+                except (ValueError, csv.Error, RecursionError) as error:
+                    rows.append((p, None, None, f"malformed: {error}"))
+            yield pd.DataFrame(rows, columns=["path", "line", "fields", "failed"]).astype({"line": "Int64"})
+
+    parsed = found.mapInPandas(parse, "path string, line bigint, fields map<string,string>, failed string")
     good = _mapping_rows(parsed.where("failed is null"))
-    bad = parsed.where("failed is not null").select(
-        F.lit(None).cast("string").alias("video_id"), F.lit(None).cast("bigint").alias("keyframe_index"), F.lit(None).cast("bigint").alias("original_frame_id"), F.col("path").alias("source_path"), F.col("failed").alias("problem")
-    )
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    bad = parsed.where("failed is not null").select(none("string", "video_id"), none("bigint", "keyframe_index"), none("bigint", "original_frame_id"), F.col("path").alias("source_path"), "line", F.col("failed").alias("problem"))
     return good.unionByName(bad)
 
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from reelspark.functions.answers import normalize_answer
 from reelspark.operators import alignment, bm25, evaluation, fusion, refine, search, submission, temporal
 from reelspark.operators.decompose import decompose_events
+from reelspark.operators.greedy import keep_apart
 from reelspark.plans import retrieval
 from reelspark.schemas import ContractError
 from tests.conftest import rows
@@ -20,6 +22,8 @@ def test_weighted_reciprocal_rank_fusion(spark):
     got = fusion.fuse(df, cfg).orderBy(F.desc("score")).collect()
     assert [r["keyframe_uid"] for r in got] == ["B", "C", "A"] and got[0]["score"] == 1 / 62 + 2 / 61
     assert rows(fusion.source_differences(df, fusion.FusionConfig({"a": 1.0}))) == [("b", "no weight")]
+    with pytest.raises(Exception, match="source without weight: b"):
+        fusion.fuse(df, fusion.FusionConfig({"a": 1.0})).collect()
     bad = df.unionByName(df.limit(1)).unionByName(spark.createDataFrame([("q", "a", " ", 0, 0.1)], df.schema))
     assert rows(fusion.ranking_violations(bad), "keyframe_uid", "problem") == [(" ", "empty item"), (" ", "rank below 1"), ("A", "repeated item")]
     with pytest.raises(ContractError):
@@ -199,20 +203,68 @@ def test_known_item_search_and_question_answering(spark):
     answerer = lambda df: df.withColumn("raw_answer", F.when(F.col("rank") == 1, "Năm")).withColumn("error", F.lit(None).cast("string"))
     good, failed = retrieval.answer_questions(targets, manifest, answerer)
     assert rows(good, "rank", "answer") == [(1, "5")]
-    assert rows(failed, "rank", "stage", "error") == [(2, "normalize", "empty answer"), (3, "frames", "no such video")]
+    assert rows(failed, "rank", "stage", "error") == [(2, "answer_normalization", "empty answer"), (3, "clip_selection", "no such video")]
     with pytest.raises(ContractError):
         retrieval.select_sources(["ocr"], ["ocr", "clip"], ["clip"])
 
 
+SEQUENCE = "query_id string, video_id string, rank int, total double, frame_ids array<bigint>, times array<double>, uids array<string>"
+CHOICE = "query_id string, video_id string, rank int, event_index int, frame_id bigint, timestamp_sec double, score double, uid string"
+
+
 def test_realign_falls_back_when_an_event_fails(spark):
-    seqs = spark.createDataFrame([("q", "V", 1, 1.9, [10, 20], ["a", "b"]), ("q", "V", 2, 1.5, [30, 40], ["c", "d"])], "query_id string, video_id string, rank int, total double, frame_ids array<bigint>, uids array<string>")
+    seqs = spark.createDataFrame([("q", "V", 1, 1.9, [10, 20], [1.0, 2.0], ["a", "b"]), ("q", "V", 2, 1.5, [30, 40], [3.0, 4.0], ["c", "d"])], SEQUENCE)
     alt = [("q", "V", 1, e, f, f / 10, s, f"{e}{f}") for e, f, s in ((0, 11, 0.5), (1, 22, 0.6), (1, 9, 0.99))] + [("q", "V", 2, 0, 31, 3.1, 0.9, "x")]
-    df = spark.createDataFrame(alt, "query_id string, video_id string, rank int, event_index int, frame_id bigint, timestamp_sec double, score double, uid string")
-    got = rows(retrieval.realign(seqs, df, 2, alignment.AlignmentConfig()), "rank", "final_frame_ids", "refinement_status")
-    assert got == [(1, [11, 22], "refined"), (2, [30, 40], "coarse_fallback")]
+    df = spark.createDataFrame(alt, CHOICE)
+    for n in (2, spark.createDataFrame([("q", 2)], "query_id string, n_events int")):
+        got = rows(retrieval.realign(seqs, df, n, alignment.AlignmentConfig()), "rank", "final_frame_ids", "refinement_status")
+        assert got == [(1, [11, 22], "refined"), (2, [30, 40], "coarse_fallback")]
+
+
+def test_near_final_sequences_count_once(spark):
+    seqs = spark.createDataFrame([("q", "V", 1, 1.9, [10, 20], [1.0, 2.0], ["a", "b"]), ("q", "V", 2, 1.5, [14, 24], [1.4, 2.4], ["c", "d"]), ("q", "W", 3, 1.4, [14, 24], [1.4, 2.4], ["e", "f"])], SEQUENCE)
+    got = rows(retrieval.realign(seqs, spark.createDataFrame([], CHOICE), 2, alignment.AlignmentConfig()), "rank", "video_id", "final_frame_ids")
+    assert got == [(1, "V", [10, 20]), (2, "W", [14, 24])]
+
 
+def test_queries_of_one_batch_may_list_different_numbers_of_events(spark):
+    data = [(q, e, "V", f, f / 10, s, f"{q}{e}{f}") for q, n in (("a", 1), ("b", 2), ("c", 9)) for e in range(n) for f, s in ((10 * e + 1, 0.5), (10 * e + 2, 0.25))]
+    df = spark.createDataFrame(data + [("b", 2, "V", 50, 5.0, 1.0, "x")], "query_id string, event_index int, video_id string, frame_id bigint, timestamp_sec double, score double, uid string")
+    counts = spark.createDataFrame([("a", 1), ("b", 2), ("c", 9), ("d", 3)], "query_id string, n_events int")
+    first = {r["query_id"]: r["frame_ids"] for r in retrieval.ordered_events(df, counts).where("rank = 1").collect()}
+    assert first == {"a": [1], "b": [1, 11], "c": [10 * e + 1 for e in range(9)]}
 
 
+def test_events_are_refined_and_aligned_anew(spark):
+    videos = spark.createDataFrame([("V", "p", 10.0, 200, True), ("W", "p", 10.0, 200, False)], "video_id string, video_path string, fps double, frame_count bigint, is_readable boolean")
+    seqs = spark.createDataFrame([("q", "V", 1, 1.9, [50, 60], [5.0, 6.0], ["a", "b"]), ("q", "W", 2, 1.5, [30, 40], [3.0, 4.0], ["c", "d"])], SEQUENCE)
+    peak = F.when(F.substring_index("query_id", "\u0001", -1) == "0", 47).otherwise(66)
+    scorer = lambda asked: asked.select("query_id", "video_id", "frame_id", F.lit("m").alias("source"), (1 / (1 + F.abs(F.col("frame_id") - peak))).alias("score"))
+    found, failed = retrieval.refined_events(seqs, videos, scorer, retrieval.EventRefineConfig(local_frames=3))
+    assert {r[0] for r in found.groupBy("rank", "event_index").count().select("count").collect()} == {3}
+    assert rows(failed, "rank", "event_index", "error") == [(2, 0, "unreadable video"), (2, 1, "unreadable video")]
+    got = rows(retrieval.realign(seqs, found, 2, alignment.AlignmentConfig(dedup_window_sec=0.05)), "rank", "video_id", "final_frame_ids", "refinement_status")
+    assert ("V", [47, 66], "refined") in [r[1:] for r in got] and max(got)[1:] == ("W", [30, 40], "coarse_fallback")
+
+
+def test_greedy_selection_equals_brute_force_and_takes_large_groups(spark):
+    rnd = random.Random(8)
+    data = [(rnd.choice(["a", "b", None]), rnd.choice([None, float("nan"), round(rnd.random() * 40, 1)]), rnd.random(), i) for i in range(1500)]
+    df = spark.createDataFrame(data, "g string, x double, s double, i bigint")
+    for window, cap in ((0.7, None), (0.0, 30), (1.3, 9)):
+        expected = []
+        for g in ("a", "b", None):
+            kept = []
+            for r in sorted((r for r in data if r[0] == g), key=lambda r: (-r[2], r[3])):
+                if (cap is None or len(kept) < cap) and not any(r[1] is not None and k[1] is not None and abs(r[1] - k[1]) <= window for k in kept):
+                    kept.append(r)
+            expected += [r[3] for r in kept]
+        got = keep_apart(df, ["g"], [F.desc("s"), F.col("i")], "x", window, cap)
+        assert sorted(r["i"] for r in got.collect()) == sorted(expected)
+    many = spark.range(100_000).select(F.lit("q").alias("query_id"), F.lit("V").alias("video_id"), F.concat(F.lit("k"), "id").alias("keyframe_uid"), (F.col("id") * 3.0).alias("timestamp_sec"), (F.col("id") % 997 + 0.0).alias("score"), F.lit(1).alias("rank"))
+    began = time.perf_counter()
+    assert temporal.temporal_nms(many, 2.0).count() == 100_000 and time.perf_counter() - began < 60
+
 
 def test_no_frame_rate_is_too_high(spark, tmp_path):
     from reelspark.plans import reference_queries

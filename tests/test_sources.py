@@ -31,23 +31,45 @@ def test_text_artifacts(spark, tmp_path):
     assert got == [("V:1:1", [0.0, 0.0, 1.0, 1.0], None), ("x", None, "no keyframe_uid"), ("y", None, "invalid bbox")]
     (tmp_path / "asr.jsonl").write_text('{"segment_id":"a","video_id":"V","start_sec":0.7,"end_sec":1.1,"text":"t"}\n{"segment_id":"b","video_id":"V","start_sec":2,"end_sec":1,"text":"t"}\n', encoding="utf-8")
     assert rows(tables.asr_artifacts(tables.read_jsonl(spark, str(tmp_path / "asr.jsonl"))), "segment_id", "problem") == [("a", None), ("b", "invalid times")]
-    (tmp_path / "meta.jsonl").write_text('{"video_id":"V","title":"High jump final","tags":["athletics","bar"],"skip":"x"}\n', encoding="utf-8")
-    meta = tables.metadata_artifacts(tables.read_jsonl(spark, str(tmp_path / "meta.jsonl")), ["title", "tags"])
-    assert rows(meta.select(text.metadata_document(F.col("fields")).alias("d"))) == [("tags: athletics bar title: High jump final",)]
+    lines = [
+        {"video_id": "V", "fields": {"title": "High jump final", "tags": ["athletics", " ", "bar"], "skip": "x"}},
+        {"video_id": "W", "fields": {"title": "  ", "tags": []}}, {"video_id": "V", "fields": {"title": "again"}}, {"video_id": "U", "title": "flat"}, {"fields": {"title": "x"}}, 5,
+    ]
+    (tmp_path / "meta.jsonl").write_text("\n".join(map(json.dumps, lines)) + "\nno json\n", encoding="utf-8")
+    read = tables.read_jsonl(spark, str(tmp_path / "meta.jsonl"))
+    meta = tables.metadata_artifacts(read, ["title", "tags"])
+    assert rows(meta.where("problem is null").select(text.metadata_document(F.col("fields")).alias("d"))) == [("tags: athletics bar title: High jump final",)]
+    assert rows(meta.where("problem is not null"), "line", "problem") == [(3, "repeated video_id"), (4, "fields are no object"), (5, "no video_id"), (6, "no JSON object"), (7, "no JSON object")]
     with pytest.raises(schemas.ContractError):
-        tables.metadata_artifacts(tables.read_jsonl(spark, str(tmp_path / "meta.jsonl")), ["title", "author"])
+        tables.metadata_artifacts(read, ["title", "author"])
+    with pytest.raises(schemas.ContractError):
+        tables.metadata_artifacts(read, [" "])
 
 
 def test_mapping_files(spark, tmp_path):
-    (tmp_path / "L21_V001.csv").write_text("﻿n,frame_idx,pts\n0,5,0.2\n1,x,0.3\n", encoding="utf-8")
-    (tmp_path / "L21_V002.json").write_text(json.dumps({"0": 0, "1": 25}), encoding="utf-8")
-    (tmp_path / "more.json").write_text(json.dumps({"data": [{"video_id": "l21_v003", "keyframe_index": 2, "frame_id": 7}]}), encoding="utf-8")
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "a.csv").write_text('\ufeffVideo_ID,keyframe_index,frame_idx,frame_id,note\nl21_v001,0,9,90,"a, b"\nL21_V001,1,x,,c\nclip,2,3,4,"two\nlines"\nL21_V001,5,,6.5,\n', encoding="utf-8")
+    (tmp_path / "b.csv").write_text("videoid,keyframe_id,frame\nL21_V009,4,5\nL21_V009,a7,5\n", encoding="utf-8")
+    (tmp_path / "c.csv").write_text("n,frame_idx\n0,5\n", encoding="utf-8")
+    (tmp_path / "deep" / "L21_V002.json").write_text(json.dumps({"0": 0, "1": "25"}), encoding="utf-8")
+    (tmp_path / "more.json").write_text(json.dumps({"data": {"items": [{"video_id": "l21_v003", "keyframe_index": 2, "frame_id": 7}, {"video_id": "x"}]}}), encoding="utf-8")
+    nested: object = [{"video": "L21_V005", "index": 1, "frame": 2}]
+    for _ in range(200):
+        nested = {"frames": nested}
+    (tmp_path / "nested.json").write_text(json.dumps(nested), encoding="utf-8")
+    (tmp_path / "one.json").write_text(json.dumps({"video": "L21_V006", "image_index": "3", "frame_index": 4}), encoding="utf-8")
+    (tmp_path / "list.jsonl").write_text('{"video":"L21_V004","keyframe":1,"frame":9}\n', encoding="utf-8")
     (tmp_path / "bad.json").write_text("{", encoding="utf-8")
-    (tmp_path / "list.jsonl").write_text('{"video":"L21_V004","n":1,"frame":9}\n', encoding="utf-8")
-    assert rows(tables.csv_mappings(spark, str(tmp_path)), "video_id", "keyframe_index", "original_frame_id", "problem") == [("L21_V001", 0, 5, None), ("L21_V001", 1, None, "malformed")]
-    got = rows(tables.json_mappings(spark, str(tmp_path)).where("problem is null"), "video_id", "keyframe_index", "original_frame_id")
-    assert got == [("L21_V002", 0, 0), ("L21_V002", 1, 25), ("L21_V003", 2, 7), ("L21_V004", 1, 9)]
-    assert tables.json_mappings(spark, str(tmp_path)).where("problem is not null").count() == 1
+    (tmp_path / "other.json").write_text('{"x": {"video": "L21_V007", "index": 1, "frame": 2}, "y": true}', encoding="utf-8")
+    (tmp_path / "note.txt").write_text("x", encoding="utf-8")
+    found = tables.mapping_files(spark, str(tmp_path))
+    assert rows(found.where("problem is null"), "video_id", "keyframe_index", "original_frame_id") == [
+        ("CLIP", 2, 4), ("L21_V001", 0, 90), ("L21_V002", 0, 0), ("L21_V002", 1, 25), ("L21_V003", 2, 7), ("L21_V004", 1, 9), ("L21_V005", 1, 2), ("L21_V006", 3, 4), ("L21_V009", 4, 5),
+    ]
+    wrong = found.where("problem is not null").select(F.element_at(F.split("source_path", "/"), -1).alias("f"), "line", F.substring_index("problem", ":", 1).alias("p"))
+    assert rows(wrong) == [
+        ("a.csv", 3, "malformed"), ("a.csv", 5, "malformed"), ("b.csv", 3, "malformed"), ("bad.json", None, "malformed"), ("c.csv", 2, "malformed"), ("note.txt", None, "unsupported"), ("other.json", None, "unsupported"),
+    ]
 
 
 def test_mapping_validation(spark):
