@@ -7,12 +7,27 @@ from pyspark.sql import functions as F
 
 from reelspark.functions.keys import clean_key, whole_ms
 from reelspark.operators.intervals import periods_and_gaps
-from reelspark.operators.quality import ColumnCheck, departing_loads, profile_loads
+from reelspark.operators.quality import ColumnCheck, column_profile, column_states, departing_loads, merge_column_states, profile_loads
 from reelspark.operators.references import orphan_report, reference_states
 from reelspark.session import table
 
 KEYFRAME_CHECKS = (ColumnCheck("original_frame_id"), ColumnCheck("timestamp_sec"))
 VIDEO_CHECKS = (ColumnCheck("fps", strict=True), ColumnCheck("duration_sec"))
+_ID, _SINCE = r"^L[0-9]+_V[0-9]+$", "2000-01-01 00:00:00"
+#: Every column of the two tables.
+ALL_CHECKS = {
+    "keyframes": (
+        ColumnCheck("keyframe_uid", pattern=r"^L[0-9]+_V[0-9]+:[0-9]{6,}$"), ColumnCheck("video_id", pattern=_ID), ColumnCheck("keyframe_index"), ColumnCheck("keyframe_path", pattern=r"[.](jpg|jpeg|png|webp)$"),
+        *KEYFRAME_CHECKS, ColumnCheck("width", strict=True), ColumnCheck("height", strict=True), ColumnCheck("file_size_bytes", strict=True), ColumnCheck("is_readable"), ColumnCheck("has_mapping"),
+        ColumnCheck("image_mode"), ColumnCheck("read_error"), ColumnCheck("load_id"), ColumnCheck("ingested_at", since=_SINCE),
+    ),
+    "videos": (
+        ColumnCheck("video_id", pattern=_ID), ColumnCheck("video_path", pattern=r"[.](mp4|mkv|webm|mov|avi)$"), ColumnCheck("group_id", pattern=r"^L[0-9]+$"), *VIDEO_CHECKS, ColumnCheck("frame_count", strict=True),
+        ColumnCheck("width", strict=True), ColumnCheck("height", strict=True), ColumnCheck("video_codec"), ColumnCheck("audio_codec"), ColumnCheck("audio_sample_rate", strict=True), ColumnCheck("audio_channels", most=64),
+        ColumnCheck("has_audio"), ColumnCheck("container"), ColumnCheck("file_size_bytes", strict=True), ColumnCheck("is_readable"), ColumnCheck("bitrate", strict=True), ColumnCheck("probe_error"),
+        ColumnCheck("load_id"), ColumnCheck("ingested_at", since=_SINCE),
+    ),
+}
 
 
 def valid_segments(segments: DataFrame) -> DataFrame:
@@ -93,6 +108,13 @@ def p4_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p4_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nulls, pattern and bound violations and ranges of every column in every load."""
+    states = [column_states(table(spark, sf_dir, name), name, checks, "load_id") for name, checks in ALL_CHECKS.items()]
+    profiles = column_profile(merge_column_states(*states))
+    return profiles.select("table_name", "column_name", "load_id", "n_rows", "n_null", "n_valid", *[F.round(c, 6).alias(c) for c in ("min_value", "max_value", "null_share", "invalid_share")])
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_coverage": p1_coverage,
@@ -100,6 +122,7 @@ QUERIES = {
     "p3_report": p3_report,
     "p4_found": p4_found,
     "p4_profile": p4_profile,
+    "p4_columns": p4_columns,
 }
 
 _SEGMENTS = """
@@ -167,7 +190,31 @@ WITH v AS (
 )
 """
 
+
+
+def _columns_sql() -> str:
+    """The same checks and figures for every column, one SELECT each."""
+    text = "keyframe_uid video_id keyframe_path image_mode read_error video_path group_id video_codec audio_codec container probe_error".split()
+    parts = []
+    for name, checks in ALL_CHECKS.items():
+        for c in checks:
+            x = c.column
+            if x in text:
+                good, size = f"regexp_matches({x}, '{c.pattern}')" if c.pattern else f"trim({x}) <> ''", f"length({x})::DOUBLE"
+            elif x == "ingested_at":
+                good, size = f"{x} >= TIMESTAMP '{c.since}'", f"epoch_us({x}) / 1e6::DOUBLE"
+            elif x in ("is_readable", "has_mapping", "has_audio"):
+                good, size = f"{x} IS NOT NULL", f"{x}::INTEGER::DOUBLE"
+            else:
+                bound = (f" AND {x} {'>' if c.strict else '>='} {c.least}" if c.least is not None else "") + (f" AND {x} <= {c.most}" if c.most is not None else "")
+                good, size = f"isfinite({x}::DOUBLE){bound}", f"{x}::DOUBLE"
+            parts.append(f"""SELECT '{name}' AS table_name, '{x}' AS column_name, load_id, count(*) AS n_rows, count(*) FILTER ({x} IS NULL) AS n_null, count(*) FILTER ({good}) AS n_valid,
+  round(min({size}) FILTER ({good}), 6) AS min_value, round(max({size}) FILTER ({good}), 6) AS max_value FROM {name} GROUP BY load_id""")
+    return f"""SELECT *, round(n_null / n_rows, 6) AS null_share, round(CASE WHEN n_rows > n_null THEN (n_rows - n_null - n_valid) / (n_rows - n_null) END, 6) AS invalid_share FROM ({" UNION ALL ".join(parts)})"""
+
+
 ORACLES = {
+    "p4_columns": _columns_sql(),
     "p1_found": f"WITH {_PERIODS} SELECT * FROM found",
     "p1_coverage": f"""WITH {_PERIODS}
 SELECT video_id, count(*) FILTER (kind = 'period') AS n_periods, count(*) FILTER (kind = 'gap') AS n_gaps,
