@@ -26,7 +26,8 @@ def first_keyframes(keyframes: DataFrame) -> DataFrame:
 
 def mapped_only(keyframes: DataFrame) -> DataFrame:
     """Keyframes with a frame and a finite time."""
-    return keyframes.where(F.col("original_frame_id").isNotNull() & is_finite(F.col("timestamp_sec")))
+    there = F.col("original_frame_id").isNotNull() & F.col("timestamp_sec").isNotNull()  # these reach the scan
+    return keyframes.where(there & is_finite(F.col("timestamp_sec")))
 
 
 def nearest_keyframes(moments: DataFrame, keyframes: DataFrame, cell_sec: float = 3_600.0) -> DataFrame:

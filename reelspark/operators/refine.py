@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from reelspark.functions.sampling import dense_blocks, dense_ids, even_ids, frame_window, sparse_ids
+from reelspark.session import materialize
 
 #: Takes rows (query_id, video_id, video_path, frame_id) and gives the scored ones
 #: (query_id, video_id, frame_id, source, score); frames it cannot decode are missing.
@@ -73,13 +74,14 @@ def refine(candidates: DataFrame, videos: DataFrame, scorer: FrameScorer, cfg: R
     problem = (
         F.when(F.col("known").isNull(), "no such video").when(~F.coalesce("is_readable", F.lit(False)), "unreadable video").when(F.col("w").isNull(), "frame or fps out of bounds")
     )
-    rows = rows.withColumn("error", problem)
+    # Both passes and the result refer to these few rows: written once, the plan stays small.
+    rows = materialize(rows.withColumn("error", problem))
     good = rows.where("error is null")
     pair = ["query_id", "keyframe_uid"]
     best = lambda s: s.groupBy("query_id", F.col("window_id").alias("keyframe_uid")).agg(F.min(F.struct((F.lit(0.0) - F.col("score")).alias("neg"), "frame_id")).alias("b"))
     sparse = best(_score(good, sparse_ids(F.col("w"), F.col("fps"), cfg.sparse_fps), scorer, weights))
     around = good.join(sparse.select(*pair, F.col("b.frame_id").alias("sparse_frame_id"), (F.lit(0.0) - F.col("b.neg")).alias("sparse_score")), pair)
-    near = around.withColumn("w", frame_window(F.col("sparse_frame_id"), F.col("fps"), cfg.dense_window_sec, F.col("frame_count")))
+    near = materialize(around.withColumn("w", frame_window(F.col("sparse_frame_id"), F.col("fps"), cfg.dense_window_sec, F.col("frame_count"))))
     dense = best(_score_all(near, scorer, weights))
     refined = near.join(dense.select(*pair, F.col("b.frame_id").alias("refined_frame_id"), (F.lit(0.0) - F.col("b.neg")).alias("local_score")), pair)
     found = refined.select(*pair, "sparse_frame_id", "sparse_score", "refined_frame_id", "local_score")
@@ -97,7 +99,7 @@ def refine_frames(candidates: DataFrame, videos: DataFrame, scorer: FrameScorer,
     one that cannot be refined is one row with ``error``.
     """
     whole = RefineConfig(max(cfg.candidates, 1), cfg.sparse_window_sec, cfg.sparse_fps, cfg.dense_window_sec)
-    done = refine(candidates.withColumn("score", F.lit(None).cast("double")), videos, scorer, whole, weights).drop("score")
+    done = materialize(refine(candidates.withColumn("score", F.lit(None).cast("double")), videos, scorer, whole, weights).drop("score"))
     bad = done.where("error is not null").select(*[c for c in candidates.columns], F.lit(None).cast("bigint").alias("frame_id"), F.lit(None).cast("double").alias("timestamp_sec"), F.lit(None).cast("double").alias("score"), "error")
     good = done.where("error is null").join(videos.select("video_id", "video_path", "fps", "frame_count"), "video_id")
     near = good.withColumn("w", frame_window(F.col("sparse_frame_id"), F.col("fps"), cfg.dense_window_sec, F.col("frame_count")))

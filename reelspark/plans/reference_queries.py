@@ -252,8 +252,8 @@ def task_metrics(spark, d):
     return rows.select("task", "n_queries", *[F.round(c, 9).alias(c) for c in rows.columns[2:]])
 
 
-def _fused_frames(spark, d):
-    fused = retrieval.fused_candidates(_lists(spark, d), CONFIG).where("original_frame_id is not null")
+def _fused_frames(spark, d, limit=None):
+    fused = retrieval.fused_candidates(_lists(spark, d), CONFIG, limit).where("original_frame_id is not null")
     return fused.select("query_id", "rank", "keyframe_uid", "video_id", "original_frame_id", "score")
 
 
@@ -300,6 +300,13 @@ def _videos(spark, d):
     return last.select("video_id", *[F.col(f"v.{c}").alias(c) for c in fields])
 
 
+def _one_keyframe(spark, d):
+    """Keyframes, each once."""
+    fields = ["video_id", "original_frame_id", "timestamp_sec", "keyframe_path"]
+    rows = table(spark, d, "keyframes").where("keyframe_uid is not null").groupBy("keyframe_uid").agg(F.max(F.struct(*fields)).alias("k"))
+    return rows.select("keyframe_uid", *[F.col(f"k.{c}").alias(c) for c in fields])
+
+
 def _frames_table(spark, d):
     rows = table(spark, d, "keyframes").where("video_id is not null and keyframe_index is not null")
     return rows.groupBy("video_id", "keyframe_index").agg(F.max("has_mapping").alias("has_mapping"))
@@ -452,13 +459,13 @@ def _scorer(asked: DataFrame) -> DataFrame:
 
 def refined_frames(spark, d):
     """The first ten fused keyframes of every query with the best frame nearby, or why there is none."""
-    rows = refine.refine(_fused_frames(spark, d), _videos(spark, d), _scorer, refine.RefineConfig(candidates=REFINED))
+    rows = refine.refine(_fused_frames(spark, d, REFINED), _videos(spark, d), _scorer, refine.RefineConfig(candidates=REFINED))
     return rows.select("query_id", "keyframe_uid", "sparse_frame_id", "refined_frame_id", F.round("local_score", 6).alias("local_score"), "refinement_status", "error")
 
 
 def refinement_overlay(spark, d):
     """Coarse lists with refined frames in place, the coarse order kept."""
-    lists = _fused_frames(spark, d).where("rank <= 100")
+    lists = _fused_frames(spark, d, 100)
     done = refine.refine(lists, _videos(spark, d), _scorer, refine.RefineConfig(candidates=REFINED))
     over = refine.overlay(lists, done)
     return refine.refinement_counts(over, done)

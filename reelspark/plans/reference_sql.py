@@ -158,8 +158,15 @@ _BOUNDS = f"""
     AND NOT EXISTS (SELECT 1 FROM outside o WHERE o.video_id = k.video_id AND o.keyframe_index = k.keyframe_index)
 )
 """
-_TERMS = """
-docs AS (SELECT record_id AS doc_id, min(text) AS text, min(upper(trim(keyframe_uid))) AS key FROM ocr_records GROUP BY 1
+
+
+def terms_sql(docs: str) -> str:
+    """Scores of the documents (doc_id, text, key) that ``docs`` selects, for every twentieth document as a query."""
+    return _SCORED.replace("$docs", docs)
+
+
+_SCORED = """
+docs AS ($docs
 ), tok AS (SELECT doc_id, key, regexp_extract_all(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[\\p{L}\\p{N}_]+') AS w FROM docs
 ), size_ AS (SELECT count(*)::DOUBLE AS n, sum(len(w))::DOUBLE / count(*) AS mean FROM tok
 ), tf AS (SELECT doc_id, term, len AS length, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM tok) GROUP BY ALL
@@ -173,6 +180,7 @@ docs AS (SELECT record_id AS doc_id, min(text) AS text, min(upper(trim(keyframe_
   FROM q JOIN tf USING (term) JOIN df USING (term), size_ GROUP BY ALL
 )
 """
+_TERMS = terms_sql("SELECT record_id AS doc_id, min(text) AS text, min(upper(trim(keyframe_uid))) AS key FROM ocr_records GROUP BY 1")
 _FUSED_FRAMES = f"""
 {_FUSED}, meta AS (
   SELECT keyframe_uid, video_id, original_frame_id FROM (
@@ -406,3 +414,5 @@ FROM shown e LEFT JOIN refined r USING (query_id, keyframe_uid) LEFT JOIN checke
   FROM seg JOIN kf ON kf.video_id = seg.video_id WHERE isfinite(mid))
 SELECT segment_id, video_id, keyframe_uid, round(d, 6) AS distance_sec FROM pairs WHERE r = 1""",
 }
+#: Parts that the queries of readers and writers share.
+SHOWN_METRICS = {"diverse": _DIVERSE, "metrics": _METRICS, "task": _TASK}

@@ -13,6 +13,7 @@ from reelspark.functions.keys import is_finite
 from reelspark.operators import alignment, fusion, refine, temporal
 from reelspark.operators.positions import global_positions
 from reelspark.schemas import ContractError
+from reelspark.session import materialize
 
 #: Takes a branch's queries (query_id, text) and the pool size, gives its candidates.
 Branch = Callable[[DataFrame, int], DataFrame]
@@ -70,25 +71,32 @@ def retrieve(queries: DataFrame, branches: dict[str, Branch], cfg: KisConfig) ->
     return out
 
 
-def fused_candidates(lists: DataFrame, cfg: KisConfig) -> DataFrame:
-    """Lists fused by reciprocal rank, with the keyframes' metadata and a rank per query."""
+def _fused(lists: DataFrame, cfg: KisConfig) -> DataFrame:
+    """Lists fused by reciprocal rank, with the keyframes' metadata and no rank yet."""
     fused = fusion.fuse(lists, fusion.FusionConfig(cfg.weights))
     meta = lists.groupBy("keyframe_uid").agg(F.min(F.struct(*META)).alias("m")).select("keyframe_uid", "m.*")
-    rows = fused.withColumn("score", F.round("score", 12)).join(meta, "keyframe_uid")
-    placed = global_positions(rows, ["query_id"], [F.col("score").desc(), F.col("keyframe_uid").asc()])
-    return placed.withColumn("rank", F.col("position").cast("int")).drop("position")
+    return fused.withColumn("score", F.round("score", 12)).join(meta, "keyframe_uid")
+
+
+def fused_candidates(lists: DataFrame, cfg: KisConfig, limit: int | None = None) -> DataFrame:
+    """Lists fused by reciprocal rank, with the keyframes' metadata and a rank per query.
+
+    With ``limit`` only the first rows of a query, which are found without sorting the rest.
+    """
+    return temporal.rerank(_fused(lists, cfg), F.col("score").desc(), F.col("keyframe_uid").asc(), limit=limit)
 
 
 def known_item(lists: DataFrame, cfg: KisConfig) -> tuple[DataFrame, DataFrame]:
     """(keyframes, videos) per query: fusion, suppression of near keyframes, best videos.
 
-    Without suppression the fused order is cut off as it is.
+    Suppression goes by score, then keyframe, which is the fused order, so nothing is ranked
+    before it; without it the fused order is cut off as it is.
     """
-    fused = fused_candidates(lists, cfg)
+    columns = ["query_id", "video_id", "keyframe_uid", "timestamp_sec", "score", "rank"]
     if cfg.nms_window_sec is None:
-        kept = fused.where(F.col("rank") <= cfg.top_k).select("query_id", "video_id", "keyframe_uid", "timestamp_sec", "score", "rank")
+        kept = fused_candidates(lists, cfg, cfg.top_k).select(*columns)
     else:
-        kept = temporal.temporal_nms(fused, cfg.nms_window_sec, cfg.top_k)
+        kept = temporal.temporal_nms(_fused(lists, cfg).withColumn("rank", F.lit(0)).select(*columns), cfg.nms_window_sec, cfg.top_k)
     return kept, temporal.aggregate_videos(kept, cfg.video_method, cfg.top_m)
 
 
@@ -96,7 +104,7 @@ def known_item_refined(lists: DataFrame, videos: DataFrame, scorer: refine.Frame
     """Keyframes with refined frames where refinement succeeds; the coarse order stays."""
     kept, _ = known_item(lists, cfg)
     frames = lists.groupBy("keyframe_uid").agg(F.min("original_frame_id").alias("original_frame_id"))
-    coarse = kept.join(frames, "keyframe_uid")
+    coarse = materialize(kept.join(frames, "keyframe_uid"))
     return refine.overlay(coarse, refine.refine(coarse, videos, scorer, refining))
 
 
@@ -130,7 +138,7 @@ def refined_events(sequences: DataFrame, videos: DataFrame, scorer: refine.Frame
     ``local_frames`` frames around each event. The scorer is asked under the query_id
     ``query_id\\u0001event_index``. Failures are (query_id, video_id, rank, event_index, error).
     """
-    first = sequences.where(F.col("rank") <= cfg.sequences)
+    first = materialize(sequences.where(F.col("rank") <= cfg.sequences))
     events = first.select("query_id", "video_id", "rank", F.posexplode(F.arrays_zip("frame_ids", "uids")).alias("event_index", "e"))
     asked = events.select(
         F.concat_ws("\u0001", "query_id", F.col("event_index").cast("string")).alias("query_id"), "video_id", F.concat_ws("\u0001", F.col("rank").cast("string"), "video_id").alias("keyframe_uid"),
@@ -138,7 +146,7 @@ def refined_events(sequences: DataFrame, videos: DataFrame, scorer: refine.Frame
     )
     done = refine.refine_frames(asked, videos, scorer, cfg.local_frames, cfg.frames)
     part = lambda c, i: F.split(c, "\u0001")[i]
-    named = done.select(
+    named = materialize(done).select(
         part("query_id", 0).alias("query_id"), "video_id", part("keyframe_uid", 0).cast("int").alias("rank"), part("query_id", 1).cast("int").alias("event_index"),
         F.col("frame_id"), "timestamp_sec", "score", "uid", "error",
     )
@@ -177,7 +185,7 @@ def answer_questions(targets: DataFrame, videos: DataFrame, answerer: Answerer,
     event text was searched, the question is only asked. Failures are rows with their
     stage; the remaining answers are ranked anew.
     """
-    first = targets.where(F.col("rank") <= candidates)
+    first = materialize(targets.where(F.col("rank") <= candidates))
     clipped = refine.clip_frames(first, videos, seconds, frames)
     unknown = first.join(videos.select("video_id"), "video_id", "left_anti").withColumn("stage", F.lit("clip_selection")).withColumn("error", F.lit("no such video"))
     no_clip = clipped.where("clip is null").withColumn("stage", F.lit("clip_selection")).withColumn("error", F.lit("frame or fps out of bounds"))

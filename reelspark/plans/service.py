@@ -13,6 +13,7 @@ from reelspark.operators import alignment, fusion, refine, submission
 from reelspark.operators.decompose import decompose_events
 from reelspark.plans import retrieval
 from reelspark.schemas import ContractError
+from reelspark.session import materialize
 
 MAX_RESULTS, MAX_TEXT = 100, 4_000
 
@@ -67,7 +68,7 @@ class Service:
         events = decompose_events(queries)
         n_events = events.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("n_events"))
         each = events.select(F.to_json(F.struct("query_id", "event_index")).alias("query_id"), F.col("retrieval_text").alias("text"))
-        fused = retrieval.fused_candidates(self._lists(each, chosen, kis), kis).where(F.col("rank") <= kis.top_k)
+        fused = retrieval.fused_candidates(self._lists(each, chosen, kis), kis, kis.top_k)
         key = F.from_json("query_id", "query_id string, event_index int")
         rows = fused.select(key["query_id"].alias("query_id"), key["event_index"].alias("event_index"), "video_id", F.col("original_frame_id").alias("frame_id"), "timestamp_sec", "score", F.col("keyframe_uid").alias("uid"))
         # What is refined must be there: as many sequences as are asked for or refined, whichever is more.
@@ -75,6 +76,7 @@ class Service:
         found = retrieval.ordered_events(rows, n_events, cfg=wide, limit=max(top_k, refining.sequences) if scorer else top_k)
         if scorer is None:
             return found
+        found = materialize(found)
         refined, _ = retrieval.refined_events(found, self.videos, scorer, refining)
         return retrieval.realign(found, refined, n_events, cfg, top_k)
 

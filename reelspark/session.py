@@ -33,6 +33,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     session) a local folder is created; a cluster must name a shared one.
     """
     context = spark.sparkContext
+    # Copies go once no plan refers to them any more.
+    context._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     jvm_dir = context._jsc.sc().getCheckpointDir()
     if jvm_dir.isDefined():
         return jvm_dir.get()

@@ -76,12 +76,10 @@ def write_submission(spark: SparkSession, submission: DataFrame, videos: DataFra
     """One submission file {schema_version, queries}; it must be valid and have each query once.
 
     Without ``append`` or ``overwrite`` an existing file is an error; ``append`` adds new
-    queries to it. A submission has at most 100 results a query, so it is put together
-    on the driver.
+    queries to it. One file is what the format asks for: queries stream into it one by one.
     """
     if not violations(submission, videos).isEmpty():
         raise schemas.ContractError("the submission breaks the rules; see violations()")
-    new = [r[0] for r in to_documents(submission).orderBy("query_id").select("json").collect()]
     old: list[str] = []
     if os.path.exists(path):
         if not append and not overwrite:
@@ -89,11 +87,21 @@ def write_submission(spark: SparkSession, submission: DataFrame, videos: DataFra
         if append:
             with open(path, encoding="utf-8") as file:
                 old = [json.dumps(q, ensure_ascii=False) for q in json.load(file)["queries"]]
-    ids = [json.loads(q)["query_id"] for q in old + new]
-    if len(set(ids)) != len(ids):
-        raise schemas.ContractError("a query is already in the submission")
+    seen = {json.loads(q)["query_id"] for q in old}
+    again = len(seen) < len(old)
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     with open(f"{path}.tmp", "w", encoding="utf-8") as file:
-        file.write('{"schema_version":"1.0","queries":[' + ",".join(old + new) + "]}")
+        file.write('{"schema_version":"1.0","queries":[' + ",".join(old))
+        first = not old
+        for r in to_documents(submission).orderBy("query_id", "task").toLocalIterator():
+            again = again or r["query_id"] in seen
+            seen.add(r["query_id"])
+            file.write(("" if first else ",") + r["json"])
+            first = False
+        file.write("]}")
+    if again:
+        os.remove(f"{path}.tmp")
+        raise schemas.ContractError("a query is already in the submission")
     os.replace(f"{path}.tmp", path)
 
 

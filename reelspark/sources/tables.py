@@ -15,6 +15,7 @@ from pyspark.sql import window as W
 
 from reelspark import schemas
 from reelspark.functions.text import flatten_bbox, infer_video_id, safe_float, safe_int
+from reelspark.operators.skew import small_side
 
 
 def read_keyframes(spark: SparkSession, path: str) -> DataFrame:
@@ -92,9 +93,18 @@ def default_archives(base_url: str, groups: Sequence[str] = ARCHIVE_GROUPS, supp
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (path, line, value) of the non-blank lines of JSON-lines files, whole files at a time for line numbers."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", r"\r?\n")).alias("pos", "value"))
-    return whole.where(F.trim("value") != "").select("path", (F.col("pos") + 1).alias("line"), "value")
+    """Rows (path, line, value) of the non-blank lines of text files, which are read in splits.
+
+    A first pass counts the lines of each split, one row per split; their running sums turn
+    places within a split into line numbers.
+    """
+    place = F.monotonically_increasing_id().alias("__at")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__block"), place, "value")
+    splits = lines.groupBy("path", "__block").agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("__first"))
+    before = W.Window.partitionBy("path").orderBy("__block").rowsBetween(W.Window.unboundedPreceding, -1)
+    starts = small_side(splits.select("path", "__block", "__first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before")))
+    number = (F.col("__before") + F.col("__at") - F.col("__first") + 1).alias("line")
+    return lines.join(starts, ["path", "__block"]).select("path", number, "value").where(F.trim("value") != "")
 
 
 def _checked(df: DataFrame, problems: list[Column]) -> DataFrame:

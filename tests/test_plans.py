@@ -16,7 +16,7 @@ def plan(df):
 
 def test_scans_read_few_columns_and_filters_are_pushed(spark):
     text = plan(reference_queries.representative_keyframe(spark, DATA))
-    assert "PushedFilters: [IsNotNull(original_frame_id), IsNotNull(timestamp_sec)]" in text
+    assert "PushedFilters: [IsNotNull(original_frame_id), IsNotNull(timestamp_sec), IsNotNull(video_id), IsNotNull(keyframe_uid)]" in text
     assert "ReadSchema: struct<keyframe_uid:string,video_id:string,original_frame_id:bigint,timestamp_sec:double>" in text
     text = plan(reference_queries.token_counts(spark, DATA))
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in text
