@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,8 +91,26 @@ def safe_member_path(path: Column) -> Column:
 
 
 def flatten_bbox(text: Column) -> Column:
-    """A bounding box in JSON, flat or nested once, as doubles; null unless it has 4 or more, evenly many numbers."""
-    flat = F.from_json(text, "array<double>", {"mode": "PERMISSIVE"})
-    nested = F.flatten(F.from_json(text, "array<array<double>>", {"mode": "PERMISSIVE"}))
-    good = lambda a: (F.size(a) >= 4) & (F.size(a) % 2 == 0) & F.forall(a, lambda x: x.isNotNull())
-    return F.when(good(flat), flat).when(good(nested), nested)
+    """A bounding box in JSON, nested at will, as doubles; null unless it has 4 or more, evenly many finite numbers."""
+    inner = F.regexp_replace(text, r"[\[\]\s]+", "")
+    numbers = F.transform(F.split(inner, ","), lambda x: x.try_cast("double"))
+    good = text.startswith("[") & (F.size(numbers) >= 4) & (F.size(numbers) % 2 == 0)
+    return F.when(good & F.forall(numbers, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), numbers)
+
+
+# Fixed value: how a visual answerer is asked.
+ANSWER_FORM = (
+    "Answer the question using only the chronologically ordered video frames. Return one short answer only, without explanation.\n"
+    "Event description: %s\nQuestion: %s"
+)
+
+
+def answer_prompt(event: Column, question: Column) -> Column:
+    """What an answerer is asked about an event; a blank event or question is an error when the plan runs."""
+    blank = (F.coalesce(F.trim(event), F.lit("")) == "") | (F.coalesce(F.trim(question), F.lit("")) == "")
+    return F.when(blank, F.raise_error(F.lit("an event and a question are needed")).cast("string")).otherwise(F.format_string(ANSWER_FORM, F.trim(event), F.trim(question)))
+
+
+def config_hash(value: object) -> str:
+    """The SHA-256 of a configuration as JSON with sorted keys and no spaces: equal settings, equal hash."""
+    return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":")).encode("utf-8")).hexdigest()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from reelspark.functions.keys import is_finite
-from reelspark.operators.sequence import previous_value
+from reelspark.operators.sequence import numeric_profile, previous_value
 
 # Issue severities in the order in which they are listed.
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
@@ -65,28 +65,35 @@ def id_differences(sets: dict[str, DataFrame], pairs: Sequence[tuple[str, str]])
 
 
 def json_profile(df: DataFrame, column: str) -> DataFrame:
-    """Per top-level field of JSON objects: present, rate among objects, empty values, and counts by type.
+    """Rows (field, type, n_present, presence_rate, n_empty): the top-level fields of JSON objects by type.
 
-    Texts that are no JSON object are not in the base. A value is empty if it is null, "",
-    [] or {}.
+    Texts that are no JSON object are not in the base of the rate, which is of the field over
+    all its types. Types are those of the values themselves: a number in quotes is a string.
+    A value is empty if it is null, "", [] or {}.
     """
-    objects = df.select(F.from_json(F.col(column), "map<string,string>").alias("m"), F.col(column).alias("raw")).where(F.json_object_keys("raw").isNotNull())
+    objects = df.where(F.json_object_keys(column).isNotNull()).select(F.from_json(F.col(column), "map<string,variant>").alias("m"))
     n = objects.agg(F.count(F.lit(1))).collect()[0][0]
-    entries = objects.select("raw", F.explode(F.json_object_keys("raw")).alias("field"), "m")
-    value = F.try_element_at("m", F.col("field"))
-    number = value.try_cast("double").isNotNull() & value.rlike(r"^-?\d")
+    entries = objects.select(F.explode("m").alias("field", "v"))
+    told = F.schema_of_variant(F.col("v"))
     kind = (
-        F.when(value.isNull(), "null")
-        .when(value.startswith("{"), "object")
-        .when(value.startswith("["), "array")
-        .when(value.isin("true", "false"), "boolean")
-        .when(number, "number")
-        .otherwise("string")
-    )
-    empty = value.isNull() | value.isin("", "[]", "{}")
-    return entries.groupBy("field", kind.alias("type")).agg(
-        F.count(F.lit(1)).alias("n_present"), (F.count(F.lit(1)) / F.lit(float(n or 1))).alias("presence_rate"), F.count(F.when(empty, 1)).alias("n_empty")
+        F.when(told.isNull() | (told == "VOID"), "null")
+        .when(told.startswith("OBJECT"), "object")
+        .when(told.startswith("ARRAY"), "array")
+        .when(told == "BOOLEAN", "boolean")
+        .when(told == "STRING", "string")
+        .otherwise("number")
     )
+    text = F.to_json("v")
+    empty = text.isNull() | text.isin("null", '""', "[]", "{}")
+    counts = entries.groupBy("field", kind.alias("type")).agg(F.count(F.lit(1)).alias("n_present"), F.count(F.when(empty, 1)).alias("n_empty"))
+    whole = F.sum("n_present").over(W.Window.partitionBy("field"))
+    return counts.select("field", "type", "n_present", (whole / F.lit(float(n or 1))).alias("presence_rate"), "n_empty")
+
+
+def frames_in_windows(videos: DataFrame, seconds: Sequence[int] = (1, 2, 3)) -> DataFrame:
+    """Per half-width of a window in seconds: the profile of the frames it holds at the videos' rates."""
+    rows = videos.select(*[(F.col("fps") * 2 * s).alias(f"plus_minus_{s}_sec") for s in seconds])
+    return numeric_profile(rows, rows.columns).withColumnRenamed("column_name", "window")
 
 
 def storage_by_component(files: DataFrame) -> DataFrame:

@@ -368,20 +368,34 @@ def video_checks(spark, d):
 
 
 def id_differences(spark, d):
-    """How many ids each kind of table has that another lacks."""
+    """How many videos one kind of table names that another lacks: K keyframes, V videos, M mappings, O screen texts, I documents."""
+    frames = table(spark, d, "keyframes")
     ids = {
-        "keyframes": table(spark, d, "keyframes").select(F.col("video_id").alias("id")),
-        "videos": table(spark, d, "videos").select(F.col("video_id").alias("id")),
-        "speech": table(spark, d, "asr_segments").select(F.upper(F.trim("video_id")).alias("id")),
-        "documents": table(spark, d, "documents").select(F.col("video_id").alias("id")),
+        "K": frames.select(F.col("video_id").alias("id")),
+        "V": table(spark, d, "videos").select(F.col("video_id").alias("id")),
+        "M": frames.where("original_frame_id is not null").select(F.col("video_id").alias("id")),
+        "O": table(spark, d, "ocr_records").select(infer_video_id(F.col("keyframe_uid")).alias("id")),
+        "I": table(spark, d, "documents").select(F.col("video_id").alias("id")),
     }
-    pairs = [(a, b) for a, b in (("keyframes", "videos"), ("videos", "keyframes"), ("speech", "videos"), ("videos", "speech"), ("documents", "keyframes"), ("keyframes", "documents"), ("documents", "videos"), ("videos", "documents"))]
+    pairs = [("K", "V"), ("V", "K"), ("M", "V"), ("V", "M"), ("O", "K"), ("K", "O"), ("I", "V"), ("V", "I")]
     return audit.id_differences(ids, pairs).groupBy("difference").agg(F.count(F.lit(1)).alias("n"))
 
 
+def frames_in_windows(spark, d):
+    """How many frames one to three seconds on either side hold."""
+    rows = audit.frames_in_windows(_videos(spark, d))
+    return rows.select("window", "n_values", *[F.round(c, 6).alias(c) for c in ("min_value", "mean_value", "max_value", "p50", "p95")])
+
+
 def json_profile(spark, d):
-    """Fields of the events' JSON."""
-    rows = audit.json_profile(table(spark, d, "events"), "props")
+    """Fields of the videos as JSON objects, of the events' JSON, and of texts that are no objects."""
+    fields = F.struct(
+        "video_id", F.struct("width", "height").alias("size"), F.array_compact(F.array("video_codec", "audio_codec")).alias("codecs"), "has_audio", "frame_count",
+        F.when(F.pmod("frame_count", F.lit(5)) == 0, F.col("frame_count").cast("string")).alias("count"), F.coalesce("group_id", F.lit("")).alias("group_id"),
+    )
+    videos = table(spark, d, "videos").select(F.to_json(fields, {"ignoreNullFields": "false"}).alias("props"))
+    lists = table(spark, d, "videos").select(F.to_json(F.array("width", "height")).alias("props"))
+    rows = audit.json_profile(videos.unionByName(lists).unionByName(table(spark, d, "events").select("props")), "props")
     return rows.withColumn("presence_rate", F.round("presence_rate", 6))
 
 
@@ -485,7 +499,7 @@ QUERIES = {
         cosine_topk, l2_normalize, vector_validation, bm25_topk, bm25_best_per_key, bm25_df, token_counts, representative_keyframe, metadata_documents,
         candidate_video_evidence, trake_paths, trake_paths_gapped, trake_sequences, frame_diversity, sequence_diversity, rank_metrics, qna_metrics, trake_metrics, task_metrics, submission_violations,
         submission_documents, mapping_validation, mapping_duplicates, mapping_non_monotonic, mapping_summary, mapped_keyframes, keyframe_gaps,
-        numeric_profiles, value_distribution, group_durations, video_checks, id_differences, json_profile, storage_by_component, largest_files,
+        numeric_profiles, value_distribution, group_durations, video_checks, id_differences, frames_in_windows, json_profile, storage_by_component, largest_files,
         source_sheet_check, path_fields, frame_windows, fractions, answer_forms, event_lists, refined_frames, refinement_overlay, asr_best_keyframe,
     )
 }

@@ -220,12 +220,13 @@ _REFINE = f"""
 
 def _differences() -> str:
     sets = {
-        "keyframes": "SELECT video_id FROM keyframes",
-        "videos": "SELECT video_id FROM videos",
-        "speech": "SELECT upper(trim(video_id)) FROM asr_segments",
-        "documents": "SELECT video_id FROM documents",
+        "K": "SELECT video_id FROM keyframes",
+        "V": "SELECT video_id FROM videos",
+        "M": "SELECT video_id FROM keyframes WHERE original_frame_id IS NOT NULL",
+        "O": "SELECT nullif(upper(regexp_extract(keyframe_uid, '(?i)L\\d+_V\\d+')), '') FROM ocr_records",
+        "I": "SELECT video_id FROM documents",
     }
-    pairs = [("keyframes", "videos"), ("videos", "keyframes"), ("speech", "videos"), ("videos", "speech"), ("documents", "keyframes"), ("keyframes", "documents"), ("documents", "videos"), ("videos", "documents")]
+    pairs = [("K", "V"), ("V", "K"), ("M", "V"), ("V", "M"), ("O", "K"), ("K", "O"), ("I", "V"), ("V", "I")]
     one = lambda a, b: f"SELECT '{a} - {b}' AS difference, id FROM (SELECT id FROM (({sets[a]}) EXCEPT ({sets[b]})) t(id)) WHERE id IS NOT NULL"
     return "SELECT difference, count(*) AS n FROM (" + " UNION ALL ".join(one(*p) for p in pairs) + ") GROUP BY 1"
 
@@ -376,8 +377,20 @@ SELECT video_id, 'unreadable' AS problem FROM c WHERE NOT r
 UNION ALL SELECT video_id, 'invalid geometry' FROM c WHERE r AND NOT (f AND d AND coalesce(width > 0, FALSE) AND coalesce(height > 0, FALSE))
 UNION ALL SELECT video_id, 'duration mismatch' FROM c WHERE f AND d AND frame_count > 0 AND abs(frame_count / fps - duration_sec) > 1.0""",
     "id_differences": _differences(),
-    "json_profile": """WITH o AS (SELECT props, unnest(json_keys(props)) AS field FROM events WHERE json_type(props) = 'OBJECT'), t AS (SELECT count(*) AS n FROM events WHERE json_type(props) = 'OBJECT')
-SELECT field, 'number' AS type, count(*) AS n_present, round(count(*) / max(n), 6) AS presence_rate, count(*) FILTER (json_type(props, '$.' || field) = 'NULL') AS n_empty FROM o, t GROUP BY 1""",
+    "frames_in_windows": f"""WITH {_VIDEOS}, u AS (SELECT unnest([1, 2, 3]) AS s, fps FROM vids), w AS (SELECT 'plus_minus_' || s || '_sec' AS "window", fps * 2 * s AS v FROM u WHERE isfinite(fps))
+SELECT "window", count(*) AS n_values, round(min(v), 6) AS min_value, round(avg(v), 6) AS mean_value, round(max(v), 6) AS max_value, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.95), 6) AS p95
+FROM w WHERE isfinite(v) GROUP BY 1""",
+    "json_profile": """WITH e AS (SELECT props, unnest(json_keys(props)) AS field FROM events WHERE json_type(props) = 'OBJECT'
+), f AS (
+  SELECT field, 'number' AS type, FALSE AS empty FROM e WHERE json_type(props, '$.' || field) <> 'NULL' UNION ALL SELECT field, 'null', TRUE FROM e WHERE json_type(props, '$.' || field) = 'NULL'
+  UNION ALL SELECT 'video_id', CASE WHEN video_id IS NULL THEN 'null' ELSE 'string' END, coalesce(video_id, '') = '' FROM videos
+  UNION ALL SELECT 'size', 'object', FALSE FROM videos UNION ALL SELECT 'codecs', 'array', video_codec IS NULL AND audio_codec IS NULL FROM videos
+  UNION ALL SELECT 'has_audio', CASE WHEN has_audio IS NULL THEN 'null' ELSE 'boolean' END, has_audio IS NULL FROM videos
+  UNION ALL SELECT 'frame_count', CASE WHEN frame_count IS NULL THEN 'null' ELSE 'number' END, frame_count IS NULL FROM videos
+  UNION ALL SELECT 'count', CASE WHEN frame_count % 5 = 0 THEN 'string' ELSE 'null' END, coalesce(frame_count % 5 <> 0, TRUE) FROM videos
+  UNION ALL SELECT 'group_id', 'string', coalesce(group_id, '') = '' FROM videos
+), n AS (SELECT (SELECT count(*) FROM events WHERE json_type(props) = 'OBJECT') + (SELECT count(*) FROM videos) AS n)
+SELECT field, type, count(*) AS n_present, round(sum(count(*)) OVER (PARTITION BY field) / max(n), 6) AS presence_rate, count(*) FILTER (empty) AS n_empty FROM f, n GROUP BY field, type""",
     "storage_by_component": """WITH f AS (SELECT 'keyframes' AS component, file_size_bytes AS b FROM keyframes UNION ALL SELECT 'videos', file_size_bytes FROM videos)
 SELECT component, count(*) AS n_files, CAST(sum(b) AS BIGINT) AS total_bytes, count(*) FILTER (b = 0) AS n_empty, max(b) AS largest FROM f GROUP BY 1""",
     "largest_files": """SELECT video_path AS path, max(file_size_bytes) AS length FROM videos WHERE file_size_bytes IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""",

@@ -78,6 +78,20 @@ def read_source_sheet(spark: SparkSession, path: str) -> DataFrame:
     return source_sheet(spark.read.csv(path, header=True, encoding="UTF-8"))
 
 
+#: Categories of archives that hold neither keyframes nor videos.
+SUPPORT = ("clip_features", "map_keyframes", "media_info", "objects")
+
+
+def select_archives(sheet: DataFrame, selection: str) -> DataFrame:
+    """The archives (with ``category``) of a selection: ``all``, ``support``, or a category by name."""
+    known = [c for c, _ in ARCHIVE_PATTERNS]
+    if selection == "all":
+        return sheet
+    if selection != "support" and selection not in known:
+        raise schemas.ContractError(f"a selection is all, support or one of {', '.join(known)}")
+    return sheet.where(F.col("category").isin(*(SUPPORT if selection == "support" else (selection,))))
+
+
 # The archives that are expected where no sheet can be had.
 ARCHIVE_GROUPS = ("L21", "L22", "L23", "L24", "L25", "L26_a", "L26_b", "L26_c", "L26_d", "L26_e", "L27", "L28", "L29", "L30")
 SUPPORT_ARCHIVES = ("clip-features-32-aic25-b1.zip", "map-keyframes-aic25-b1.zip", "media-info-aic25-b1.zip", "objects-aic25-b1.zip")

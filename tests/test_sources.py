@@ -225,7 +225,7 @@ def test_audit(spark):
     assert rows(audit.video_checks(videos)) == [("B", "duration mismatch"), ("C", "unreadable")]
     assert rows(audit.group_durations(videos), "is_total", "n_videos") == [(False, 2), (True, 3)]
     profile = audit.json_profile(spark.createDataFrame([('{"a":1,"b":""}',), ('{"a":null}',), ("[1]",), ("x",), (None,)], "j string"), "j")
-    assert rows(profile, "field", "type", "n_present", "presence_rate", "n_empty") == [("a", "null", 1, 0.5, 1), ("a", "number", 1, 0.5, 0), ("b", "string", 1, 0.5, 1)]
+    assert rows(profile, "field", "type", "n_present", "presence_rate", "n_empty") == [("a", "null", 1, 1.0, 1), ("a", "number", 1, 1.0, 0), ("b", "string", 1, 0.5, 1)]
     ids = {n: spark.createDataFrame([(x,) for x in v], "id string") for n, v in (("k", "ab"), ("v", "bc"))}
     assert rows(audit.id_differences(ids, [("k", "v"), ("v", "k")])) == [("k - v", "a"), ("v - k", "c")]
     sample = audit.stratified_sample(videos, "group_id", "video_id", 1)
@@ -248,3 +248,30 @@ def test_streams(spark, tmp_path):
         stream = spark.readStream.schema(spark.createDataFrame([], segments).schema).parquet(str(tmp_path / "seg"))
         incremental.periods_stream(stream, str(tmp_path / "periods"), str(tmp_path / "cp2")).awaitTermination()
     assert rows(spark.read.parquet(str(tmp_path / "periods/v1"))) == [("V", 0, 9), ("W", 1, 2)]
+
+
+def test_archives_prompts_hashes_and_cache(spark, tmp_path):
+    sheet = tables.source_sheet(spark.createDataFrame([(n, a) for n, a in tables.default_archives("https://h.example/")], "`Filenames` string, `Download link` string"))
+    assert [tables.select_archives(sheet, s).count() for s in ("all", "support", "keyframes", "videos", "objects")] == [32, 4, 14, 14, 1]
+    with pytest.raises(schemas.ContractError):
+        tables.select_archives(sheet, "music")
+    asked = spark.createDataFrame([(" a man ", "who?")], "e string, q string")
+    assert asked.select(text.answer_prompt(F.col("e"), F.col("q"))).collect()[0][0].endswith("Event description: a man\nQuestion: who?")
+    with pytest.raises(Exception, match="are needed"):
+        asked.select(text.answer_prompt(F.col("e"), F.lit(" "))).collect()
+    assert text.config_hash({"b": 1, "a": [1, 2]}) == text.config_hash({"a": [1, 2], "b": 1}) != text.config_hash({"a": [2, 1], "b": 1})
+    boxes = spark.createDataFrame([("[[[0,0],[1,1]],[[2,2]]]",), ("[1,2,3]",), ('[1,2,3,"x"]',), ("5",), (None,), ("[1,2,NaN,4]",)], "b string")
+    assert [r[0] for r in boxes.select(text.flatten_bbox(F.col("b"))).collect()] == [[0, 0, 1, 1, 2, 2], None, None, None, None, None]
+    cache = sinks.ResultCache(str(tmp_path / "cache"))
+    assert cache.get("k") is None and cache.get_or("k", lambda: {"a": None}) == {"a": None} and cache.get_or("k", lambda: 1 / 0) == {"a": None}
+    next((tmp_path / "cache").glob("*.json")).write_text('{"key": "other", "value": 1}')
+    with pytest.raises(schemas.ContractError):
+        cache.get("k")
+    assert cache.clear("k") and not cache.clear("k")
+    for bad in (lambda: cache.put("k", object()), lambda: cache.get(" ")):
+        with pytest.raises(schemas.ContractError):
+            bad()
+    log = spark.createDataFrame([("a.zip", "x/1.jpg", 5)], "archive string, member string, size bigint")
+    for part in (log, log.limit(0), log):
+        sinks.append_extractions(part, str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).count() == 2
