@@ -215,22 +215,24 @@ def ward(n: np.ndarray, means: np.ndarray, k: int) -> np.ndarray:
     return np.unique([root(i) for i in range(m)], return_inverse=True)[1]
 
 
+def join_pairs(roots: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Join the parts of the pairs (i, j) in ``roots``, where every member leads to the least of its part."""
+    while len(i):
+        low = np.minimum(roots[i], roots[j])
+        if (low == roots[i]).all() and (low == roots[j]).all():
+            break
+        # The roots themselves move along, so whole parts do.
+        np.minimum.at(roots, np.concatenate([roots[i], roots[j], i, j]), np.tile(low, 4))
+        while (deeper := roots[roots] != roots).any():
+            roots[deeper] = roots[roots[deeper]]
+
+
 def _parts(means: np.ndarray, cosine: float) -> np.ndarray:
     """The least number in each connected part of the vectors whose dot products reach ``cosine``."""
     roots = np.arange(len(means))
     for start in range(0, len(means), STRIP):
         i, j = np.nonzero(means[start : start + STRIP] @ means[start:].T >= cosine)
-        i, j = i[i < j] + start, j[i < j] + start
-        while len(i):
-            low = np.minimum(roots[i], roots[j])
-            if (low == roots[i]).all() and (low == roots[j]).all():
-                break
-            # The roots themselves move along, so whole parts do.
-            np.minimum.at(roots, np.concatenate([roots[i], roots[j], i, j]), np.tile(low, 4))
-            while (deeper := roots[roots] != roots).any():
-                roots[deeper] = roots[roots[deeper]]
-    while (deeper := roots[roots] != roots).any():
-        roots[deeper] = roots[roots[deeper]]
+        join_pairs(roots, i[i < j] + start, j[i < j] + start)
     return roots
 
 
@@ -278,7 +280,7 @@ def _joined(n: np.ndarray, means: np.ndarray, cosine: float) -> np.ndarray:
         least[nearer], partner[nearer] = cost[nearer, a], a
 
 
-def agglomerate(n: np.ndarray, means: np.ndarray, cosine: float) -> np.ndarray:
+def agglomerate(n: np.ndarray, means: np.ndarray, cosine: float, parts: np.ndarray | None = None) -> np.ndarray:
     """Labels of a Ward agglomeration that only joins CFs whose mean cosine reaches ``cosine``.
 
     Only CFs connected by such pairs can ever join, so each connected part is treated by
@@ -286,11 +288,12 @@ def agglomerate(n: np.ndarray, means: np.ndarray, cosine: float) -> np.ndarray:
     Other parts above MATRIX are agglomerated in runs of neighbours along their widest
     direction, and the clusters found again, while that joins any.
     """
-    out = _parts(means, cosine)
-    order = np.argsort(out, kind="stable")
-    cuts = np.flatnonzero(np.diff(out[order])) + 1
-    for part in np.split(order, cuts):
-        if len(part) < 3 or _all_reach(means[part], cosine):
+    out = _parts(means, cosine) if parts is None else parts.copy()
+    roots, order = out.copy(), np.argsort(out, kind="stable")
+    # Parts of one or two are clusters as they are.
+    for root in np.flatnonzero(np.bincount(roots, minlength=len(roots)) >= 3):
+        part = order[np.searchsorted(roots[order], root) : np.searchsorted(roots[order], root, side="right")]
+        if _all_reach(means[part], cosine):
             continue
         size, centre, label = n[part].astype(float), means[part].astype(float), np.arange(len(part))
         while True:

@@ -27,14 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.llm.cftree import CFTree, agglomerate, ward
+from reelspark.llm.cftree import STRIP, CFTree, agglomerate, join_pairs, ward
 from reelspark.operators.positions import global_positions
 from reelspark.session import materialize
 
 #: Members compared at once in the exact check, and coarse CFs that are agglomerated at most.
 BLOCK, MOST_COARSE = 2_048, 4_096
-#: Leaves of a cell compared at once with the others, and how much larger than the mean a cell may be before it is split.
-STRIP, UNEVEN = 256, 4
+#: How much larger than the mean a cell may be before it is split.
+UNEVEN = 4
 
 
 @dataclass(frozen=True)
@@ -251,18 +251,24 @@ def _link(cfg: ClusterConfig):
             leaf = _column(rows, "leaf").to_numpy()
             n, radius = _column(rows, "n").to_numpy(), _column(rows, "radius").to_numpy()
             means = _matrix(_column(rows, "mean"), cfg.dim).astype(np.float32)
-            label = leaf[agglomerate(n, means, cfg.cosine - 1e-6)]
             squared, radius = (means**2).sum(1), radius.astype(np.float32)
-            near_a, near_b = [], []
+            # Members can be similar only if the leaves' balls come that close; no such pair has a smaller product.
+            reach = cfg.reach + 1e-3
+            least = min(cfg.cosine - 1e-6, squared.min() - (reach + 2 * radius.max()) ** 2 / 2)
+            parts, near_a, near_b = np.arange(len(leaf)), [], []
             for s in range(0, len(leaf), STRIP):
-                e = s + STRIP
-                # Members can be similar only if the leaves' balls come that close.
-                gap = squared[s:e, None] + squared[None, s:] - 2 * means[s:e] @ means[s:].T
-                limit = cfg.reach + radius[s:e, None] + radius[None, s:] + 1e-3
-                i, j = np.nonzero((gap <= limit * limit) & (label[s:e, None] != label[None, s:]))
-                keep = i < j
-                near_a.append(leaf[s + i[keep]])
-                near_b.append(leaf[s + j[keep]])
+                dots = means[s : s + STRIP] @ means[s:].T
+                i, j = np.nonzero(dots >= least)
+                i, j, dots = i[i < j] + s, j[i < j] + s, dots[i[i < j], j[i < j]]
+                joins = dots >= cfg.cosine - 1e-6
+                join_pairs(parts, i[joins], j[joins])
+                close = squared[i] + squared[j] - 2 * dots <= (reach + radius[i] + radius[j]) ** 2
+                near_a.append(i[close])
+                near_b.append(j[close])
+            label = leaf[agglomerate(n, means, cfg.cosine - 1e-6, parts)]
+            i, j = np.concatenate(near_a), np.concatenate(near_b)
+            apart = label[i] != label[j]
+            near_a, near_b = [leaf[i[apart]]], [leaf[j[apart]]]
             joined = label != leaf
             a = np.concatenate([leaf[joined], *near_a])
             b = np.concatenate([label[joined], *near_b])
