@@ -20,11 +20,12 @@ def _item(text: Column) -> Column:
 
 def _parenthesised(query: Column) -> Column:
     """Items of "(1) ... (2) ...": consecutive from 1, at the start or behind a colon or dash."""
-    numbers = F.transform(F.regexp_extract_all(query, F.lit(r"(?<![\p{L}\p{N}_])\((\d{1,9})\)"), 1), lambda n: n.cast("int"))
-    pieces = F.split(query, r"(?<![\p{L}\p{N}_])\(\d{1,9}\)\s*")
+    numbers = F.transform(F.regexp_extract_all(query, F.lit(r"(?<![\p{L}\p{N}_])\((\d+)\)"), 1), lambda n: n.try_cast("bigint"))
+    pieces = F.split(query, r"(?<![\p{L}\p{N}_])\(\d+\)\s*")
     items = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), _item)
     lead = F.rtrim(F.regexp_replace(F.element_at(pieces, 1), r"(?U)\s+$", ""))
-    counted = numbers == F.sequence(F.lit(1), F.size(numbers))
+    # A number too long for 64 bits is null, and then nothing is counted.
+    counted = F.coalesce(numbers == F.sequence(F.lit(1).cast("bigint"), F.size(numbers).cast("bigint")), F.lit(False))
     good = (F.size(numbers) >= 2) & counted & ((lead == "") | lead.rlike("[:–—-]$")) & F.forall(items, lambda x: x != "")
     return F.when(good, items)
 

@@ -94,12 +94,15 @@ def select_archives(sheet: DataFrame, selection: str) -> DataFrame:
 
 # The archives that are expected where no sheet can be had.
 ARCHIVE_GROUPS = ("L21", "L22", "L23", "L24", "L25", "L26_a", "L26_b", "L26_c", "L26_d", "L26_e", "L27", "L28", "L29", "L30")
-SUPPORT_ARCHIVES = ("clip-features-32-aic25-b1.zip", "map-keyframes-aic25-b1.zip", "media-info-aic25-b1.zip", "objects-aic25-b1.zip")
+SUPPORT_ARCHIVES = ("clip-features-32-%s.zip", "map-keyframes-%s.zip", "media-info-%s.zip", "objects-%s.zip")
 
 
-def default_archives(base_url: str, groups: Sequence[str] = ARCHIVE_GROUPS, support: Sequence[str] = SUPPORT_ARCHIVES) -> list[tuple[str, str]]:
-    """(filename, address) of the archives that are expected where no sheet can be had; the host is the caller's."""
-    names = [f"Keyframes_{g}.zip" for g in groups] + [f"Videos_{g if '_' in g else g + '_a'}.zip" for g in groups] + list(support)
+def default_archives(base_url: str, batch: str, groups: Sequence[str] = ARCHIVE_GROUPS) -> list[tuple[str, str]]:
+    """(filename, address) of the archives that are expected where no sheet can be had.
+
+    The host and the name of the batch, which the supporting archives bear, are the caller's.
+    """
+    names = [f"Keyframes_{g}.zip" for g in groups] + [f"Videos_{g if '_' in g else g + '_a'}.zip" for g in groups] + [n % batch for n in SUPPORT_ARCHIVES]
     return [(n, f"{base_url.rstrip('/')}/{n}") for n in names]
 
 

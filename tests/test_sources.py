@@ -22,7 +22,7 @@ def test_source_sheet(spark, tmp_path):
     assert got == [("", "unknown", "empty field"), ("Keyframes_L1.zip", "keyframes", "invalid address"), ("Videos_L1_a.zip", "videos", "repeated"), ("Videos_L1_a.zip", "videos", None)]
     with pytest.raises(schemas.ContractError):
         tables.source_sheet(spark.createDataFrame([("a",)], "x string"))
-    assert len(tables.default_archives("https://h.example", ["L1", "L2_a"], ["objects-1.zip"])) == 5
+    assert [n for n, _ in tables.default_archives("https://h.example", "b1", ["L1", "L2_a"])][:4] == ["Keyframes_L1.zip", "Keyframes_L2_a.zip", "Videos_L1_a.zip", "Videos_L2_a.zip"]
 
 
 def test_text_artifacts(spark, tmp_path):
@@ -251,7 +251,7 @@ def test_streams(spark, tmp_path):
 
 
 def test_archives_prompts_hashes_and_cache(spark, tmp_path):
-    sheet = tables.source_sheet(spark.createDataFrame([(n, a) for n, a in tables.default_archives("https://h.example/")], "`Filenames` string, `Download link` string"))
+    sheet = tables.source_sheet(spark.createDataFrame([(n, a) for n, a in tables.default_archives("https://h.example/", "b1")], "`Filenames` string, `Download link` string"))
     assert [tables.select_archives(sheet, s).count() for s in ("all", "support", "keyframes", "videos", "objects")] == [32, 4, 14, 14, 1]
     with pytest.raises(schemas.ContractError):
         tables.select_archives(sheet, "music")
