@@ -104,7 +104,8 @@ def _medians_apart(places: DataFrame) -> DataFrame:
 
 def _parts(scores: DataFrame, weights: DataFrame, least: int) -> tuple[DataFrame, DataFrame | None]:
     """Median ranks of the queries that fit a task, and of those that do not, if there are any."""
-    hot = hottest(scores.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "n", least)
+    # One row per query, written so that the scores are counted once.
+    hot = hottest(materialize(scores.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))), "query_id", "n", least)
     rows = _weighted(scores, weights)
     if not hot:
         return _medians_in_place(_ranked_in_place(rows)), None
