@@ -33,6 +33,8 @@ from reelspark.session import materialize
 
 #: Members compared at once in the exact check, and coarse CFs that are agglomerated at most.
 BLOCK, MOST_COARSE = 2_048, 4_096
+#: Cells up to which the configured number of probes is enough.
+CELLS = 128
 #: How much larger than the mean a cell may be before it is split.
 UNEVEN = 4
 
@@ -185,8 +187,9 @@ def _centroids(n: np.ndarray, total: np.ndarray, k: int) -> np.ndarray:
 
 
 def _nearest_cells(means: np.ndarray, centroids: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
-    """(cell, row) of each row's nearest cells."""
-    m = min(probes, len(centroids))
+    """(cell, row) of each row's nearest cells: ``probes``, and two more for every doubling of the cells beyond CELLS."""
+    more = 2 * max(0, math.ceil(math.log2(len(centroids) / CELLS)))
+    m = min(probes + more, len(centroids))
     score = means @ centroids.T - (centroids**2).sum(1) / 2
     cells = np.argpartition(-score, m - 1, axis=1)[:, :m] if m < len(centroids) else np.tile(np.arange(m), (len(means), 1))
     return cells.reshape(-1).astype(np.int64), np.repeat(np.arange(len(means)), m)
