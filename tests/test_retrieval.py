@@ -1,6 +1,7 @@
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +9,7 @@ from reelspark.functions.answers import normalize_answer
 from reelspark.operators import alignment, bm25, evaluation, fusion, refine, search, submission, temporal
 from reelspark.operators.decompose import decompose_events
 from reelspark.operators.greedy import keep_apart
-from reelspark.plans import retrieval
+from reelspark.plans import branches, retrieval
 from reelspark.schemas import ContractError
 from tests.conftest import rows
 
@@ -293,3 +294,30 @@ def test_no_frame_rate_is_too_high(spark, tmp_path):
     assert got["C:1"]["error"] == "frame or fps out of bounds"
     counts = reference_queries.refinement_overlay(spark, str(tmp_path)).collect()[0]
     assert (counts["n_refined"], counts["n_fallback"], counts["n_failed"]) == (3, 1, 1)
+
+
+def _texts(spark, n, words, seed):
+    random = np.random.default_rng(seed)
+    rows = [(i if i else None, " ".join(f"w{int(x)}" for x in np.sort(random.zipf(1.6, random.integers(0, words)) % 30)), f"k{int(random.integers(0, n // 4))}" if i % 7 else None) for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, key string")
+
+
+def _scores_stay_in_a_task(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "FlatMapCoGroupsInArrow" in plan and "units" not in plan
+
+
+def test_best_documents_are_those_of_all_scores(spark, monkeypatch):
+    docs, asked = _texts(spark, 400, 6, 1), _texts(spark, 40, 30, 2).select(F.col("doc_id").alias("query_id"), "text")
+    keys = docs.select("doc_id", "key").unionByName(docs.where("doc_id % 5 = 0").select("doc_id", F.lit("k3").alias("key")))
+    want = rows(bm25.best_per_key(bm25.bm25_scores(docs, asked), keys, 10))
+    assert len(want) > 300
+    for block, turn in ((400_000, 500_000), (100, 50), (1, 10**9)):
+        monkeypatch.setattr(bm25, "BLOCK_TERMS", block)
+        monkeypatch.setattr(bm25, "QUERY_TERMS", turn)
+        assert rows(bm25.best_documents(docs, asked, keys, 10)) == want
+    assert rows(bm25.best_documents(docs.where("doc_id < 0"), asked, keys, 10)) == []
+    frames = spark.createDataFrame([("f1", "V", 5, 1.0, "p")], "keyframe_uid string, video_id string, original_frame_id bigint, timestamp_sec double, keyframe_path string")
+    speech = spark.createDataFrame([("s", "V", 0.0, 1.0, "w1 w2")], "segment_id string, video_id string, start_sec double, end_sec double, text string")
+    found = branches.asr_branch(speech, frames)(asked.where("query_id < 9"), 3)
+    assert _scores_stay_in_a_task(found) and found.count() > 3
