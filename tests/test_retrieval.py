@@ -9,7 +9,7 @@ from reelspark.functions.answers import normalize_answer
 from reelspark.operators import alignment, bm25, evaluation, fusion, refine, search, submission, temporal
 from reelspark.operators.decompose import decompose_events
 from reelspark.operators.greedy import keep_apart
-from reelspark.plans import branches, retrieval
+from reelspark.plans import branches, reference_queries, retrieval
 from reelspark.schemas import ContractError
 from tests.conftest import rows
 
@@ -321,3 +321,7 @@ def test_best_documents_are_those_of_all_scores(spark, monkeypatch):
     speech = spark.createDataFrame([("s", "V", 0.0, 1.0, "w1 w2")], "segment_id string, video_id string, start_sec double, end_sec double, text string")
     found = branches.asr_branch(speech, frames)(asked.where("query_id < 9"), 3)
     assert _scores_stay_in_a_task(found) and found.count() > 3
+
+
+def test_best_keys_of_all_queries_keep_their_scores_in_a_task(spark):
+    assert _scores_stay_in_a_task(reference_queries.bm25_best_per_key(spark, "/root/testdata/sf0.001"))
