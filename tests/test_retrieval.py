@@ -3,6 +3,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from reelspark.functions.answers import normalize_answer
@@ -325,3 +326,11 @@ def test_best_documents_are_those_of_all_scores(spark, monkeypatch):
 
 def test_best_keys_of_all_queries_keep_their_scores_in_a_task(spark):
     assert _scores_stay_in_a_task(reference_queries.bm25_best_per_key(spark, "/root/testdata/sf0.001"))
+
+
+def test_best_texts_of_all_queries_keep_their_scores_in_a_task(spark):
+    docs, asked = _texts(spark, 300, 5, 3), _texts(spark, 30, 30, 4).select(F.col("doc_id").alias("query_id"), "text")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+    found = bm25.bm25_topk(docs, asked, 10)
+    assert _scores_stay_in_a_task(found)
+    assert rows(found) == rows(bm25.bm25_scores(docs, asked).withColumn("rank", place).where("rank <= 10"))
