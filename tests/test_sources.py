@@ -11,6 +11,7 @@ from reelspark import schemas
 from reelspark.functions import sampling, text, vector
 from reelspark.operators import audit, mapping
 from reelspark.sources import media, sinks, tables, transfer
+from reelspark.sources.jsonstream import members
 from reelspark.streaming import incremental
 from tests.conftest import rows
 
@@ -212,6 +213,34 @@ def test_submission_files_and_logs(spark, tmp_path):
     assert "| a | 1 |" in sinks.markdown("T", {"x": spark.createDataFrame([("a", 1)], "k string, n int")})
 
 
+def test_submission_is_read_as_a_stream(spark, tmp_path):
+    given = iter(['{"queries": [ {"a":"}]\\\\\\"["}, 5', '7 ,{"b"', ":[{}]}]", ', "schema_version":"1.0"}\n'])
+    found = members(given, "queries", {"schema_version": "1.0"})
+    assert next(found) == '{"a":"}]\\\\\\"["}' and next(given) == '7 ,{"b"'  # given before the rest is asked for
+    assert list(members(iter(['{"queries":[1,', '2]', "}"]), "queries", {})) == ["1", "2"] and list(members(iter(["{ }"]), "queries", {})) == []
+    for bad in ('{"queries":[{}]', '{"queries":[{}', '{"queries":[{}]}x', '{"queries":[{},]}', '{"queries":[{}],"schema_version":"2.0"}'):
+        with pytest.raises(ValueError):
+            list(members(iter(bad), "queries", {"schema_version": "1.0"}))
+    queries = [{"query_id": f"q{i}", "task": "qna", "results": [{"video_id": "V", "frame_id": r, "answer": 'a } "{ \\'} for r in range(20)]} for i in range(500)]
+    for indent in (None, 1):
+        path = tmp_path / f"s{indent}.json"
+        path.write_text(json.dumps({"queries": queries, "schema_version": "1.0"}, indent=indent))
+        got = tables.read_submission(spark, str(path))
+        assert got.count() == 10_000 and got.where("answer = 'a } \"{ \\\\' and rank = frame_ids[0] + 1").count() == 10_000
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert tables.read_submission(spark, str(path)).select("query_id", "rank").distinct().count() == 10_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for end in (-1, -2, -500):
+        (tmp_path / "cut.json").write_text(path.read_text()[:end])
+        with pytest.raises(Exception, match="not valid JSON"):
+            tables.read_submission(spark, str(tmp_path / "cut.json")).collect()
+    (tmp_path / "old.json").write_text('{"queries":[],"schema_version":"0.9"}')
+    with pytest.raises(Exception, match="unsupported schema_version"):
+        tables.read_submission(spark, str(tmp_path / "old.json")).collect()
+
+
 def test_sampling(spark):
     df = spark.createDataFrame([(10, 10.0, 12), (0, 10.0, None), (12, 10.0, 12), (5, 0.0, 12)], "c bigint, fps double, n bigint")
     w = sampling.frame_window(F.col("c"), F.col("fps"), 1.0, F.col("n"))
